@@ -2,7 +2,7 @@
 
 One zstandard dictionary is trained on good and one on bad labelled text. A text is compressed with each, in blocks so
 that the dictionary counts throughout a long text; the difference of the compressed sizes, normalised by their sum, and
-three more normalised sizes become a probability by logistic calibration on labelled texts that the dictionaries have not seen.
+the sizes normalised by the text's become a probability by logistic calibration on labelled texts that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
 class CompressionModel:
     def __init__(self, good: bytes, bad: bytes, level: int = 1):
         self.dictionaries, self.level = (good, bad), level
-        self.weights = np.zeros(6)
+        self.weights = np.zeros(9)
         self._tools = None
 
     def __getstate__(self):
@@ -53,10 +53,10 @@ class CompressionModel:
     def features(self, text: str | None) -> list[float]:
         t = (text or "").encode("utf-8", "replace")
         if not t:
-            return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+            return [1.0] + [0.0] * 8
         g, b, n = self.sizes(t)
-        d = (b - g) / (b + g)
-        return [1.0, 10 * d, g / len(t), b / len(t), n / len(t), 10 * d * min(1.0, len(t) / 500)]
+        d, n_g, n_b, n_n = (b - g) / (b + g), g / len(t), b / len(t), n / len(t)
+        return [1.0, 10 * d, n_g, n_b, n_n, 10 * d * min(1.0, len(t) / 500), 4 * n_g * n_g, 4 * n_n * n_n, 40 * d * n_n]
 
     def calibrate(self, texts: list[str], labels: list[int], ridge: float = 0.05, rounds: int = 40) -> None:
         """Logistic regression by Newton steps; with one class only, a constant."""

@@ -9,26 +9,23 @@ from pyspark.sql import functions as F
 
 from attestor.llm import langid, line_dedup, quality_classifier, simhash
 from attestor.llm.sql import ORACLES
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from attestor.session import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(line_dedup.line_dedup(_table(spark, sf_dir, "documents")))
+    return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identified(_table(spark, sf_dir, "documents"))
+    return langid.identified(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.digest(simhash.simhash_components(_table(spark, sf_dir, "documents")))
+    return simhash.digest(simhash.simhash_components(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
