@@ -40,7 +40,7 @@ def discard(df: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``'s source (file sizes for scans); no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import decontamination, langid, line_dedup, pii, quality_classifier, quality_rules, simhash
+from attestor.llm import decontamination, langid, line_dedup, pii, quality_classifier, quality_rules, simhash, suffix_dedup
 from attestor.llm.sql import ORACLES
 from attestor.session import table
 
@@ -39,7 +39,11 @@ def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protected(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op3_language_id, op4_quality_rules, op5_quality_classifier, op6_decontamination, op7_simhash_near_dedup, op8_pii_pseudonyms)
+    for f in (op1_line_dedup, op3_language_id, op4_quality_rules, op5_quality_classifier, op6_decontamination, op7_simhash_near_dedup, op8_pii_pseudonyms, op9_suffix_dedup)
 }
