@@ -82,14 +82,19 @@ def train(docs: DataFrame, labels: DataFrame, keep=None, max_docs: int = 4000, m
     Two thirds of them (by order) go into the dictionaries, a third calibrates. Of several labels of a document the
     largest counts; null labels are left out.
     """
-    marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("quality"))
-    both = docs.select("doc_id", "text").join(marks, "doc_id")
-    rows = labelled_sample(both, keep, max_docs, max_chars, "quality")
+    marks = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    if keep is not None:
+        marks = marks.where(keep)
+    marks = marks.groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("quality"))
+    # the labels' ids come first, so that the documents are only filtered by a bounded list, never joined
+    chosen = {r.doc_id: r.quality for r in marks.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(max_docs).collect()}
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isin(list(chosen)))
+    rows = labelled_sample(own, None, max_docs, max_chars)
     rows.sort(key=lambda r: (r.doc_id * 2654435761 % 4294967296, r.doc_id))
     build, rest = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if i % 3 == 0]
-    own = [[r.text.encode("utf-8", "replace") for r in build if r.quality == q] for q in (1, 0)]
+    own = [[r.text.encode("utf-8", "replace") for r in build if chosen[r.doc_id] == q] for q in (1, 0)]
     model = CompressionModel(*(dictionary(t, dictionary_bytes) if t else b"" for t in own))
-    model.calibrate([r.text for r in rest], [r.quality for r in rest])
+    model.calibrate([r.text for r in rest], [chosen[r.doc_id] for r in rest])
     return model
 
 
