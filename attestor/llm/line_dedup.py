@@ -120,7 +120,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     runs = LineRuns(fanout)
     for i in range(len(set(edges)) + 1):
         runs.add(lines.where(F.col("batch") == i).select("doc_id", "h1", "h2"))
-    common = runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder")
+    # written, so that both sides of the join below are plain shuffles and a hot line's partition can be split
+    common = written(runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder"))
     gone = lines.select("doc_id", "h1", "h2").join(common, ["h1", "h2"]).where("doc_id <> holder")
     gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")).withColumnRenamed("doc_id", "gone_id")
     return _cleaned(base.join(gone, F.col("doc_id") == F.col("gone_id"), "left").select("doc_id", "text", "gone.h1", "gone.h2"), min_chars)
