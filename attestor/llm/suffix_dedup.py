@@ -83,7 +83,7 @@ def _anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         firsts.append(run + lo)
         lasts.append(last + lo)
         anchors.append(at[run] + lo)
-        hashes.append(h[at[run]])
+        hashes.append(_mix(h[at[run]] ^ K3))  # mixed again: anchors have small hashes, buckets need even ones
     if not firsts:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64)
