@@ -121,7 +121,7 @@ def _concentrated(fit: DataFrame, params: DataFrame, support: float) -> DataFram
     """One concentration step: moments of the ``support`` share of each group that is nearest (whole bins of distance)."""
     d = _distances(fit, params).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 20))
     limit = _quantile_bins(d.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], {"most": support})
-    near = d.join(limit, "g").where("bin <= most")
+    near = d.join(written(limit), "g").where("bin <= most")  # written: its size is known, so a hot group's rows need not meet
     return _factors(near.groupBy("g").agg(*_moments()), CONSISTENCY)
 
 
