@@ -103,46 +103,75 @@ class LineRuns:
         return self._merge(self._runs()) if self._runs() else None
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_batches: int = 4, fanout: int = 2) -> DataFrame:
-    """Drop lines that many documents share, except in the largest doc_id that holds them.
-
-    Input columns doc_id and text (others are ignored). Returns (doc_id, n_lines, n_dropped, kept_text), one row for
-    each input row. Null text counts as one empty line. Rows that repeat a doc_id are one document: their lines count
-    once and each row is cleaned alike. Rows with a null doc_id hold no lines and keep all of theirs. Result is empty
-    for an empty table.
-    """
+def _gone(docs: DataFrame, min_chars: int, min_docs: int, n_batches: int, fanout: int) -> DataFrame:
+    """(_gone_id, _h1, _h2): for each document the hashes of the lines that it loses."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    edges = base.select("doc_id").approxQuantile("doc_id", [i / n_batches for i in range(1, n_batches)], 0.01) if n_batches > 1 else []
+    edges = sorted(set(base.select("doc_id").approxQuantile("doc_id", [i / n_batches for i in range(1, n_batches)], 0.01))) if n_batches > 1 else []
     batch = F.lit(0)
-    for x in sorted(set(edges)):
+    for x in edges:
         batch = batch + F.when(F.col("doc_id") <= F.lit(x), 1).otherwise(0)  # 0: the largest ids
     lines = written(line_hashes(base, min_chars).withColumn("batch", batch), partition_by="batch")
     runs = LineRuns(fanout)
-    for i in range(len(set(edges)) + 1):
+    for i in range(len(edges) + 1):
         runs.add(lines.where(F.col("batch") == i).select("doc_id", "h1", "h2"))
     # written, so that both sides of the join below are plain shuffles and a hot line's partition can be split
     common = written(runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder"))
     gone = lines.select("doc_id", "h1", "h2").join(common, ["h1", "h2"]).where("doc_id <> holder")
-    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    return _cleaned(base.join(gone, F.col("doc_id") == F.col("gone_id"), "left").select("doc_id", "text", "gone.h1", "gone.h2"), min_chars)
+    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    return gone.select(F.col("doc_id").alias("_gone_id"), F.col("gone.h1").alias("_h1"), F.col("gone.h2").alias("_h2"))
+
 
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_batches: int = 4, fanout: int = 2) -> DataFrame:
+    """Drop lines that many documents share, except in the largest doc_id that holds them.
+
+    Input columns doc_id and text (others are ignored). Returns (doc_id, n_lines, n_dropped, kept_text), one row for
+    each input row. Null text counts as one empty line. Rows that repeat a doc_id are one document: their lines count
+    once and each row is cleaned alike. Rows with a null doc_id hold no lines and keep all of theirs. Result is empty
+    for an empty table.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    gone = _gone(base, min_chars, min_docs, n_batches, fanout)
 
-def _cleaned(df: DataFrame, min_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_lines, n_dropped, kept = [], [], []
-            for text, h1, h2 in zip(*(b.column(i) for i in (1, 2, 3)), strict=True):
-                rows = (text.as_py() or "").encode("utf-8", "replace").split(b"\n")
-                n_lines.append(len(rows))
-                if h1.is_valid:
-                    pairs = np.array([h1.values.to_numpy(), h2.values.to_numpy()]).T.astype(">i8")
-                    gone = {x.tobytes() for x in pairs}
-                    rows = [x for x in rows if len(x) < min_chars or not _long(k := line_key(x), min_chars) or _hash(k) not in gone]
-                n_dropped.append(n_lines[-1] - len(rows))
-                kept.append(b"\n".join(rows).decode("utf-8", "replace"))
+            n_lines, n_dropped, kept = _kept(b.column(1), b.column(2), b.column(3), min_chars)
             yield pa.record_batch([b.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
 
-    return df.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_text string")
+    both = base.join(gone, F.col("doc_id") == F.col("_gone_id"), "left").select("doc_id", "text", "_h1", "_h2")
+    return both.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_text string")
+
+
+def without_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_batches: int = 4, fanout: int = 2) -> DataFrame:
+    """``docs`` with the same rows and columns, text without the lines that ``line_dedup`` drops (null stays null), n_chars counted anew."""
+    gone = _gone(docs, min_chars, min_docs, n_batches, fanout)
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_columns
+            kept = _kept(b.column(at), b.column(n - 2), b.column(n - 1), min_chars)[2]
+            kept = [x if t.is_valid else None for x, t in zip(kept, b.column(at), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, b.column(i).type) if i == at else b.column(i) for i in range(n - 2)], names=docs_names)
+
+    docs_names = docs.columns
+    both = docs.join(gone, docs["doc_id"] == F.col("_gone_id"), "left").select(*(docs[c] for c in docs.columns), "_h1", "_h2")
+    out = both.mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def _kept(texts: pa.Array, firsts: pa.Array, seconds: pa.Array, min_chars: int) -> tuple[list[int], list[int], list[str]]:
+    """(lines, dropped lines, kept text) of each text, given the hashes of the lines that it loses."""
+    n_lines, n_dropped, kept = [], [], []
+    for text, h1, h2 in zip(texts, firsts, seconds, strict=True):
+        rows = (text.as_py() or "").encode("utf-8", "replace").split(b"\n")
+        n_lines.append(len(rows))
+        if h1.is_valid:
+            pairs = np.array([h1.values.to_numpy(), h2.values.to_numpy()]).T.astype(">i8")
+            gone = {x.tobytes() for x in pairs}
+            rows = [x for x in rows if len(x) < min_chars or not _long(k := line_key(x), min_chars) or _hash(k) not in gone]
+        n_dropped.append(n_lines[-1] - len(rows))
+        kept.append(b"\n".join(rows).decode("utf-8", "replace"))
+    return n_lines, n_dropped, kept
 
 
 def digest(out: DataFrame) -> DataFrame:

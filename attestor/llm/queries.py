@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import decontamination, langid, line_dedup, pii, quality_classifier, quality_rules, simhash, suffix_dedup
+from attestor.llm import decontamination, langid, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup
 from attestor.llm.sql import ORACLES
-from attestor.session import table
+from attestor.session import ship_package, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,18 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    ship_package(spark)
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op3_language_id, op4_quality_rules, op5_quality_classifier, op6_decontamination, op7_simhash_near_dedup, op8_pii_pseudonyms, op9_suffix_dedup)
+    for f in (op1_line_dedup, op2_substring_dedup, op3_language_id, op4_quality_rules, op5_quality_classifier, op6_decontamination, op7_simhash_near_dedup, op8_pii_pseudonyms, op9_suffix_dedup, op10_mixing, pipeline)
 }
