@@ -1,4 +1,11 @@
 """The registered queries over the driver's tables, and their SQL."""
 
+from __future__ import annotations
+
+from attestor.plans import text_queries
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _module in (text_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
