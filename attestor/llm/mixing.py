@@ -29,30 +29,29 @@ PUNCTUATION = ".,;:!?\"'()[]|*$%&#<>"
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    """Add _w (lower-cased words without punctuation) and the counts of characters that the features need."""
+    """Add _w (lower-cased words without punctuation; one empty word for a blank text) and counts of characters."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    plain = F.translate(F.lower(t), PUNCTUATION, " " * len(PUNCTUATION))
+    plain = F.btrim(F.translate(F.lower(t), PUNCTUATION, " " * len(PUNCTUATION)), F.lit(" \t\n\x0b\x0c\r"))
     n = F.char_length(t)
     left = lambda chars: n - F.char_length(F.translate(t, chars, ""))
-    words = F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    return docs.withColumns({"_w": words, "_n": n, "_s": left("#*$%&|<>"), "_u": left("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "_e": left("!")})
+    return docs.withColumns({"_w": F.split(plain, r"[\x20\x09-\x0D]+"), "_n": n, "_s": left("#*$%&|<>!"), "_u": left("ABCDEFGHIJKLMNOPQRSTUVWXYZ")})
 
 
 def _features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
     """Add n_tokens, _b (bins, each 0..15) and _hits (words of the lexicon) to ``docs``."""
     known = F.array(*(F.lit(x) for x in lexicon)) if lexicon else F.array().cast("array<string>")
-    once = F.transform(F.array("_w"), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("d"), F.array_intersect(w, known).alias("h"), F.aggregate(w, F.lit(0), lambda a, x: a + F.char_length(x)).alias("c")))[0]
+    once = F.transform(F.array("_w"), lambda w: F.struct(F.when(w[0] == "", 0).otherwise(F.size(w)).alias("n"), F.size(F.array_distinct(w)).alias("d"), F.array_intersect(w, known).alias("h")))[0]
     df = _prepared(docs).withColumn("_f", once)
     n, size = F.greatest(F.col("_f.n"), F.lit(1)), F.greatest(F.col("_n"), F.lit(1))
     capped = lambda x: F.least(F.floor(x), F.lit(BINS - 1)).cast("int")
     bins = F.array(
         capped(F.log2(F.lit(1.0) + F.col("_f.n"))), capped(400 * F.col("_s") / size), capped(30 * F.col("_u") / size),
-        capped(400 * F.col("_e") / size), capped(15 * F.col("_f.d") / n), capped(F.col("_f.c") / n),
+        capped(15 * F.col("_f.d") / n), capped(size / n),
     )
     return df.select(*docs.columns, F.col("_f.n").cast("long").alias("n_tokens"), bins.alias("_b"), F.col("_f.h").alias("_hits"))
 
 
-N_FEATURES = 6
+N_FEATURES = 5
 
 
 def _adding(weights: Column):
