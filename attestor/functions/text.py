@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,26 +44,36 @@ def normalize_missing(x: Column | str) -> Column:
     return F.when(F.lower(t).isin(*MISSING), None).otherwise(t)
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def canonical_build(x: Column | str) -> Column:
-    v = normalize_missing(x)
-    out = F.upper(v)
-    for name, labels in BUILDS.items():
-        out = F.when(F.lower(v).isin(*labels), name).otherwise(out)
-    return out
+    def named(v: Column) -> Column:
+        out = F.upper(v)
+        for name, labels in BUILDS.items():
+            out = F.when(F.lower(v).isin(*labels), name).otherwise(out)
+        return out
+
+    return bound(normalize_missing(x), named)
 
 
 def protein_consequence(x: Column | str) -> Column:
     """The first rule that holds, in this order: empty, nonsense, frameshift, splice, indel, substitution, other."""
-    v = normalize_missing(x)
-    return (
-        F.when(v.isNull(), "empty")
-        .when(v.endswith("*") | v.contains("Ter"), "nonsense")
-        .when(v.contains("fs"), "frameshift")
-        .when(F.lower(v).contains("splice"), "splice")
-        .when(v.rlike("del|ins|dup"), "indel")
-        .when(v.rlike("^[A-Z*][0-9]+=?$") | v.rlike("^[A-Z][0-9]+[A-Z*]$"), "substitution")
-        .otherwise("other")
-    )
+
+    def rules(v: Column) -> Column:
+        return (
+            F.when(v.isNull(), "empty")
+            .when(v.endswith("*") | v.contains("Ter"), "nonsense")
+            .when(v.contains("fs"), "frameshift")
+            .when(F.lower(v).contains("splice"), "splice")
+            .when(v.rlike("del|ins|dup"), "indel")
+            .when(v.rlike("^[A-Z*][0-9]+=?$") | v.rlike("^[A-Z][0-9]+[A-Z*]$"), "substitution")
+            .otherwise("other")
+        )
+
+    return bound(normalize_missing(x), rules)
 
 
 def expected_consequence(mutation_type: Column | str) -> Column:

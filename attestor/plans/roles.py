@@ -18,7 +18,7 @@ RECORDS = """(SELECT o_orderpriority AS study, o_orderkey AS sample, o_custkey A
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 HREFS = """(SELECT page_id, pos, lower(href) AS href FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos
-  FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages)))"""
+  FROM (SELECT page_id, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS h FROM pages)))"""
 
 CALLS = """(SELECT event_id AS ord, user_id AS trace_id, event_type AS tool, props AS args, event_type <> 'error' AS ok, value AS latency,
   CAST(floor(value) AS BIGINT) % 5 AS n_results, CASE WHEN event_type = 'error' THEN 'E' || CAST(event_id AS VARCHAR) END AS error FROM events)"""
@@ -46,7 +46,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, pos, href): the links of each page in lower case."""
-    h = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    h = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(h).alias("pos", "href")).withColumn("href", F.lower("href"))
 
 
