@@ -54,8 +54,13 @@ def _features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
 N_FEATURES = 5
 
 
-def _adding(weights: Column):
-    return lambda a, w: a + F.coalesce(F.try_element_at(weights, w), F.lit(0.0))
+def _added(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def _literal(values: list) -> Column:
+    """A constant array, of numbers or of arrays."""
+    return F.array(*(_literal(v) if isinstance(v, list) else F.lit(float(v)) for v in values))
 
 
 @dataclass
@@ -69,31 +74,35 @@ class Mixture:
     steps: list[list[float]] = field(default_factory=list)
     ridge: float = RIDGE
 
+    def posterior(self) -> Column:
+        """The domains' posteriors as one array, from _b and _hits: vectors of log likelihoods are added, then normalised."""
+        parts = [_literal(table)[F.col("_b")[f]] for f, table in enumerate(self.bins)]
+        if self.words:
+            weights = F.create_map(*(v for w, p in self.words.items() for v in (F.lit(w), _literal(p))))
+            parts.append(F.aggregate("_hits", _literal([0.0] * len(self.domains)), lambda a, w: _added(a, F.try_element_at(weights, w))))
+        logs = F.aggregate(F.array(*parts), _literal(self.prior), _added)
+        odds = F.transform(F.array(logs), lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v))))[0]
+        return F.transform(F.array(odds), lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))[0]
+
     def posteriors(self, df: DataFrame) -> DataFrame:
         """Add p_<domain> to a frame that has the features."""
-        logs = []
-        for k in range(len(self.domains)):
-            x = F.lit(self.prior[k])
-            for f, table in enumerate(self.bins):
-                x = x + F.array(*(F.lit(row[k]) for row in table))[F.col("_b")[f]]
-            if self.words:
-                weights = F.create_map(*(v for w, p in self.words.items() for v in (F.lit(w), F.lit(p[k]))))
-                x = x + F.aggregate("_hits", F.lit(0.0), _adding(weights))
-            logs.append(x.alias(f"_l{k}"))
-        df = df.select("*", *logs)
-        top = F.greatest(*(F.col(f"_l{k}") for k in range(len(logs)))) if len(logs) > 1 else F.col("_l0")
-        df = df.withColumn("_top", top)
-        df = df.withColumn("_z", sum((F.exp(F.col(f"_l{k}") - F.col("_top")) for k in range(1, len(logs))), F.exp(F.col("_l0") - F.col("_top"))))
-        df = df.select("*", *((F.exp(F.col(f"_l{k}") - F.col("_top")) / F.col("_z")).alias(f"p_{d}") for k, d in enumerate(self.domains)))
-        return df.drop("_b", "_hits", "_top", "_z", *(f"_l{k}" for k in range(len(logs))))
-
-    def rate(self, start: int = 0, base: Column | None = None) -> Column:
+        df = df.withColumn("_p", self.posterior())
+        return df.select("*", *(F.col("_p")[k].alias(f"p_{d}") for k, d in enumerate(self.domains))).drop("_b", "_hits", "_p")
+
+    def rate(self, posterior: Column, start: int = 0, base: Column | None = None) -> Column:
         """The rate after all rounds (from round ``start`` on, given the rate before it): projections onto rate >= 0."""
-        r = F.lit(1.0) if base is None else base
-        for g in self.steps[start:]:
-            move = sum((F.col(f"p_{d}") * F.lit(g[k]) for k, d in enumerate(self.domains)), F.lit(0.0))
-            r = F.greatest(F.lit(0.0), r * F.lit(1 - self.ridge) + F.lit(self.ridge) - move)
-        return r
+        first = F.lit(1.0) if base is None else base
+        if not self.steps[start:]:
+            return first
+
+        def step(p: Column):
+            def moved(r: Column, g: Column) -> Column:
+                pull = sum((p[k] * g[k] for k in range(1, len(self.domains))), p[0] * g[0])
+                return F.greatest(F.lit(0.0), r * (1 - self.ridge) + self.ridge - pull)
+
+            return moved
+
+        return F.transform(F.array(posterior), lambda p: F.aggregate(_literal(self.steps[start:]), first, step(p)))[0]
 
 
 def classifier(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, lexicon: int = LEXICON) -> Mixture:
@@ -142,6 +151,7 @@ def fitted(members: DataFrame, mix: Mixture, targets: dict[str, float], rounds:
     norm = sum(targets[d] for d in use)
     goal = {d: targets[d] / norm * sum(share[x] for x in use) for d in use} if use else {}
     state, done = members.withColumn("rate", F.lit(1.0)), 0
+    of = F.array(*(F.col(f"p_{d}") for d in mix.domains))
     got = share
     for i in range(rounds if use else 0):
         error = {d: got[d] - goal[d] for d in use}
@@ -149,12 +159,12 @@ def fitted(members: DataFrame, mix: Mixture, targets: dict[str, float], rounds:
             break
         mix.steps.append([error[d] / share[d] if d in goal else 0.0 for d in mix.domains])
         if i % every == every - 1:
-            new = written(state.withColumn("rate", mix.rate(done, F.col("rate"))))
+            new = written(state.withColumn("rate", mix.rate(of, done, F.col("rate"))))
             discard(state)
             state, done = new, len(mix.steps)
-        row = total(state, mix.rate(done, F.col("rate")))
+        row = total(state, mix.rate(of, done, F.col("rate")))
         got = {d: (row[d] or 0.0) / n for d in mix.domains}
-    return state.withColumn("rate", mix.rate(done, F.col("rate")))
+    return state.withColumn("rate", mix.rate(of, done, F.col("rate")))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **options) -> tuple[DataFrame, Mixture]:
@@ -176,4 +186,4 @@ def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
     _, mix = mixed(docs, labels, targets)
     if not mix.domains:
         return docs.withColumn("rate", F.lit(1.0))
-    return mix.posteriors(_features(docs, list(mix.words))).withColumn("rate", mix.rate()).where("rate > 0").select(*docs.columns, "rate")
+    return _features(docs, list(mix.words)).withColumn("rate", mix.rate(mix.posterior())).where("rate > 0").select(*docs.columns, "rate")
