@@ -39,7 +39,8 @@ def step_explode_label(spark, sf_dir):
     return s.join(ok, "step_id", "left").select("step_id", labels.guideline_label(F.col("cited"), F.coalesce("ok", F.array().cast("array<string>"))).alias("sound"))
 
 
-_RAW = f"(SELECT page_id, string_agg(CASE pos % 3 WHEN 0 THEN 'doc:' || href WHEN 1 THEN href ELSE 'some free ' || href END, CASE WHEN page_id % 2 = 0 THEN ', ' ELSE ' and ' END ORDER BY pos) AS raw FROM {HREFS} GROUP BY page_id)"
+_SHOWN = "CASE pos % 3 WHEN 0 THEN 'doc:' || href WHEN 1 THEN href ELSE 'some free ' || href END"
+_RAW = f"(SELECT page_id, CASE WHEN page_id % 2 = 0 THEN string_agg({_SHOWN}, ', ' ORDER BY pos) ELSE string_agg({_SHOWN}, ' and ' ORDER BY pos) END AS raw FROM {HREFS} GROUP BY page_id)"
 _TOKENS = f"""(SELECT page_id, token, CASE WHEN k.id IS NOT NULL THEN 'resolved' WHEN regexp_matches(token, '^[A-Za-z0-9_.\\-]+$') AND s.id IS NOT NULL THEN 'resolved_suffix'
   WHEN regexp_matches(token, '^[A-Za-z_]+:[A-Za-z0-9_.\\-]+$') OR regexp_matches(token, '^[A-Za-z0-9_.\\-]+$') THEN 'invented' ELSE 'prose' END AS kind
   FROM (SELECT page_id, trim(trim(unnest(regexp_split_to_array(raw, '(?i)\\s*(?:,|;|&|\\band\\b)\\s*'))), '.') AS token FROM {_RAW}) t

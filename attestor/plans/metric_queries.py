@@ -254,3 +254,22 @@ def bon_lift(spark, sf_dir):
 @query(f"SELECT source AS arm, count(*) AS n, round(avg(correct::INT), 6) AS rate FROM {CONFIDENT} GROUP BY source")
 def arms_compared(spark, sf_dir):
     return select.arms_compared(confident(spark, sf_dir).withColumnRenamed("source", "arm"), "arm", "correct")
+
+
+@query(f"SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, tool, count(*) AS n, round(avg(ok::INT), 6) AS success_rate, round(avg(latency), 4) AS mean_latency FROM (SELECT e.ts, c.* FROM {CALLS} c JOIN events e ON e.event_id = c.ord) GROUP BY ALL")
+def stream_reliability(spark, sf_dir):
+    """The events file as a stream, once through; the result is one row for each day and tool."""
+    from attestor.streaming import reliability
+
+    source = table(spark, sf_dir, "events")
+    events = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")
+    c = events.select("ts", F.col("event_type").alias("tool"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency"))
+    return reliability.run_once(reliability.windowed_reliability(c.withColumn("ts", F.col("ts").cast("timestamp")), late="60 days"), "attestor_reliability")
+
+
+@query("SELECT trace_id, count(*) AS n_sessions, CAST(sum(n) AS BIGINT) AS n FROM (SELECT user_id AS trace_id, s, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events)) GROUP BY ALL) GROUP BY trace_id")
+def call_sessions(spark, sf_dir):
+    from attestor.streaming import reliability
+
+    c = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return reliability.call_sessions(c).groupBy("trace_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n"))
