@@ -25,7 +25,7 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{work_dir(spark)}/attestor-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)  # an empty table partitioned by a column has no file to infer from
     out._attestor_path = path
     return out
 

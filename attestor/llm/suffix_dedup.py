@@ -209,7 +209,9 @@ def _bucket_of(h: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
+    if not len(bucket):
+        return
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
         yield int(bucket[lo]), lo, hi
 

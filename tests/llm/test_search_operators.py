@@ -1,0 +1,174 @@
+"""Substring dedup, decontamination, PII and the pipeline."""
+
+import random
+import re
+
+import pytest
+
+from attestor.llm import decontamination as dec
+from attestor.llm import pii
+from attestor.llm import substring_dedup as sub
+from tests.llm.helpers import WORDS, awkward, documents, prose
+
+
+def edited(rng, words, edits):
+    w = list(words)
+    for _ in range(edits):
+        i = rng.randrange(3, len(w) - 3)
+        kind = rng.randrange(3)
+        if kind == 0:
+            w[i] = "changed" + str(rng.randrange(99))
+        elif kind == 1:
+            del w[i]
+        else:
+            w.insert(i, "added")
+    return w
+
+
+def test_passages_are_found_and_clean_text_is_left(spark):
+    rng = random.Random(11)
+    words = lambda n: [rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(n)]
+    shared, fuzzy = words(60), words(90)
+    rows = [(i, " ".join(words(120))) for i in range(20)]
+    rows[3] = (3, " ".join(words(30) + shared + words(40)))
+    rows[9] = (9, " ".join(words(10) + shared + words(20)))
+    rows[12] = (12, " ".join(words(25) + shared))
+    rows[5] = (5, " ".join(words(20) + fuzzy + words(20)))
+    rows[15] = (15, " ".join(words(33) + edited(rng, fuzzy, 5) + words(20)))
+    got = {r.doc_id: r for r in sub.substring_dedup(documents(spark, rows)).collect()}
+    assert sorted(d for d, r in got.items() if r.n_removed) == [9, 12, 15]
+    assert [(s.start, s.end) for s in got[9].spans] == [(10, 70)] and [(s.start, s.end) for s in got[12].spans] == [(25, 85)]
+    assert (got[9].source_id, got[12].source_id, got[15].source_id) == (3, 3, 5)
+    assert abs(got[15].spans[0].start - 33) <= 3 and 85 <= got[15].n_removed <= 96
+    short = [(1, " ".join(shared[:40] + words(30))), (2, " ".join(words(30) + shared[:40]))]
+    assert sum(r.n_removed for r in sub.substring_dedup(documents(spark, short)).collect()) == 0
+
+
+def test_substring_awkward_and_empty(spark):
+    got = sub.substring_dedup(documents(spark, awkward())).collect()
+    assert len(got) == len(awkward()) and sum(r.n_removed for r in got) == 0
+    assert sub.substring_dedup(documents(spark, [])).count() == 0
+
+
+def slow_chain(x, y, k):
+    best = [k] * len(x)
+    for i in sorted(range(len(x)), key=lambda i: (x[i], -y[i])):
+        for j in range(len(x)):
+            if x[j] < x[i] and y[j] < y[i]:
+                best[i] = max(best[i], best[j] + k - sub.GAP_COST * (x[i] - x[j] + y[i] - y[j]))
+    return max(best)
+
+
+def test_chaining_finds_the_best_score():
+    rng = random.Random(2)
+    for _ in range(30):
+        pts = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(25)})
+        x, y = [p[0] for p in pts], [p[1] for p in pts]
+        c = sub.chains(x, y, min_seeds=1)[0]
+        score = sub.K * len(c) - sub.GAP_COST * (x[c[-1]] - x[c[0]] + y[c[-1]] - y[c[0]])
+        assert score == pytest.approx(slow_chain(x, y, sub.K))
+        assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:], strict=False))
+
+
+def test_seed_hashes_do_not_depend_on_place():
+    own, _ = sub.seeds_of(b"aa bb cc dd ee ff gg", window=1)
+    other, at = sub.seeds_of(b"zz\n\tyy  aa bb cc dd ee ff gg hh", window=1)
+    assert set(own) <= set(other) and at[list(other).index(own[0])] == 2
+
+
+def distance(a, b):
+    """Edit distance of a to the best substring of b."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row)
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(8)
+    items = [(i, prose(rng, 14)) for i in range(12)] + [(50, None), (51, "short"), (None, prose(rng, 14))]
+    rows = []
+    for i in range(60):
+        text = prose(rng, rng.randint(0, 20))
+        if i % 2:
+            t = list(items[rng.randrange(12)][1])
+            for _ in range(rng.randint(0, 14)):
+                j = rng.randrange(len(t))
+                t[j : j + 1] = rng.choice(([], [rng.choice("xyz")], [t[j], "q"]))
+            text += " " + "".join(t).replace(" ", rng.choice((" ", "\n "))) + " " + prose(rng, 5)
+        rows.append((i, text))
+    got = {(r.doc_id, r.item_id): r.distance for r in dec.contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), block_chars=300).collect()}
+    want = {}
+    for d, t in rows:
+        for n, it in items:
+            p = dec.normalised(it)
+            if n is not None and len(p) >= dec.MIN_CHARS and (x := distance(p, dec.normalised(t))) <= int(dec.RATE * len(p)):
+                want[d, n] = x
+    assert got == want and len({v for v in want.values()}) > 3
+    kept = dec.decontaminated(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_decontamination_awkward_and_empty(spark):
+    items = spark.createDataFrame([(1, "a line of a document without an id")], "item_id bigint, text string")
+    assert [r.doc_id for r in dec.contaminated(documents(spark, awkward()), items).collect()] == [None]
+    assert dec.contaminated(documents(spark, awkward()), items.limit(0)).count() == 0
+    assert dec.contaminated(documents(spark, []), items).count() == 0
+
+
+KEY = b"k" * 32
+
+
+def test_pseudonyms_keep_format_and_validity():
+    text = "mail Jo.Doe7@mail4.example.com or +1 (974) 555-3436, card 4539 1488 0343 6467, ip 97.51.17.173, born 1984-02-29 and 3/4/1999, DE89 3704 0044 0532 0130 00, 123-45-6789, token 04dbebab91ab85687d33eeaaf9ac699e1188f962."
+    new, counts = pii.pseudonymised(text, KEY)
+    assert counts == {"email": 1, "phone": 1, "card": 1, "ip": 1, "date": 2, "iban": 1, "ssn": 1, "secret": 1}
+    for value in ("Jo.Doe7", "974", "4539 1488 0343 6467", "97.51.17.173", "1984-02-29", "123-45-6789", "04dbebab"):
+        assert value not in new
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new) and re.search(r"[A-Z][a-z]\.[A-Z][a-z]{2}\d@[a-z]{4}\d\.example\.com", new)
+    card = [int(c) for c in re.search(r"\d{4} \d{4} \d{4} \d{4}", new).group() if c.isdigit()]
+    assert pii.luhn_valid(card)
+    assert pii.pseudonymised("Nothing 12 here, version 4.0.1, 2024", KEY) == ("Nothing 12 here, version 4.0.1, 2024", {})
+
+
+def test_equal_values_stay_linked_and_different_ones_differ():
+    new = lambda t: pii.pseudonymised(t, KEY)[0]
+    digits = lambda t: re.sub(r"\D", "", new(t))
+    assert digits("4539 1488 0343 6467") == digits("4539-1488-0343-6467") == digits("x 4539148803436467")
+    assert new("A@b.example.com").lower() == new("a@B.example.com").lower()
+    seen = {tuple(pii.permuted([a, b, c], [10] * 3, KEY, "t")) for a in range(10) for b in range(10) for c in range(10)}
+    assert len(seen) == 1000
+    days = {pii._day(d, KEY) for d in range(pii.FIRST_DAY, pii.FIRST_DAY + 2000)}
+    assert len(days) == 2000 and all(pii.FIRST_DAY <= d <= pii.LAST_DAY for d in days)
+    assert pii.permuted([1, 2, 3, 4], [10] * 4, KEY, "t") != pii.permuted([1, 2, 3, 4], [10] * 4, b"z" * 32, "t")
+
+
+def test_pii_awkward_and_empty(spark):
+    got = pii.protected(documents(spark, [*awkward(), (30, "call +1 (974) 555-3436")])).collect()
+    assert len(got) == len(awkward()) + 1 and sum(r.n_phone for r in got) == 1
+    assert next(r for r in got if r.doc_id == 1).text is None
+    assert pii.protected(documents(spark, [])).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    item = prose(rng, 20)
+    line = " ".join(rng.choice(WORDS) for _ in range(12))
+    rows = [(i, prose(rng, 70) + ("\n" + line if i % 4 == 0 else "")) for i in range(80)]
+    rows += [(100 + i, " ".join(w + "*$%" for w in prose(rng, 60).split())) for i in range(30)]
+    rows += [(200, rows[1][1]), (201, prose(rng, 30) + " " + item), (202, None), (203, "")]
+    labels = [(i, 1, 0) for i in range(0, 80)] + [(100 + i, 0, 0) for i in range(30)]
+    docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "benchmarks", "mixture"]
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert not set(out) & {*range(100, 130), 200, 201}
+    assert len(set(range(80)) - set(out)) <= 1
+    assert all(r.rate > 0 for r in out.values())
+    assert sum(line in out[i].text for i in range(0, 80, 4) if i in out) == 1
