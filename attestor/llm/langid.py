@@ -9,15 +9,17 @@ n-grams over a bounded sample of labelled documents.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = regex.compile(r"[\p{L}\p{M}]+")
+WORD = re.compile(r"[^\W\d_]+")
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -63,22 +65,38 @@ class LanguageModel:
             i += n
         return out
 
-    def scored(self, words: Counter, memo: dict[str, list[float]]) -> tuple[str, float]:
-        total = [0.0] * len(self.langs)
-        for w, c in words.items():
-            s = memo.get(w)
-            if s is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                s = memo[w] = self.word(w)
-            total = [a + c * b for a, b in zip(total, s, strict=True)]
-        best = max(total)
-        at = total.index(best)
-        return self.langs[at], 1 / sum(math.exp(max(-700.0, x - best)) for x in total)
+    def scored(self, text: str, rows: WordRows) -> tuple[str, float]:
+        total = rows.total(WORD.findall(text.lower()))
+        at = int(total.argmax())
+        return self.langs[at], float(1 / np.exp(total - total[at]).sum())
+
+
+class WordRows(dict):
+    """Words met so far, as rows of a table of scores; a bounded memo that starts anew when it is full."""
+
+    def __init__(self, model: LanguageModel, most: int = 200_000):
+        self.model, self.most = model, most
+        self.table = np.zeros((most, len(model.langs)))
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        self.table[at] = self.model.word(word)
+        self[word] = at
+        return at
+
+    def total(self, words: list[str]) -> np.ndarray:
+        """The sum of the words' scores."""
+        out = np.zeros(self.table.shape[1])
+        for lo in range(0, len(words), 50_000):
+            part = words[lo : lo + 50_000]
+            if len(self) + len(part) > self.most:
+                self.clear()
+            out += self.table[[self[w] for w in part]].sum(axis=0)
+        return out
 
 
 def words_of(text: str) -> Counter:
-    return Counter(w[:64] for w in WORD.findall(text.lower()))
+    return Counter(WORD.findall(text.lower()))
 
 
 def labelled_sample(docs: DataFrame, keep, max_docs: int, max_chars: int, *label: str) -> list:
@@ -110,7 +128,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = shared.value, {}
+        model = shared.value
+        rows = WordRows(model)
         for b in batches:
             out = []
             for t in b.column(1):
@@ -118,7 +137,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 if text is None or not model.langs or not LETTER.search(text):
                     out.append(("und", 0.0))
                 else:
-                    out.append(model.scored(words_of(text), memo))
+                    out.append(model.scored(text, rows))
             yield pa.record_batch([b.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
