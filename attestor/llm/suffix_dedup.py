@@ -35,6 +35,8 @@ SIDE = DEPTH - Q  # bytes that a window may reach beyond its anchor, on either s
 SPAN = DEPTH + SIDE  # bytes around an anchor
 SEGMENT = 1 << 20
 CHUNK_BYTES, BUCKET_BYTES = 6_000_000, 6_000_000
+#: The lowest 0 to 8 bytes of a word.
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -62,6 +64,7 @@ def _anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = total - DEPTH + 1
     firsts, lasts, anchors, hashes = [], [], [], []
     width = SIDE + 1
+    end_of = np.repeat(ends, np.diff(ends, prepend=0))
     for lo in range(0, max(n, 0), SEGMENT):
         hi = min(n, lo + SEGMENT)
         h = _gram_hash(buf, lo, hi + SIDE)
@@ -73,7 +76,7 @@ def _anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         m = np.minimum(m[: hi - lo], m[width - size : width - size + hi - lo])
         at = (m & np.uint64((1 << 24) - 1)).astype(np.int64)
         start = np.arange(lo, hi)
-        doc_end = ends[np.searchsorted(ends, start, side="right")]
+        doc_end = end_of[lo:hi]
         ok = start + DEPTH <= doc_end
         new = np.r_[True, (at[1:] != at[:-1]) | (doc_end[1:] != doc_end[:-1]) | (ok[1:] != ok[:-1])]
         run = np.flatnonzero(new)
@@ -117,15 +120,14 @@ class Chunk:
     def _context_hash(self) -> np.ndarray:
         out = np.empty(len(self.first), np.uint64)
         words = -(-SPAN // 8)
+        spans = np.lib.stride_tricks.as_strided(self.buf, (len(self.buf) - words * 8 + 1, words * 8), (1, 1))
         for lo in range(0, len(out), 50_000):
             f, a = self.first[lo : lo + 50_000], self.anchor[lo : lo + 50_000]
             n = self.last[lo : lo + 50_000] - f + DEPTH
-            rows = self.buf[np.minimum(f[:, None] + np.arange(words * 8), len(self.buf) - 1)]
-            rows[np.arange(words * 8) >= n[:, None]] = 0
-            w = rows.view("<u8")
+            w = spans[f].view("<u8")
             x = ((a - f) * 256 + n).astype(np.uint64) * K3
             for i in range(words):
-                x = _mix(x + w[:, i] * K1)
+                x = _mix(x + (w[:, i] & MASKS[np.clip(n - 8 * i, 0, 8)]) * K1)
             out[lo : lo + 50_000] = x
         return out
 
