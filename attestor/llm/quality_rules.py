@@ -111,7 +111,7 @@ def _start(fit: DataFrame) -> DataFrame:
     """Median and quartile range of each coordinate as means and a diagonal factor."""
     n = len(DIMS)
     long = fit.select("g", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(x) / BIN).alias("bin")) for i, x in enumerate(DIMS)))).alias("v")).select("g", "v.i", "v.bin")
-    q = _quantile_bins(long.groupBy("g", "i", "bin").agg(F.count("*").alias("n")), ["g", "i"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    q = _quantile_bins(written(long.groupBy("g", "i", "bin").agg(F.count("*").alias("n"))), ["g", "i"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     q = q.select("g", "i", ((F.col("q2") + 0.5) * BIN).alias("m"), ((F.col("q3") - F.col("q1") + 1) * BIN / 1.349).alias("s"))
     cells = q.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m{i}") for i in range(n)), *(F.max(F.when(F.col("i") == i, F.greatest(F.col("s"), F.lit(FLOORS[i])))).alias(f"l{i}{i}") for i in range(n)))
     return cells.select("g", *(f"m{i}" for i in range(n)), *(F.col(f"l{i}{j}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for i in range(n) for j in range(i + 1)))
@@ -120,7 +120,8 @@ def _start(fit: DataFrame) -> DataFrame:
 def _concentrated(fit: DataFrame, params: DataFrame, support: float) -> DataFrame:
     """One concentration step: moments of the ``support`` share of each group that is nearest (whole bins of distance)."""
     d = _distances(fit, params).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 20))
-    limit = _quantile_bins(d.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], {"most": support})
+    # written, so that counts are whole before a group's bins meet: a few hundred rows, however large the group
+    limit = _quantile_bins(written(d.groupBy("g", "bin").agg(F.count("*").alias("n"))), ["g"], {"most": support})
     near = d.join(written(limit), "g").where("bin <= most")  # written: its size is known, so a hot group's rows need not meet
     return _factors(near.groupBy("g").agg(*_moments()), CONSISTENCY)
 
