@@ -29,26 +29,27 @@ PUNCTUATION = ".,;:!?\"'()[]|*$%&#<>"
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    """Add _w (lower-cased words without punctuation; one empty word for a blank text) and counts of characters."""
+    """Add _mix_w (lower-cased words without punctuation; one empty word for a blank text) and counts of characters."""
     t = F.coalesce(F.col("text"), F.lit(""))
     plain = F.btrim(F.translate(F.lower(t), PUNCTUATION, " " * len(PUNCTUATION)), F.lit(" \t\n\x0b\x0c\r"))
     n = F.char_length(t)
     left = lambda chars: n - F.char_length(F.translate(t, chars, ""))
-    return docs.withColumns({"_w": F.split(plain, r"[\x20\x09-\x0D]+"), "_n": n, "_s": left("#*$%&|<>!"), "_u": left("ABCDEFGHIJKLMNOPQRSTUVWXYZ")})
+    return docs.withColumns({"_mix_w": F.split(plain, r"[\x20\x09-\x0D]+"), "_mix_n": n, "_mix_s": left("#*$%&|<>!"), "_mix_u": left("ABCDEFGHIJKLMNOPQRSTUVWXYZ")})
 
 
 def _features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
-    """Add n_tokens, _b (bins, each 0..15) and _hits (words of the lexicon) to ``docs``."""
+    """Add n_tokens, _mix_b (bins, each 0..15) and _mix_hits (words of the lexicon) to ``docs``."""
     known = F.array(*(F.lit(x) for x in lexicon)) if lexicon else F.array().cast("array<string>")
-    once = F.transform(F.array("_w"), lambda w: F.struct(F.when(w[0] == "", 0).otherwise(F.size(w)).alias("n"), F.size(F.array_distinct(w)).alias("d"), F.array_intersect(w, known).alias("h")))[0]
-    df = _prepared(docs).withColumn("_f", once)
-    n, size = F.greatest(F.col("_f.n"), F.lit(1)), F.greatest(F.col("_n"), F.lit(1))
+    once = F.transform(F.array("_mix_w"), lambda w: F.struct(F.when(w[0] == "", 0).otherwise(F.size(w)).alias("n"), F.size(F.array_distinct(w)).alias("d"), F.array_intersect(w, known).alias("h"), F.col("_mix_n").alias("c"), F.col("_mix_s").alias("s"), F.col("_mix_u").alias("u")))
+    # exploded (to one row): later filters and projections read the struct, they don't evaluate it again
+    df = _prepared(docs).select(*docs.columns, F.explode(once).alias("_mix_f"))
+    n, size = F.greatest(F.col("_mix_f.n"), F.lit(1)), F.greatest(F.col("_mix_f.c"), F.lit(1))
     capped = lambda x: F.least(F.floor(x), F.lit(BINS - 1)).cast("int")
     bins = F.array(
-        capped(F.log2(F.lit(1.0) + F.col("_f.n"))), capped(400 * F.col("_s") / size), capped(30 * F.col("_u") / size),
-        capped(15 * F.col("_f.d") / n), capped(size / n),
+        capped(F.log2(F.lit(1.0) + F.col("_mix_f.n"))), capped(400 * F.col("_mix_f.s") / size), capped(30 * F.col("_mix_f.u") / size),
+        capped(15 * F.col("_mix_f.d") / n), capped(size / n),
     )
-    return df.select(*docs.columns, F.col("_f.n").cast("long").alias("n_tokens"), bins.alias("_b"), F.col("_f.h").alias("_hits"))
+    return df.select(*docs.columns, F.col("_mix_f.n").cast("long").alias("n_tokens"), bins.alias("_mix_b"), F.col("_mix_f.h").alias("_mix_hits"))
 
 
 N_FEATURES = 5
@@ -75,19 +76,19 @@ class Mixture:
     ridge: float = RIDGE
 
     def posterior(self) -> Column:
-        """The domains' posteriors as one array, from _b and _hits: vectors of log likelihoods are added, then normalised."""
-        parts = [_literal(table)[F.col("_b")[f]] for f, table in enumerate(self.bins)]
+        """The domains' posteriors as one array, from _mix_b and _mix_hits: vectors of log likelihoods are added, then normalised."""
+        parts = [_literal(table)[F.col("_mix_b")[f]] for f, table in enumerate(self.bins)]
         if self.words:
             weights = F.create_map(*(v for w, p in self.words.items() for v in (F.lit(w), _literal(p))))
-            parts.append(F.aggregate("_hits", _literal([0.0] * len(self.domains)), lambda a, w: _added(a, F.try_element_at(weights, w))))
+            parts.append(F.aggregate("_mix_hits", _literal([0.0] * len(self.domains)), lambda a, w: _added(a, F.try_element_at(weights, w))))
         logs = F.aggregate(F.array(*parts), _literal(self.prior), _added)
         odds = F.transform(F.array(logs), lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v))))[0]
         return F.transform(F.array(odds), lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))[0]
 
     def posteriors(self, df: DataFrame) -> DataFrame:
         """Add p_<domain> to a frame that has the features."""
-        df = df.withColumn("_p", self.posterior())
-        return df.select("*", *(F.col("_p")[k].alias(f"p_{d}") for k, d in enumerate(self.domains))).drop("_b", "_hits", "_p")
+        df = df.withColumn("_mix_p", self.posterior())
+        return df.select("*", *(F.col("_mix_p")[k].alias(f"p_{d}") for k, d in enumerate(self.domains))).drop("_mix_b", "_mix_hits", "_mix_p")
 
     def rate(self, posterior: Column, start: int = 0, base: Column | None = None) -> Column:
         """The rate after all rounds (from round ``start`` on, given the rate before it): projections onto rate >= 0."""
@@ -120,7 +121,7 @@ def classifier(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, lex
     domains, total = sorted(sizes), sum(sizes.values())
     if not domains:
         return Mixture([], [], [], {})
-    seen = _prepared(sample).select("domain", F.explode(F.array_distinct("_w")).alias("w"))
+    seen = _prepared(sample).select("domain", F.explode(F.array_distinct("_mix_w")).alias("w"))
     per = seen.groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n_{k}") for k, d in enumerate(domains))).where("n >= 5")
     gain = sum((F.when(F.col(f"n_{k}") > 0, F.col(f"n_{k}") * F.log(F.col(f"n_{k}") / F.col("n") / F.lit(sizes[d] / total))).otherwise(0.0) for k, d in enumerate(domains)), F.lit(0.0))
     lift = F.greatest(*(F.col(f"n_{k}") / F.col("n") / F.lit(sizes[d] / total) for k, d in enumerate(domains)), F.lit(0.0))
@@ -131,7 +132,7 @@ def classifier(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, lex
         p = [(r[f"n_{k}"] + 0.5) / (sizes[d] + 1) for k, d in enumerate(domains)]
         words[r.w] = [math.log(x / (1 - x)) for x in p]
         prior = [a + math.log(1 - x) for a, x in zip(prior, p, strict=True)]
-    counts = _features(sample, []).select("domain", F.posexplode("_b").alias("f", "bin")).groupBy("f", "bin", "domain").count().collect()
+    counts = _features(sample, []).select("domain", F.posexplode("_mix_b").alias("f", "bin")).groupBy("f", "bin", "domain").count().collect()
     n = {(r.f, r.bin, r.domain): r["count"] for r in counts}
     bins = [[[math.log((n.get((f, b, d), 0) + 0.2) / (sizes[d] + 0.2 * BINS)) for d in domains] for b in range(BINS)] for f in range(N_FEATURES)]
     discard(sample)
@@ -177,13 +178,14 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     mix = classifier(docs, labels, **options)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frame = _features(own, list(mix.words)).drop("text")
-    members = written(mix.posteriors(frame) if mix.domains else frame.drop("_b", "_hits"))
+    members = written(mix.posteriors(frame) if mix.domains else frame.drop("_mix_b", "_mix_hits"))
     return fitted(members, mix, TARGETS if targets is None else targets), mix
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with a column rate, without rows of rate 0. The fitted rates are an expression of the text: no join."""
+    """``docs`` with a column rate, without rows of rate 0; a column of that name is replaced. The fitted rates are an expression of the text: no join."""
     _, mix = mixed(docs, labels, targets)
+    docs = docs.drop("rate")
     if not mix.domains:
         return docs.withColumn("rate", F.lit(1.0))
-    return _features(docs, list(mix.words)).withColumn("rate", mix.rate(mix.posterior())).where("rate > 0").select(*docs.columns, "rate")
+    return _features(docs, list(mix.words)).select(*docs.columns, F.explode(F.array(mix.rate(mix.posterior()))).alias("rate")).where("rate > 0")

@@ -126,7 +126,7 @@ def test_mixing_meets_its_targets(spark):
     for d in mix.domains:
         assert (p.rate * p.n_tokens * p[f"p_{d}"]).sum() / total == pytest.approx(targets[d], abs=2e-3)
     assert p[[f"p_{d}" for d in mix.domains]].sum(axis=1).values == pytest.approx(np.ones(len(p)))
-    direct = mixing.with_rates(documents(spark, [(d, t) for d, t in rows]).drop("rate"), spark.createDataFrame(labels, LABELS), targets).toPandas()
+    direct = mixing.with_rates(documents(spark, rows), spark.createDataFrame(labels, LABELS), targets).toPandas()
     assert dict(zip(direct.doc_id, direct.rate, strict=True)) == pytest.approx({d: r for d, r in zip(p.doc_id, p.rate, strict=True) if r > 0})
     # the same by numpy
     x, n, s = p[[f"p_{d}" for d in mix.domains]].values, p.n_tokens.values, None
