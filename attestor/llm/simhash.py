@@ -6,10 +6,14 @@ distance 4, so two segments that differ in at most one bit always share a codewo
 most two differing bits in all, some segment i has at most one error while segment i-1 (cyclically) has none
 (pigeonhole over the cases 2+0+0 and 1+1+0), so (codeword of segment i, exact segment i-1) is a complete set of join
 keys. Pairs that meet are verified by their real distance.
+
+``simhash_components`` is that operator; ``similar_components`` applies the same decoding to wide fingerprints, for
+documents whose shingle sets are 0.8 alike or more.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -197,9 +201,91 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = RADIUS,
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates_dropped(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+WIDE, TABLES, SLACK = 8, 80, 1.0
+FIELDS = [f"f{i}" for i in range(WIDE)]
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
+    """A fingerprint of 64 * WIDE bits over the set of shingles: each XXH64 is mixed with a constant for each 64 bits."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(WIDE, np.uint64)
+    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64))
+    out = np.zeros(WIDE, np.uint64)
+    for j in range(WIDE):
+        x = h + np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones = sum(np.unpackbits(x[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(x), 65536))
+        out[j] = int.from_bytes(np.packbits(2 * ones > len(x), bitorder="little").tobytes(), "little")
+    return out
+
+
+def wide_keys(fp: np.ndarray, tail: int) -> np.ndarray:
+    """(rows, TABLES) keys: in each table 23 drawn bits, decoded to the index of the nearest Golay codeword, and ``tail`` more as they are."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+    drawn = np.random.default_rng(20).permuted(np.tile(np.arange(64 * WIDE), (TABLES, 1)), axis=1)
+    keys = np.empty((len(fp), TABLES), np.int64)
+    for t, own in enumerate(drawn):
+        v = bits[:, own[:23]] @ (1 << np.arange(23, dtype=np.int64))
+        index = (v ^ PATTERNS[_syndrome(v), 0]) >> 11
+        keys[:, t] = (np.int64(t) << 55) | index << tail | bits[:, own[23 : 23 + tail]] @ (1 << np.arange(tail, dtype=np.int64))
+    return keys
+
+
+def most_differing(similarity: float) -> int:
+    """Differing bits that sets of this Jaccard similarity are expected to have, and ``SLACK`` standard deviations more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    n = 64 * WIDE
+    return int(n * p + SLACK * (n * p * (1 - p)) ** 0.5)
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id), one row for each input row: documents whose sets of shingles are about ``similarity`` alike.
+
+    For similarities that are far beyond two differing bits: wide fingerprints, whose share of differing bits estimates
+    the angle between the shingle sets, and ``TABLES`` keys each, of a decoded segment and a few more bits. In each bucket every fingerprint is compared with
+    the bucket's smallest document, so comparisons grow with the documents. The candidates are found with high
+    probability, not certainty, and the similarity is estimated. Null, empty and blank texts are alike.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(WIDE))], names=["doc_id", *FIELDS])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            fp = np.stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(WIDE)], axis=1).astype(np.int64)
+            for lo in range(0, len(ids), 2000):
+                k = wide_keys(fp[lo : lo + 2000].view(np.uint64), tail)
+                yield pa.record_batch([pa.array(k.ravel()), pa.array(np.repeat(ids[lo : lo + 2000], TABLES))], names=["key", "id"])
+
+    types = ", ".join(f"{f} long" for f in FIELDS)
+    own = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prints, f"doc_id long, {types}"))
+    classes = written(own.groupBy(*FIELDS).agg(F.min("doc_id").alias("id")))
+    tail = max(6, min(40, math.ceil(math.log2(max(2, classes.count()))) - 10))  # buckets stay as small however many documents
+    table = written(classes.where("id is not null").select("id", *FIELDS).mapInArrow(keys, "key long, id long"))
+    heads = written(table.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("most")).where("head < most").select("key", "head"))
+    pairs = table.join(heads, "key").where("id <> head").select("id", "head").distinct()
+    other = classes.select(F.col("id").alias("head"), *(F.col(f).alias(f"g{i}") for i, f in enumerate(FIELDS)))
+    differing = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"g{i}"))) for i, f in enumerate(FIELDS)), F.lit(0))
+    near = pairs.join(classes, "id").join(other, "head").where(differing <= most_differing(similarity))
+    links = written(near.select(F.col("id").alias("a"), F.col("head").alias("b")))
+    for df in (table, heads):
+        discard(df)
+    roots = written(connected_components(links))
+    discard(links)
+    named = written(classes.join(roots, classes["id"] == roots["node"], "left").select(*FIELDS, F.coalesce("root", "id").alias("component_id")))
+    return own.join(named, FIELDS).select("doc_id", "component_id")
+
+
+def near_duplicates_dropped(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id; rows with a null doc_id stay."""
-    of = simhash_components(docs, shingle, radius).where("doc_id <> component_id").select("doc_id").distinct()
+    of = similar_components(docs, similarity, shingle).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(of, "doc_id", "left_anti").select(*docs.columns)
 
 

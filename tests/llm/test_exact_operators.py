@@ -139,3 +139,26 @@ def test_simhash_awkward_and_empty(spark):
     kept = simhash.near_duplicates_dropped(documents(spark, rows))
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [-8, 1, 4, 4, 5, 6]
     assert simhash.simhash_components(documents(spark, [])).count() == 0
+
+
+def test_similar_documents_are_found_and_others_left(spark):
+    rng = random.Random(12)
+    words = lambda n: [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)]
+    rows, group = [], {}
+    for g in range(30):
+        w = words(rng.randint(150, 300))
+        for c in range(4):
+            v = list(w)
+            for _ in range(c):  # each change spoils five shingles at most: Jaccard of 0.8 or more
+                v[rng.randrange(len(v))] = "changed" + str(rng.randrange(10**6))
+            rows.append((len(rows) * 7 % 121, " ".join(v)))
+            group[rows[-1][0]] = g
+    rows += [(200 + i, " ".join(words(200))) for i in range(40)]
+    rows += [(300, rows[0][1]), (301, None), (302, "")]
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(documents(spark, rows)).collect()}
+    least = {g: min(d for d, x in group.items() if x == g) for g in range(30)}
+    assert sum(got[d] == least[g] for d, g in group.items()) >= 0.97 * len(group)
+    assert all(got[d] == d or group[got[d]] == group[d] for d in group)
+    assert all(got[200 + i] == 200 + i for i in range(40))
+    assert got[300] == got[rows[0][0]] and got[301] == got[302] == 301
+    assert simhash.similar_components(documents(spark, [])).count() == 0
