@@ -37,8 +37,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     flat = docs.select(F.col(doc_id).alias("doc_id"), tokenize(text).alias("t"))
-    flat = flat.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = flat.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    terms = flat.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = terms.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weight = df.crossJoin(corpus_size(docs, text)).select("term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

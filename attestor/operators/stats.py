@@ -11,12 +11,24 @@ from pyspark.sql import functions as F
 from attestor.functions.rng import keyed_int, positions
 
 
+#: Tables of up to so many rows are broadcast to the draws; larger ones are joined by shuffle.
+SMALL_TABLE = 200_000
+
+
 def _resampled(rows: DataFrame, values: list[str], resamples: int, seed: int) -> DataFrame:
-    """(b, sums of values, n): each resample draws n of the numbered rows (i from 0, column n) by keyed places."""
-    draws = rows.select("i", "n").crossJoin(rows.sparkSession.range(resamples).select(F.col("id").alias("b")))
+    """(b, sums of values, n): each resample draws n of the numbered rows (i from 0, column n) by keyed places.
+
+    Draws meet their rows before anything is shuffled if the table is small (counted first), so only sums by resample
+    move; else draws are counted by (b, i) and joined.
+    """
+    rows = rows.select("i", "n", *values).persist()
+    draws = rows.select("i", "n").crossJoin(F.broadcast(rows.sparkSession.range(resamples).select(F.col("id").alias("b"))))  # ``resamples`` rows
     drawn = draws.select("b", (keyed_int(seed, "b", "i") % F.col("n")).alias("i"))
-    counted = drawn.groupBy("b", "i").agg(F.count("*").alias("c"))
-    return counted.join(rows.select("i", *values), "i").groupBy("b").agg(F.sum("c").alias("n"), *(F.sum(F.col("c") * F.col(v)).alias(v) for v in values))
+    if rows.count() <= SMALL_TABLE:
+        met = drawn.join(F.broadcast(rows.drop("n")), "i").withColumn("c", F.lit(1))
+    else:
+        met = drawn.groupBy("b", "i").agg(F.count("*").alias("c")).join(rows.drop("n"), "i")
+    return met.groupBy("b").agg(F.sum("c").alias("n"), *(F.sum(F.col("c") * F.col(v)).alias(v) for v in values))
 
 
 def numbered(df: DataFrame, key: str, *values: str) -> DataFrame:
