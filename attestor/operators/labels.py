@@ -119,3 +119,11 @@ def parsed_candidates(raw: DataFrame, key: str, text: str) -> DataFrame:
         last("conf", number).alias("confidence"), F.coalesce(last("defer", F.contains(F.lower("line"), F.lit("yes"))), F.lit(False)).alias("abstained"),
     )
     return out.withColumn("parsed_ok", F.col("n_steps") > 0)
+
+
+def prm_examples(steps: DataFrame, resolvable: DataFrame) -> DataFrame:
+    """(case_id, step_index, step_text, evidence_ids, label_sound): steps (case_id, step_index, text, cited) labelled by their citations."""
+    known = steps.select("case_id", "step_index", F.explode("cited").alias("id")).join(resolvable.select("id").distinct(), "id").groupBy("case_id", "step_index").agg(F.collect_list("id").alias("ok"))
+    out = steps.join(known, ["case_id", "step_index"], "left")
+    sound = guideline_label(F.col("cited"), F.coalesce("ok", F.array().cast("array<string>")))
+    return out.select("case_id", "step_index", F.col("text").alias("step_text"), F.col("cited").alias("evidence_ids"), sound.alias("label_sound"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestor.functions.text import literal_map
-from attestor.operators import evidence, fusion, profiles, qc
+from attestor.operators import evidence, fusion, profiles, qc, tools
 from attestor.plans.roles import HREFS, RECORDS, RESOLVABLE, hrefs, records, resolvable
 from attestor.plans.text_queries import _CONS, _EXP, _MISSING
 from attestor.session import table
@@ -306,3 +306,56 @@ def decision_points(spark, sf_dir):
 def tier_weights(spark, sf_dir):
     c = _view(spark, sf_dir, "nation", _CHUNK)
     return c.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.max(F.coalesce(F.try_element_at(literal_map(fusion.TIER_WEIGHT), F.col("tier")), F.lit(0.5))), 2).alias("weight"))
+
+
+_LOOK = f"""a AS (SELECT case_id, gene, 'G' || CAST(part % 16 AS VARCHAR) AS profile, row_number() OVER (PARTITION BY case_id ORDER BY ord, gene, part, supp) AS alt_ord FROM {_ALT} WHERE case_id % 50 = 0),
+e AS (SELECT profile, citation_id, 'claim ' || citation_id AS summary, ord % 100 AS rid FROM {_EV} WHERE ord % 40 = 0), r AS (SELECT s_suppkey AS id, 'VCV' || CAST(s_suppkey AS VARCHAR) AS accession, s_name AS title FROM supplier),
+l AS (SELECT case_id, alt_ord, citation_id, 'somatic_evidence' AS source, summary AS claim FROM a JOIN e USING (profile) UNION ALL SELECT DISTINCT case_id, alt_ord, accession, 'germline_records', title FROM a JOIN e USING (profile) JOIN r ON r.id = e.rid)"""
+
+
+def _looked_up(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    a = _alterations(spark, sf_dir).where("case_id % 50 = 0").withColumn("profile", F.expr("concat('G', part % 16)"))
+    a = a.withColumn("alt_ord", F.row_number().over(W.partitionBy("case_id").orderBy("ord", "gene", "part", "supp"))).select("case_id", "alt_ord", "profile")
+    e = _evidence(spark, sf_dir).where("ord % 40 = 0").select("profile", "citation_id", F.concat(F.lit("claim "), "citation_id").alias("summary"), F.array(F.col("ord") % 100).alias("ids"))
+    r = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("concat('VCV', s_suppkey)").alias("accession"), F.col("s_name").alias("title"))
+    return a, tools.variant_lookup(a, e, r)
+
+
+@query(f"WITH {_LOOK} SELECT * FROM l")
+def variant_lookup(spark, sf_dir):
+    return _looked_up(spark, sf_dir)[1]
+
+
+@query(f"WITH {_LOOK} SELECT a.case_id, a.alt_ord, count(l.case_id) AS n_results FROM a LEFT JOIN l ON l.case_id = a.case_id AND l.alt_ord = a.alt_ord GROUP BY ALL")
+def tool_call_log(spark, sf_dir):
+    a, found = _looked_up(spark, sf_dir)
+    return tools.call_log(a, found, "variant_lookup", ["case_id", "alt_ord"], ["profile"]).where("ok").select("case_id", "alt_ord", "n_results")
+
+
+@query(f"WITH {_LOOK} SELECT case_id, count(*) AS n, string_agg(citation_id || '=' || claim, ';' ORDER BY citation_id) AS pool FROM (SELECT case_id, citation_id, min(claim) AS claim FROM l GROUP BY ALL) GROUP BY case_id")
+def evidence_pools(spark, sf_dir):
+    p = tools.evidence_pools(_looked_up(spark, sf_dir)[1])
+    shown = F.array_join(F.transform(F.array_sort(F.map_keys("pool")), lambda k: F.concat(k, F.lit("="), F.element_at("pool", k))), ";")
+    return p.select("case_id", F.size("pool").cast("bigint").alias("n"), shown.alias("pool"))
+
+
+_IDX = f"""x AS (SELECT chunk_id AS doc_id, regexp_extract_all(lower(gene || ' ' || tumor_type || ' ' || tier || ' ' || drug), '[A-Za-z0-9]+') AS t FROM {_CHUNK}), corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM x),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM x) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT gene, tumor FROM {_NEED}), w AS (SELECT gene, tumor, term, count(*) AS qn FROM (SELECT gene, tumor, unnest(regexp_extract_all(lower(gene || ' ' || tumor), '[A-Za-z0-9]+')) AS term FROM q) GROUP BY ALL),
+s AS (SELECT gene, tumor, doc_id, sum(qn * greatest(1e-9, ln(1 + (n - df + 0.5) / (df + 0.5))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM w JOIN df USING (term) JOIN tf USING (term), corpus GROUP BY ALL),
+h AS (SELECT *, row_number() OVER (PARTITION BY gene, tumor ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s WHERE score > 0)"""
+
+
+@query(f"WITH {_IDX} SELECT case_id, doc_id AS chunk_id, round(score, 4) AS score, rank FROM {_NEED} n JOIN h USING (gene, tumor) WHERE rank <= 3")
+def guideline_lookup(spark, sf_dir):
+    c = _view(spark, sf_dir, "nation", _CHUNK).select("chunk_id", "gene", "tumor_type", F.col("tier").alias("recommendation"), F.array("drug").alias("therapies"))
+    out = tools.guideline_lookup(_view(spark, sf_dir, "part", _NEED), c)
+    return out.select("case_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"""SELECT id, any_value(significance) AS significance, any_value(direction) AS direction, any_value(disease) AS disease FROM (SELECT citation_id AS id, significance, direction, disease FROM {_EV} UNION ALL SELECT 'guideline:' || chunk_id, 'SENSITIVITY', 'SUPPORTS', tumor_type FROM {_CHUNK}) GROUP BY id""")
+def record_index(spark, sf_dir):
+    c = _view(spark, sf_dir, "nation", _CHUNK).select("chunk_id", "tumor_type", F.array("drug").alias("therapies"))
+    return tools.record_index(_evidence(spark, sf_dir).withColumn("therapies", F.array("profile")), c).drop("therapies")

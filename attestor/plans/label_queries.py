@@ -151,3 +151,9 @@ def sampling_report(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).alias("case_id"), F.col("conv_id").alias("sample"), (F.length("text") > 300).alias("sound"), "turn")
     samples = c.groupBy("case_id", "sample").agg((F.max("turn") > 2).alias("parsed_ok"), (F.first("sample") % 3 == 0).alias("abstained"))
     return reports.sampling_report(samples, c)
+
+
+@query(f"SELECT page_id AS case_id, step_index, 'step ' || CAST(step_index AS VARCHAR) AS step_text, array_to_string(cited, ' ') AS evidence, bool_or(id IS NOT NULL) AS label_sound FROM (SELECT *, unnest(cited) AS c FROM {_STEPS}) LEFT JOIN {RESOLVABLE} ON id = c GROUP BY ALL")
+def prm_examples(spark, sf_dir):
+    s = _steps(spark, sf_dir).select(F.col("page_id").alias("case_id"), "step_index", F.concat(F.lit("step "), F.col("step_index").cast("string")).alias("text"), "cited")
+    return labels.prm_examples(s, resolvable(spark, sf_dir)).withColumn("evidence", F.array_join("evidence_ids", " ")).drop("evidence_ids")

@@ -273,3 +273,17 @@ def call_sessions(spark, sf_dir):
 
     c = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), F.col("ts").cast("timestamp").alias("ts"))
     return reliability.call_sessions(c).groupBy("trace_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n"))
+
+
+_REPORT = ("concordance", "interpretation_2x2", "step_soundness", "tool_reliability", "citation_grounding", "calibration_ece")
+_VALUE = {"concordance": "top1", "interpretation_2x2": "agreement", "step_soundness": "rate", "tool_reliability": "success_rate", "citation_grounding": "rate", "calibration_ece": "brier"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS metric, n, {_VALUE[m]} AS value FROM ({ORACLES[m]})" for m in _REPORT))
+def evaluation_report(spark, sf_dir):
+    """The metrics of a run as rows."""
+    out = None
+    for m in _REPORT:
+        row = QUERIES[m](spark, sf_dir).select(F.lit(m).alias("metric"), F.col("n").cast("bigint").alias("n"), F.col(_VALUE[m]).alias("value"))
+        out = row if out is None else out.unionByName(row)
+    return out
