@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, keep=None, max_docs: int = 4000, m
     """Learn from documents with a quality label for which ``keep`` holds: at most ``max_docs`` and ``max_chars``, up to half
     of them of the rarer class.
 
-    Two thirds of them (by order) go into the dictionaries, a third calibrates. Of several labels of a document the
+    One half of them (by order) goes into the dictionaries, the other calibrates. Of several labels of a document the
     largest counts; null labels are left out.
     """
     marks = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, keep=None, max_docs: int = 4000, m
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isin(list(chosen)))
     rows = labelled_sample(own, None, max_docs, max_chars)
     rows.sort(key=lambda r: (r.doc_id * 2654435761 % 4294967296, r.doc_id))
-    build, rest = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if i % 3 == 0]
+    build, rest = rows[::2], rows[1::2]
     own = [[r.text.encode("utf-8", "replace") for r in build if chosen[r.doc_id] == q] for q in (1, 0)]
     model = CompressionModel(*(dictionary(t, dictionary_bytes) if t else b"" for t in own))
     model.calibrate([r.text for r in rest], [chosen[r.doc_id] for r in rest], {q: v / sum(n.values()) for q, v in n.items()})
