@@ -25,22 +25,24 @@ MAX_DOCS, LEXICON, RIDGE, ROUNDS = 4000, 64, 1e-3, 40
 BINS = 16
 #: A word of the lexicon is at least so many times as frequent in documents of one domain as in all.
 MIN_LIFT = 3.0
-PUNCTUATION = ".,;:!?\"'()[]|*$%&#<>"
+BETWEEN = r"[\x20\x09-\x0D.,;:!?\"'()\[\]|*$%&#<>]+"
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    """Add _mix_w (lower-cased words without punctuation; one empty word for a blank text) and counts of characters."""
+    """Add _mix_w (lower-cased words between white space and punctuation; an empty one at a cut end) and counts of characters.
+
+    Regular expressions, since Spark's translate looks up every character as a string.
+    """
     t = F.coalesce(F.col("text"), F.lit(""))
-    plain = F.btrim(F.translate(F.lower(t), PUNCTUATION, " " * len(PUNCTUATION)), F.lit(" \t\n\x0b\x0c\r"))
     n = F.char_length(t)
-    left = lambda chars: n - F.char_length(F.translate(t, chars, ""))
-    return docs.withColumns({"_mix_w": F.split(plain, r"[\x20\x09-\x0D]+"), "_mix_n": n, "_mix_s": left("#*$%&|<>!"), "_mix_u": left("ABCDEFGHIJKLMNOPQRSTUVWXYZ")})
+    left = lambda chars: n - F.char_length(F.regexp_replace(t, chars, ""))
+    return docs.withColumns({"_mix_w": F.split(F.lower(t), BETWEEN), "_mix_n": n, "_mix_s": left("[#*$%&|<>!]"), "_mix_u": left("[A-Z]")})
 
 
 def _features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
     """Add n_tokens, _mix_b (bins, each 0..15) and _mix_hits (words of the lexicon) to ``docs``."""
     known = F.array(*(F.lit(x) for x in lexicon)) if lexicon else F.array().cast("array<string>")
-    once = F.transform(F.array("_mix_w"), lambda w: F.struct(F.when(w[0] == "", 0).otherwise(F.size(w)).alias("n"), F.size(F.array_distinct(w)).alias("d"), F.array_intersect(w, known).alias("h"), F.col("_mix_n").alias("c"), F.col("_mix_s").alias("s"), F.col("_mix_u").alias("u")))
+    once = F.transform(F.array("_mix_w"), lambda w: F.struct((F.size(w) - F.when(w[0] == "", 1).otherwise(0) - F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0)).alias("n"), F.size(F.array_distinct(w)).alias("d"), F.array_intersect(w, known).alias("h"), F.col("_mix_n").alias("c"), F.col("_mix_s").alias("s"), F.col("_mix_u").alias("u")))
     # exploded (to one row): later filters and projections read the struct, they don't evaluate it again
     df = _prepared(docs).select(*docs.columns, F.explode(once).alias("_mix_f"))
     n, size = F.greatest(F.col("_mix_f.n"), F.lit(1)), F.greatest(F.col("_mix_f.c"), F.lit(1))
@@ -121,7 +123,7 @@ def classifier(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, lex
     domains, total = sorted(sizes), sum(sizes.values())
     if not domains:
         return Mixture([], [], [], {})
-    seen = _prepared(sample).select("domain", F.explode(F.array_distinct("_mix_w")).alias("w"))
+    seen = _prepared(sample).select("domain", F.explode(F.array_distinct("_mix_w")).alias("w")).where("w <> ''")
     per = seen.groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n_{k}") for k, d in enumerate(domains))).where("n >= 5")
     gain = sum((F.when(F.col(f"n_{k}") > 0, F.col(f"n_{k}") * F.log(F.col(f"n_{k}") / F.col("n") / F.lit(sizes[d] / total))).otherwise(0.0) for k, d in enumerate(domains)), F.lit(0.0))
     lift = F.greatest(*(F.col(f"n_{k}") / F.col("n") / F.lit(sizes[d] / total) for k, d in enumerate(domains)), F.lit(0.0))
