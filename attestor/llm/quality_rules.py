@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import discard, written
 
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "#*$%&|<>"  # as a character class
 SUPPORT = 0.75
 STEPS = 4
 MIN_GROUP = 50
@@ -53,10 +52,10 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source"), F.lit("")).alias("source"),
         F.expr(f"transform(array({_WORDS}), w -> named_struct('n', bigint(size(w)), 'r', bigint({_REPEATS})))[0]").alias("w"),
-        (F.char_length(F.translate(t, SPACES, ""))).cast("long").alias("word_chars"),
-        (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.transform(F.array(F.filter(lines, lambda x: F.btrim(x, F.lit(SPACES)) != "")), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
-        (F.char_length(t) - F.char_length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ!", ""))).cast("long").alias("n_upper"),
+        F.char_length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        (F.char_length(t) - F.char_length(F.regexp_replace(t, f"[{SYMBOLS}]", ""))).cast("long").alias("n_symbols"),
+        F.transform(F.array(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
+        (F.char_length(t) - F.char_length(F.regexp_replace(t, "[A-Z!]", ""))).cast("long").alias("n_upper"),
     )
     return df.select("doc_id", "lang", "source", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"), "n_upper")
 
