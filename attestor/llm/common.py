@@ -14,6 +14,8 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediates: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="attestor-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
