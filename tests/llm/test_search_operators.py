@@ -44,6 +44,18 @@ def test_passages_are_found_and_clean_text_is_left(spark):
     assert sum(r.n_removed for r in sub.substring_dedup(documents(spark, short)).collect()) == 0
 
 
+def test_passages_with_other_text_between_are_both_found(spark):
+    rng = random.Random(21)
+    words = lambda n: [rng.choice(WORDS) + str(rng.randrange(900)) for _ in range(n)]
+    rows, want = [], {}
+    for i, gap in enumerate(range(50, 301, 25)):
+        one, two = words(60), words(60)
+        rows += [(2 * i, " ".join(words(20) + one + words(gap) + two + words(20))), (2 * i + 1, " ".join(words(30) + one + words(gap) + two + words(20)))]
+        want[2 * i + 1] = {30 + w for w in range(60)} | {90 + gap + w for w in range(60)}
+    got = {r.doc_id: {w for s in r.spans or [] for w in range(s.start, s.end)} for r in sub.substring_dedup(documents(spark, rows)).collect()}
+    assert all(want[d] <= got[d] and len(got[d]) <= 126 for d in want)
+
+
 def test_substring_awkward_and_empty(spark):
     got = sub.substring_dedup(documents(spark, awkward())).collect()
     assert len(got) == len(awkward()) and sum(r.n_removed for r in got) == 0
