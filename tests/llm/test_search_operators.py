@@ -56,6 +56,18 @@ def test_passages_with_other_text_between_are_both_found(spark):
     assert all(want[d] <= got[d] and len(got[d]) <= 126 for d in want)
 
 
+def test_one_seed_within_a_rejected_chain_counts(spark):
+    rng = random.Random(22)
+    words = lambda n: [rng.choice(WORDS) + str(rng.randrange(9000)) for _ in range(n)]
+    one, two, fuzzy = words(5), words(5), words(60)
+    worn = list(fuzzy)
+    for i in (4, 9, 14, 19, 25, 30, 35, 40, 45, 50, 55):  # one run of five words is left
+        worn[i] = "changed" + str(i)
+    rows = [(0, " ".join(words(30) + one + words(10) + two + words(30))), (1, " ".join(words(20) + fuzzy + words(20))), (2, " ".join(words(20) + one + worn + two + words(20)))]
+    got = sub.passages(documents(spark, rows), window=1).collect()
+    assert [(r.doc_id, r.start, r.end, r.source_id) for r in got] == [(2, 25, 85, 1)]
+
+
 def test_substring_awkward_and_empty(spark):
     got = sub.substring_dedup(documents(spark, awkward())).collect()
     assert len(got) == len(awkward()) and sum(r.n_removed for r in got) == 0
