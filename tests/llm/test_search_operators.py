@@ -68,6 +68,20 @@ def test_one_seed_within_a_rejected_chain_counts(spark):
     assert [(r.doc_id, r.start, r.end, r.source_id) for r in got] == [(2, 25, 85, 1)]
 
 
+def test_fuzzy_passages_with_random_edits_share_seeds(spark):
+    rng = random.Random(23)
+    words = lambda n: [rng.choice(WORDS) + str(rng.randrange(9000)) for _ in range(n)]
+    rows = []
+    for i in range(60):
+        fuzzy = words(80)
+        worn = list(fuzzy)
+        for j in rng.sample(range(3, 77), 11):
+            worn[j] = "changed" + str(j)
+        rows += [(2 * i, " ".join(words(30) + fuzzy + words(30))), (2 * i + 1, " ".join(words(30) + worn + words(30)))]
+    got = {r.doc_id for r in sub.substring_dedup(documents(spark, rows)).where("n_removed >= 70").collect()}
+    assert got <= {2 * i + 1 for i in range(60)} and len(got) >= 58
+
+
 def test_substring_awkward_and_empty(spark):
     got = sub.substring_dedup(documents(spark, awkward())).collect()
     assert len(got) == len(awkward()) and sum(r.n_removed for r in got) == 0
