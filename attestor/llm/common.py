@@ -46,12 +46,21 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front as long as ``df`` has such a column (whatever its case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 
     ``links`` has columns (a, b), any comparable type, self-links and repeats allowed. Returns (node, root) for every
     node of a link, root being the smallest node of its component. Each round is two grouped minima and two joins,
-    so no node's neighbours are gathered in one place; rounds are written, and the superseded one is deleted.
+    so no node's neighbours are gathered in one place; rounds are written, and the superseded one is deleted. Rounds are
+    about the logarithm of the longest path; not done after ``max_rounds`` it raises.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -78,6 +87,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = mark(edges)
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components aren't settled after {max_rounds} rounds")
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import connected_components, discard, written
+from attestor.llm.common import connected_components, discard, free_name, written
 
 RADIUS = 2
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -201,19 +201,24 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = RADIUS,
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-WIDE, TABLES, SLACK = 8, 80, 1.0
+WIDE, FOUND, BOUND, SMALL = 8, 0.97, 3.5, 16
 FIELDS = [f"f{i}" for i in range(WIDE)]
+PART = 2  # 64-bit words of the fingerprint that a row of a bucket carries
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
-    """A fingerprint of 64 * WIDE bits over the set of shingles: each XXH64 is mixed with a constant for each 64 bits."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The sorted distinct XXH64 values (seed 42) of the shingles; of fewer words the whole sequence is the shingle."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.uint64)
     grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64))
-    out = np.zeros(WIDE, np.uint64)
-    for j in range(WIDE):
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64))
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
+    """A fingerprint of 64 * WIDE bits over the set of shingles: each XXH64 is mixed with a constant for each 64 bits."""
+    h, out = shingle_hashes(text, shingle), np.zeros(WIDE, np.uint64)
+    for j in range(WIDE if len(h) else 0):
         x = h + np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -223,70 +228,209 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
     return out
 
 
-def wide_keys(fp: np.ndarray, tail: int) -> np.ndarray:
-    """(rows, TABLES) keys: in each table 23 drawn bits, decoded to the index of the nearest Golay codeword, and ``tail`` more as they are."""
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two sets of about one size: the angle between them over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def same_codeword(p: float) -> float:
+    """Chance that two 23-bit segments decode to one codeword if each bit differs with chance ``p``: the first has an error of weight i <= 3, the second may not have more than 3."""
+    total = 0.0
+    for i in range(4):
+        for a in range(i + 1):
+            for b in range(24 - i):
+                if i - a + b <= 3:
+                    total += math.comb(23, i) / 2048 * math.comb(i, a) * math.comb(23 - i, b) * p ** (a + b) * (1 - p) ** (23 - a - b)
+    return total
+
+
+def key_plan(n: int, similarity: float) -> tuple[int, int]:
+    """(exact bits of a key, tables) for ``n`` documents.
+
+    The bits grow with log2 of the documents, so that buckets hold few strangers; the tables grow with them, so that a pair of the
+    given similarity meets in one of them with a chance of ``FOUND`` at every ``n``. That is about n ** 0.24 tables: at
+    similarity 0.8 some 50 for 65 thousand documents, 180 for 16 million, 470 for a billion.
+    """
+    tail = max(3, math.ceil(math.log2(max(2, n))) - 13)
+    p = differing_share(similarity)
+    hit = same_codeword(p) * (1 - p) ** tail
+    return tail, math.ceil(math.log(1 - FOUND) / math.log(1 - hit))
+
+
+def wide_keys(fp: np.ndarray, tail: int, tables: int) -> np.ndarray:
+    """(rows, tables) keys: in each table 23 drawn bits, decoded to the index of the nearest Golay codeword, and ``tail`` more as they are."""
     bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
-    drawn = np.random.default_rng(20).permuted(np.tile(np.arange(64 * WIDE), (TABLES, 1)), axis=1)
-    keys = np.empty((len(fp), TABLES), np.int64)
-    for t, own in enumerate(drawn):
-        v = bits[:, own[:23]] @ (1 << np.arange(23, dtype=np.int64))
-        index = (v ^ PATTERNS[_syndrome(v), 0]) >> 11
-        keys[:, t] = (np.int64(t) << 55) | index << tail | bits[:, own[23 : 23 + tail]] @ (1 << np.arange(tail, dtype=np.int64))
+    keys = np.empty((len(fp), tables), np.int64)
+    for t in range(tables):
+        own = np.random.default_rng([20, t]).permutation(64 * WIDE)[: 23 + tail]
+        v = (bits[:, own].astype(np.float64) @ (2.0 ** np.arange(23 + tail))).astype(np.int64)
+        index = ((v & 0x7FFFFF) ^ PATTERNS[_syndrome(v & 0x7FFFFF), 0]) >> 11
+        key = np.uint64((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) ^ ((v >> 23) << 12 | index).astype(np.uint64)
+        key = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        keys[:, t] = (key ^ (key >> np.uint64(27))).view(np.int64)
     return keys
 
 
-def most_differing(similarity: float) -> int:
-    """Differing bits that sets of this Jaccard similarity are expected to have, and ``SLACK`` standard deviations more."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    n = 64 * WIDE
-    return int(n * p + SLACK * (n * p * (1 - p)) ** 0.5)
+def most_differing(similarity: float, bits: int, deviations: float) -> int:
+    """Differing bits that sets of this Jaccard similarity are expected to have, and so many standard deviations more."""
+    p = differing_share(similarity)
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+
+
+def bucket_candidates(fp: np.ndarray, near: int, alike: int) -> np.ndarray:
+    """(i, j) rows of one bucket's fingerprints at most ``near`` bits apart.
+
+    Each is compared with the leaders so far and leads too unless one of them is at most ``alike`` bits away. Leaders are
+    unlike each other, so a group of copies has few of them and gives few pairs a document, not all pairs.
+    """
+    leaders, out = [0], []
+    held = fp[:1]
+    for i in range(1, len(fp)):
+        d = np.bitwise_count(held ^ fp[i]).sum(axis=1)
+        hit = np.flatnonzero(d <= near)
+        out += [(i, leaders[j]) for j in hit]
+        if len(hit) == 0 or d[hit].min() > alike:
+            leaders.append(i)
+            held = fp[leaders]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _candidates(table: DataFrame, near: int, alike: int) -> DataFrame:
+    """(a, fa, b, fb): pairs of each bucket; a partition is read in order of key, so one bucket is held."""
+    words = [f"g{i}" for i in range(PART)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = []
+
+        def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
+            key, node, first = cols[:3]
+            fp = np.stack(cols[3:], axis=1).view(np.uint64) if len(key) else np.zeros((0, PART), np.uint64)
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+            sizes = np.diff(np.r_[starts, len(key)])
+            found = [np.zeros((0, 2), np.int64)]
+            of = np.repeat(sizes, sizes)
+            for k in range(1, min(SMALL, int(sizes.max(initial=0)))):  # all pairs of small buckets, each with the row k before
+                i = np.flatnonzero((key[k:] == key[:-k]) & (of[k:] <= SMALL)) + k
+                i = i[np.bitwise_count(fp[i] ^ fp[i - k]).sum(axis=1) <= near]
+                found.append(np.stack([i, i - k], axis=1))
+            for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+                # another order in each table, so that whom a leader stands for differs
+                order = s + np.argsort((node[s : s + n] ^ key[s]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                found.append(order[bucket_candidates(fp[order], near, alike)].reshape(-1, 2))
+            i, j = np.concatenate(found).T
+            return pa.record_batch([pa.array(v) for v in (node[i], first[i], node[j], first[j])], names=["a", "fa", "b", "fb"])
+
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            cols = [np.concatenate(c) for c in zip(rest, new, strict=True)] if rest else new
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            yield pairs([c[:cut] for c in cols])
+            rest = [c[cut:] for c in cols]
+        if rest:
+            yield pairs(rest)
+
+    return table.select("key", "id", "f0", *words).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, fa long, b long, fb long")
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, f0, shingles): each row's shingle hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                own = [shingle_hashes(t.as_py(), shingle).tobytes() for t in part.column(1)]
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(own, pa.binary())], names=["id", "f0", "shingles"])
+
+    return docs.mapInArrow(run, "id long, f0 long, shingles binary")
+
+
+def _jaccard(both: DataFrame, similarity: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(4), b.column(5), strict=True):
+                u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                same = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(same >= similarity * (len(u) + len(v) - same) - 1e-9)
+            yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:4]], names=["a", "fa", "b", "fb"])
+
+    return both.mapInArrow(run, "a long, fa long, b long, fb long")
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id), one row for each input row: documents whose sets of shingles are about ``similarity`` alike.
+    """(doc_id, text_hash, component_id), one row for each input row: documents whose sets of shingles are ``similarity`` alike.
+
+    For similarities that are far beyond two differing bits: fingerprints of 512 bits, whose share of differing bits estimates
+    the angle between the shingle sets, with as many keys of a decoded segment and a few more bits as ``key_plan`` gives. In
+    each bucket the fingerprints are compared with its leaders. Pairs that might be alike by the estimate are verified by
+    their shingle sets; those far above (``BOUND`` standard deviations) are taken without. Nothing of this depends on the number
+    of documents but the keys, whose chance to find a pair does not.
 
-    For similarities that are far beyond two differing bits: wide fingerprints, whose share of differing bits estimates
-    the angle between the shingle sets, and ``TABLES`` keys each, of a decoded segment and a few more bits. In each bucket every fingerprint is compared with
-    the bucket's smallest document, so comparisons grow with the documents. The candidates are found with high
-    probability, not certainty, and the similarity is estimated. Null, empty and blank texts are alike.
+    Input columns doc_id and text. Null, empty and blank texts have no shingles and are alike. Rows that repeat a doc_id and a
+    text are alike; rows that repeat a doc_id with other texts are told apart by ``text_hash`` (Spark's xxhash64 of the
+    text). Rows with a null doc_id get a component too (null if all its rows have none). Empty for an empty table.
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(WIDE))], names=["doc_id", *FIELDS])
+            yield pa.record_batch([b.column(0), b.column(2), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(WIDE))], names=["doc_id", "text_hash", *FIELDS])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             fp = np.stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(WIDE)], axis=1).astype(np.int64)
-            for lo in range(0, len(ids), 2000):
-                k = wide_keys(fp[lo : lo + 2000].view(np.uint64), tail)
-                yield pa.record_batch([pa.array(k.ravel()), pa.array(np.repeat(ids[lo : lo + 2000], TABLES))], names=["key", "id"])
+            for lo in range(0, len(ids), 1000):
+                own, rows = ids[lo : lo + 1000], fp[lo : lo + 1000]
+                k = wide_keys(rows.view(np.uint64), tail, tables)
+                # the words carried differ by table, so that a pair that looks unlike in some looks alike in others
+                g = [np.stack([rows[:, (PART * t + i) % WIDE] for t in range(tables)], axis=1).ravel() for i in range(PART)]
+                yield pa.record_batch([pa.array(k.ravel()), pa.array(np.repeat(own, tables)), pa.array(np.repeat(rows[:, 0], tables)), *map(pa.array, g)], names=["key", "id", "f0", *(f"g{i}" for i in range(PART))])
 
     types = ", ".join(f"{f} long" for f in FIELDS)
-    own = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prints, f"doc_id long, {types}"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    own = written(base.mapInArrow(prints, f"doc_id long, text_hash long, {types}"))
     classes = written(own.groupBy(*FIELDS).agg(F.min("doc_id").alias("id")))
-    tail = max(6, min(40, math.ceil(math.log2(max(2, classes.count()))) - 10))  # buckets stay as small however many documents
-    table = written(classes.where("id is not null").select("id", *FIELDS).mapInArrow(keys, "key long, id long"))
-    heads = written(table.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("most")).where("head < most").select("key", "head"))
-    pairs = table.join(heads, "key").where("id <> head").select("id", "head").distinct()
-    other = classes.select(F.col("id").alias("head"), *(F.col(f).alias(f"g{i}") for i, f in enumerate(FIELDS)))
-    differing = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"g{i}"))) for i, f in enumerate(FIELDS)), F.lit(0))
-    near = pairs.join(classes, "id").join(other, "head").where(differing <= most_differing(similarity))
-    links = written(near.select(F.col("id").alias("a"), F.col("head").alias("b")))
-    for df in (table, heads):
+    tail, tables = key_plan(classes.count(), similarity)
+    table = classes.where("id is not null").select("id", *FIELDS).mapInArrow(keys, "key long, id long, f0 long, " + ", ".join(f"g{i} long" for i in range(PART)))
+    pairs = written(_candidates(table, most_differing(similarity, 64 * PART, 2), most_differing(similarity, 64 * PART, 0)).distinct())
+    side = lambda n: classes.select(F.col("id").alias(n), F.col("f0").alias(f"f{n}"), *(F.col(f).alias(f"{n}_{f}") for f in FIELDS))
+    differing = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in FIELDS), F.lit(0))
+    near = pairs.join(side("a"), ["a", "fa"]).join(side("b"), ["b", "fb"]).select("a", "fa", "b", "fb", differing.alias("d"))
+    near = written(near.where(F.col("d") <= most_differing(similarity, 64 * WIDE, BOUND)))
+    sure = F.col("d") <= most_differing(similarity, 64 * WIDE, -BOUND)
+    asked = near.where(~sure)
+    # texts of the documents in unsure pairs: the row whose class has that document as its smallest
+    wanted = asked.select(F.col("a").alias("id"), F.col("fa").alias("f0")).unionAll(asked.select("b", "fb")).distinct()
+    of = own.select("doc_id", "text_hash", "f0").distinct().join(wanted, F.struct("doc_id", own["f0"]) == F.struct("id", wanted["f0"]), "left_semi")
+    of = of.groupBy("doc_id", "f0").agg(F.min("text_hash").alias("text_hash"))
+    texts = base.join(of, ["doc_id", "text_hash"])
+    sets = written(_sets(texts.select(F.col("doc_id").alias("id"), "text", "f0"), shingle).dropDuplicates(["id", "f0"]))
+    named = lambda n: sets.select(F.col("id").alias(n), F.col("f0").alias(f"f{n}"), F.col("shingles").alias(f"s{n}"))
+    verified = _jaccard(asked.join(named("a"), ["a", "fa"]).join(named("b"), ["b", "fb"]).select("a", "fa", "b", "fb", "d", "sa", "sb").drop("d"), similarity)
+    node = lambda n: F.struct(F.col(n).alias("id"), F.col(f"f{n}").alias("f0"))
+    links = written(near.where(sure).select("a", "fa", "b", "fb").unionAll(verified).select(node("a").alias("a"), node("b").alias("b")))
+    for df in (pairs, near, sets):
         discard(df)
     roots = written(connected_components(links))
     discard(links)
-    named = written(classes.join(roots, classes["id"] == roots["node"], "left").select(*FIELDS, F.coalesce("root", "id").alias("component_id")))
-    return own.join(named, FIELDS).select("doc_id", "component_id")
+    roots = roots.select(F.col("node.id").alias("id"), F.col("node.f0").alias("f0"), F.col("root.id").alias("component_id"))
+    full = classes.join(roots, ["id", "f0"], "left").select(*FIELDS, F.coalesce("component_id", "id").alias("component_id"))
+    return own.join(full, FIELDS).select("doc_id", "text_hash", "component_id")
 
 
 def near_duplicates_dropped(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; rows with a null doc_id stay."""
-    of = similar_components(docs, similarity, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(of, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose component has a smaller doc_id, with the same columns.
+
+    Rows that repeat the doc_id that stays stay with it if their text is in its component; those of other texts are judged by
+    their own component. Rows with a null doc_id stay. Nulls in other columns play no part. Empty for an empty table.
+    """
+    of = similar_components(docs, similarity, shingle).where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
+    gone = of.select(F.col("doc_id").alias(free_name(docs, "gone_id")), F.col("text_hash").alias(free_name(docs, "gone_text")))
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone[gone.columns[0]]) & (F.xxhash64(docs["text"]) == gone[gone.columns[1]]), "left_anti")
 
 
 def digest(out: DataFrame) -> DataFrame:
