@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,9 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.protected(table(spark, sf_dir, "documents"))
+    """With the key of ``spark.attestor.pii.key``; where that is unset, with a new random one, so that pseudonyms link within this run only."""
+    key = spark.conf.get("spark.attestor.pii.key", None) or secrets.token_hex(32)
+    return pii.protected(table(spark, sf_dir, "documents"), key)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
