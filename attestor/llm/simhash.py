@@ -278,18 +278,19 @@ def most_differing(similarity: float, bits: int, deviations: float) -> int:
 
 
 def bucket_candidates(fp: np.ndarray, near: int, alike: int) -> np.ndarray:
-    """(i, j) rows of one bucket's fingerprints at most ``near`` bits apart.
+    """(i, j) rows of one bucket's fingerprints that may be similar.
 
-    Each is compared with the leaders so far and leads too unless one of them is at most ``alike`` bits away. Leaders are
-    unlike each other, so a group of copies has few of them and gives few pairs a document, not all pairs.
+    Each is compared with the leaders so far: it follows those at most ``alike`` bits away; with none of them, it is paired with
+    those at most ``near`` bits away and leads too. Leaders are unlike each other, so a group of copies has few of them and
+    gives few pairs a document, not all pairs.
     """
     leaders, out = [0], []
     held = fp[:1]
     for i in range(1, len(fp)):
         d = np.bitwise_count(held ^ fp[i]).sum(axis=1)
-        hit = np.flatnonzero(d <= near)
-        out += [(i, leaders[j]) for j in hit]
-        if len(hit) == 0 or d[hit].min() > alike:
+        lead = d.min() > alike
+        out += [(i, leaders[j]) for j in np.flatnonzero(d <= (near if lead else alike))]
+        if lead:
             leaders.append(i)
             held = fp[leaders]
     return np.array(out, np.int64).reshape(-1, 2)
@@ -309,13 +310,16 @@ def _candidates(table: DataFrame, near: int, alike: int) -> DataFrame:
             sizes = np.diff(np.r_[starts, len(key)])
             found = [np.zeros((0, 2), np.int64)]
             of = np.repeat(sizes, sizes)
-            for k in range(1, min(SMALL, int(sizes.max(initial=0)))):  # all pairs of small buckets, each with the row k before
+            for k in range(1, min(SMALL, int(sizes.max(initial=0)))):  # small buckets: each row with the row k before
                 i = np.flatnonzero((key[k:] == key[:-k]) & (of[k:] <= SMALL)) + k
                 i = i[np.bitwise_count(fp[i] ^ fp[i - k]).sum(axis=1) <= near]
                 found.append(np.stack([i, i - k], axis=1))
-            for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-                # another order in each table, so that whom a leader stands for differs
-                order = s + np.argsort((node[s : s + n] ^ key[s]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            found = [np.concatenate(found)]
+            bucket = np.searchsorted(starts, found[0][:, 0], side="right") - 1
+            many = np.bincount(bucket, minlength=len(starts)) > 2
+            found[0] = found[0][~many[bucket]]
+            for s, n in zip(starts[many | (sizes > SMALL)], sizes[many | (sizes > SMALL)], strict=True):
+                order = s + np.argsort(node[s : s + n])  # the smallest documents lead, in all tables
                 found.append(order[bucket_candidates(fp[order], near, alike)].reshape(-1, 2))
             i, j = np.concatenate(found).T
             return pa.record_batch([pa.array(v) for v in (node[i], first[i], node[j], first[j])], names=["a", "fa", "b", "fb"])
