@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +25,7 @@ def _resampled(rows: DataFrame, values: list[str], resamples: int, seed: int) ->
     Draws meet their rows before anything is shuffled if the table is small (counted first), so only sums by resample
     move; else draws are counted by (b, i) and joined.
     """
-    rows = rows.select("i", "n", *values).persist()
+    rows = rows.select("i", "n", *values)
     draws = rows.select("i", "n").crossJoin(F.broadcast(rows.sparkSession.range(resamples).select(F.col("id").alias("b"))))  # ``resamples`` rows
     drawn = draws.select("b", (keyed_int(seed, "b", "i") % F.col("n")).alias("i"))
     if rows.count() <= SMALL_TABLE:
@@ -72,6 +76,55 @@ def bootstrap_cluster(df: DataFrame, cluster: str, truth: str, predicted: str, r
     return point.crossJoin(interval(stats, "m", resamples)).select("n_clusters", *(F.round(c, 6).alias(c) for c in ("value", "lo", "hi")))
 
 
+@lru_cache(maxsize=64)
+def keyed_quantiles(resamples: int = 2000, seed: int = 17, alpha: float = 0.05) -> tuple[float, float]:
+    """The keyed uniform numbers, one for each resample, at the places that the percentile interval takes in their order."""
+    u = sorted((int(hashlib.md5(f"{seed}:{b}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32 for b in range(resamples))
+    return u[int(alpha / 2 * resamples)], u[min(resamples - 1, int((1 - alpha / 2) * resamples))]
+
+
+def binomial_quantiles(n: int, k: int, levels: tuple[float, ...]) -> list[int]:
+    """The smallest j at which the distribution of n draws with chance k / n reaches each level."""
+    if k <= 0 or k >= n:
+        return [max(0, min(n, k))] * len(levels)
+    p = k / n
+    reach = int(40 + 12 * math.sqrt(n * p * (1 - p)))
+    j = np.arange(max(0, k - reach), min(n, k + reach) + 1)
+    # from the mean outwards by the ratio of neighbours
+    ratio = np.log((n - j[:-1]) / (j[:-1] + 1)) + math.log(p / (1 - p))
+    at = int(np.searchsorted(j, k))
+    top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)
+    logs = np.concatenate([[0.0], np.cumsum(ratio)])
+    total = np.cumsum(np.exp(logs - logs[at] + top))
+    return [int(j[min(len(j) - 1, int(np.searchsorted(total, x)))]) for x in levels]
+
+
+def rate_interval(n: Column, k: Column, resamples: int = 2000, seed: int = 17, alpha: float = 0.05) -> Column:
+    """struct(lo, hi): the percentile bootstrap of a rate with ``k`` of ``n``, from those two numbers alone.
+
+    A resample's sum of 0/1 values is binomial and grows with the uniform number that it is drawn by, so the interval's ends
+    are the binomial quantiles at the ends of the keyed uniforms: no row is drawn, whatever the size of the table.
+    """
+    levels = keyed_quantiles(resamples, seed, alpha)
+
+    @F.pandas_udf("lo double, hi double")
+    def ends(n: pd.Series, k: pd.Series) -> pd.DataFrame:
+        out = [[j / m for j in binomial_quantiles(int(m), int(x), levels)] if m else [0.0, 0.0] for m, x in zip(n, k, strict=True)]
+        return pd.DataFrame(out, columns=["lo", "hi"], dtype="float64")
+
+    return ends(n.cast("long"), F.coalesce(k, F.lit(0)).cast("long"))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation of ``n`` pairs, null without one."""
+
+    @F.pandas_udf("double")
+    def value(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) else student_p(float(x), int(m)) for x, m in zip(r, n, strict=True)], dtype="float64")
+
+    return value(r, n.cast("long"))
+
+
 def bonferroni(df: DataFrame, p: str) -> DataFrame:
     n = df.agg(F.count(p).alias("m"))
     return df.crossJoin(n).withColumn("p_adjusted", F.least(F.lit(1.0), F.col(p) * F.col("m"))).drop("m")

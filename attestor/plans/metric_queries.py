@@ -22,6 +22,17 @@ def query(sql: str | None):
     return keep
 
 
+_LO, _HI = stats.keyed_quantiles()
+
+
+def _rated(counts: str, cols: str, n: str = "n", k: str = "k", rate: str = "rate", lo: str = "lo", hi: str = "hi") -> str:
+    """SQL of a rate and its interval: ``cols`` of ``counts``, the rate k / n, and the binomial quantiles at the ends of the keyed uniforms."""
+    return f"""(WITH z AS (SELECT *, row_number() OVER () AS zid FROM {counts}), zj AS (SELECT zid, {n} AS n, {k} AS k, unnest(range(0, {n} + 1)) AS j FROM z),
+zc AS (SELECT zid, n, j, sum(CASE WHEN k = 0 THEN (j = 0)::INT::DOUBLE WHEN k = n THEN (j = n)::INT::DOUBLE ELSE exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(k / n) + (n - j) * ln(1 - k / n)) END) OVER (PARTITION BY zid ORDER BY j) AS c FROM zj),
+zi AS (SELECT zid, round(coalesce(min(j) FILTER (c >= {_LO!r}) / nullif(any_value(n), 0), 0.0), 6) AS lo, round(coalesce(min(j) FILTER (c >= {_HI!r}) / nullif(any_value(n), 0), 0.0), 6) AS hi FROM zc GROUP BY zid)
+SELECT {cols}, round(coalesce({k} / nullif({n}, 0), 0.0), 6) AS {rate}, zi.lo AS {lo}, zi.hi AS {hi} FROM z JOIN zi USING (zid))"""
+
+
 def _boot(rows: str, b: int, key: str, cols: str, value: str) -> str:
     """SQL of the keyed bootstrap: resamples of numbered rows, then the values at the interval's places."""
     return f"""r AS (SELECT row_number() OVER (ORDER BY md5('0:' || CAST({key} AS VARCHAR)), {key}) - 1 AS i, count(*) OVER () AS n, * FROM {rows}),
@@ -59,83 +70,125 @@ def bonferroni(spark, sf_dir):
 _REC = "(SELECT doc_id, [replace(lower(source), 'src', 'Drug-'), 'drug ' || lang] AS rec, CASE quality WHEN 1 THEN ['drug ' || CAST(doc_id % 20 AS VARCHAR), 'DRUG-en'] ELSE [] END AS gold FROM documents JOIN labels USING (doc_id))"
 
 
-@query(f"""WITH t AS (SELECT list_transform(rec, lambda x: trim(regexp_replace(replace(lower(x), '-', ' '), '\\s+', ' ', 'g'))) AS r, list_transform(gold, lambda x: trim(regexp_replace(replace(lower(x), '-', ' '), '\\s+', ' ', 'g'))) AS g FROM {_REC})
-SELECT count(*) FILTER (len(g) > 0) AS n, round(avg(list_contains(g, r[1])::INT) FILTER (len(g) > 0), 6) AS top1, round(avg(list_has_any(r, g)::INT) FILTER (len(g) > 0), 6) AS any_match, count(*) FILTER (len(g) = 0) AS skipped FROM t""")
+_CONC = f"""(WITH t AS (SELECT list_transform(rec, lambda x: trim(regexp_replace(replace(lower(x), '-', ' '), '\\s+', ' ', 'g'))) AS r, list_transform(gold, lambda x: trim(regexp_replace(replace(lower(x), '-', ' '), '\\s+', ' ', 'g'))) AS g FROM {_REC})
+SELECT count(*) FILTER (len(g) > 0) AS n, count(*) FILTER (len(g) > 0 AND list_contains(g, r[1])) AS k1, count(*) FILTER (len(g) > 0 AND list_has_any(r, g)) AS k2, count(*) FILTER (len(g) = 0) AS skipped FROM t)"""
+
+
+@query("SELECT * FROM " + _rated(_rated(_CONC, "n, skipped, k2", k="k1", rate="top1", lo="top1_lo", hi="top1_hi"), "n, skipped, top1, top1_lo, top1_hi", k="k2", rate="any_match", lo="any_lo", hi="any_hi"))
 def concordance(spark, sf_dir):
+    return metrics.concordance(_traces(spark, sf_dir))
+
+
+def _traces(spark, sf_dir):
     df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     rec = F.array(F.replace(F.lower("source"), F.lit("src"), F.lit("Drug-")), F.concat(F.lit("drug "), "lang"))
     gold = F.when(F.col("quality") == 1, F.array(F.concat(F.lit("drug "), (F.col("doc_id") % 20).cast("string")), F.lit("DRUG-en"))).otherwise(F.array().cast("array<string>"))
-    return metrics.concordance(df.select(rec.alias("recommendation"), gold.alias("gold")))
+    confidence = F.when(F.col("doc_id") % 7 > 0, F.least(F.lit(0.99), F.col("n_chars") / 5000.0))
+    return df.select(rec.alias("recommendation"), gold.alias("gold"), confidence.alias("confidence"))
+
+
+_INTERP = """(WITH t AS (SELECT quality = 1 AS a, n_chars % 4 > 0 AND toxic = 0 AS p FROM documents JOIN labels USING (doc_id)) SELECT count(*) AS n, count(*) FILTER (a = p) AS k, count(*) FILTER (a) AS n_actionable, count(*) FILTER (a AND p) AS actionable_recommended,
+count(*) FILTER (a AND NOT p) AS actionable_abstained, count(*) FILTER (NOT a AND p) AS other_recommended, count(*) FILTER (NOT a AND NOT p) AS other_abstained FROM t)"""
 
 
-@query("""WITH t AS (SELECT quality = 1 AS a, n_chars % 4 > 0 AND toxic = 0 AS p FROM documents JOIN labels USING (doc_id)) SELECT count(*) AS n, round(avg((a = p)::INT), 6) AS agreement, count(*) FILTER (a AND p) AS actionable_recommended,
-count(*) FILTER (a AND NOT p) AS actionable_abstained, count(*) FILTER (NOT a AND p) AS other_recommended, count(*) FILTER (NOT a AND NOT p) AS other_abstained FROM t""")
+@query("SELECT * FROM " + _rated(_INTERP, "n, n_actionable, actionable_recommended, actionable_abstained, other_recommended, other_abstained", rate="agreement"))
 def interpretation_2x2(spark, sf_dir):
     df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return metrics.interpretation(df.select((F.col("quality") == 1).alias("actionable"), (F.col("n_chars") % 4).alias("n_recommended"), (F.col("toxic") == 1).alias("abstained")))
 
 
-@query("SELECT count(quality) AS n, round(avg(quality), 6) AS rate, count(*) - count(quality) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT * FROM " + _rated("(SELECT count(quality) AS n, count(*) FILTER (quality = 1) AS k, count(*) - count(quality) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id))", "n, unlabelled"))
 def step_soundness(spark, sf_dir):
     df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select((F.col("quality") == 1).alias("label_sound"))
     return metrics.step_soundness(df)
 
 
-_TOOL = "count(*) AS n, round(avg(ok::INT), 6) AS success_rate, round(median(latency), 6) AS median_latency, count(*) - count(DISTINCT (tool, coalesce(args, ''))) AS redundant, count(*) FILTER (ok AND n_results = 0) AS empty, array_to_string(list(error ORDER BY ord) FILTER (NOT ok)[1:5], ';') AS errors"
+_TOOL = "count(*) AS n, count(*) FILTER (ok) AS k, round(median(latency), 6) AS median_latency, count(*) - count(DISTINCT (tool, coalesce(args, ''))) AS redundant, count(*) FILTER (ok AND n_results = 0) AS empty, array_to_string((list(error ORDER BY ord) FILTER (NOT ok))[1:5], ';') AS errors"
 
 
-@query(f"SELECT count(*) AS n, round(avg(ok::INT), 6) AS success_rate, round(median(latency), 6) AS median_latency, count(*) - count(DISTINCT (tool, coalesce(args, ''))) AS redundant, count(*) FILTER (ok AND n_results = 0) AS empty, array_to_string((list(error ORDER BY ord) FILTER (NOT ok))[1:5], ';') AS errors FROM {CALLS}")
+@query("SELECT * FROM " + _rated(f"(SELECT {_TOOL} FROM {CALLS})", "n, median_latency, redundant, empty, errors", rate="success_rate"))
 def tool_reliability(spark, sf_dir):
     return metrics.tool_reliability(calls(spark, sf_dir))
 
 
-@query(f"SELECT trace_id, count(*) AS n, round(avg(ok::INT), 6) AS success_rate, round(median(latency), 6) AS median_latency, count(*) - count(DISTINCT (tool, coalesce(args, ''))) AS redundant, count(*) FILTER (ok AND n_results = 0) AS empty, array_to_string((list(error ORDER BY ord) FILTER (NOT ok))[1:5], ';') AS errors FROM {CALLS} GROUP BY trace_id")
+@query("SELECT * FROM " + _rated(f"(SELECT trace_id, {_TOOL} FROM {CALLS} GROUP BY trace_id)", "trace_id, n, median_latency, redundant, empty, errors", rate="success_rate"))
 def tool_reliability_by_trace(spark, sf_dir):
     return metrics.tool_reliability(calls(spark, sf_dir), ["trace_id"])
 
 
-@query(f"SELECT count(*) AS n, round(avg((id IS NOT NULL)::INT), 6) AS rate FROM {HREFS} LEFT JOIN {RESOLVABLE} ON id = href")
+@query("SELECT * FROM " + _rated(f"(SELECT count(*) AS n, count(id) AS k FROM {HREFS} LEFT JOIN {RESOLVABLE} ON id = href)", "n"))
 def citation_grounding(spark, sf_dir):
     return metrics.citation_grounding(hrefs(spark, sf_dir).select(F.col("page_id").alias("trace_id"), F.col("href").alias("id")), resolvable(spark, sf_dir))
 
 
-@query(f"SELECT count(*) AS n, round(avg((page_id IN (SELECT page_id FROM {HREFS}))::INT), 6) AS rate FROM pages")
+@query("SELECT * FROM " + _rated(f"(SELECT count(*) AS n, count(*) FILTER (page_id IN (SELECT page_id FROM {HREFS})) AS k FROM pages)", "n"))
 def citation_presence(spark, sf_dir):
     h = table(spark, sf_dir, "pages").select("page_id").join(hrefs(spark, sf_dir), "page_id", "left").select(F.col("page_id").alias("trace_id"), F.col("href").alias("id"))
     return metrics.citation_grounding(h, None)
 
 
-_BINS = f"(SELECT b AS bin, count(confidence) AS n, round(avg(confidence), 6) AS mean_confidence, round(avg(correct::INT), 6) AS accuracy FROM range(5) x(b) LEFT JOIN {CONFIDENT} ON confidence >= b / 5.0 AND (confidence < (b + 1) / 5.0 OR b = 4) GROUP BY b)"
+_BINS = f"(SELECT b AS bin, count(confidence) AS n, avg(confidence) AS mean_confidence, avg(correct::INT) AS accuracy FROM range(5) x(b) LEFT JOIN {CONFIDENT} ON confidence >= b / 5.0 AND (confidence < (b + 1) / 5.0 OR b = 4) GROUP BY b)"
 
 
-@query(f"SELECT CAST(bin AS INT) AS bin, n, mean_confidence, accuracy FROM {_BINS}")
+@query(f"SELECT CAST(bin AS INT) AS bin, n, round(mean_confidence, 6) AS mean_confidence, round(accuracy, 6) AS accuracy FROM {_BINS}")
 def calibration_bins(spark, sf_dir):
     return metrics.calibration_bins(confident(spark, sf_dir), "confidence", "correct")
 
 
-@query(f"SELECT count(*) AS n, round(avg((confidence - correct::INT) ** 2), 6) AS brier, round((SELECT sum(n * abs(accuracy - mean_confidence)) / sum(n) FROM {_BINS} WHERE n > 0), 5) AS ece FROM {CONFIDENT}")
+@query(f"""WITH {_boot(f'(SELECT doc_id, (confidence - correct::INT) ** 2 AS v FROM {CONFIDENT})', 2000, 'doc_id', 'sum(v) AS v', 'v / n')} SELECT (SELECT count(*) FROM r) AS n, round((SELECT avg(v) FROM r), 6) AS brier,
+round((SELECT sum(n * abs(accuracy - mean_confidence)) / sum(n) FROM {_BINS} WHERE n > 0), 6) AS ece, lo AS brier_lo, hi AS brier_hi FROM ci""")
 def calibration_ece(spark, sf_dir):
-    return metrics.calibration(confident(spark, sf_dir), "confidence", "correct")
+    return metrics.calibration(confident(spark, sf_dir), "confidence", "correct", key="doc_id")
 
 
-@query(f"""WITH r AS (SELECT t AS threshold, count(*) FILTER (confidence >= t) AS kept, count(*) FILTER (confidence >= t) / count(*) AS coverage, avg(correct::INT) FILTER (confidence >= t) AS accuracy FROM {CONFIDENT}, (VALUES (0.0::DOUBLE), (0.3), (0.5), (0.7), (0.9)) v(t) GROUP BY t),
-f AS (SELECT *, coalesce(accuracy < lag(accuracy IGNORE NULLS) OVER (ORDER BY threshold) - 1e-9, FALSE) AS falls FROM r)
-SELECT threshold, kept, round(coverage, 6) AS coverage, round(accuracy, 6) AS accuracy, NOT bool_or(falls) OVER () AS monotone FROM f""")
+_KEPT = f"(SELECT t AS threshold, count(*) FILTER (confidence >= t) AS kept, count(*) FILTER (confidence >= t) / count(*) AS coverage, count(*) FILTER (confidence >= t AND correct) AS k FROM {CONFIDENT}, (VALUES (0.0::DOUBLE), (0.3), (0.5), (0.7), (0.9)) v(t) GROUP BY t)"
+
+
+@query(f"""WITH r AS (SELECT *, k / nullif(kept, 0) AS a FROM {_rated(_KEPT, 'threshold, kept, coverage, k', n='kept', rate='accuracy', lo='accuracy_lo', hi='accuracy_hi')}),
+f AS (SELECT *, coalesce(a < lag(a IGNORE NULLS) OVER (ORDER BY threshold) - 1e-9, FALSE) AS falls FROM r)
+SELECT threshold, kept, round(coverage, 6) AS coverage, CASE WHEN kept > 0 THEN accuracy END AS accuracy, CASE WHEN kept > 0 THEN accuracy_lo END AS accuracy_lo, CASE WHEN kept > 0 THEN accuracy_hi END AS accuracy_hi, NOT bool_or(falls) OVER () AS monotone FROM f""")
 def deferral_curve(spark, sf_dir):
     return metrics.deferral_curve(confident(spark, sf_dir), "confidence", "correct")
 
 
+@query(f"""WITH t AS (SELECT list_transform(rec, lambda x: trim(regexp_replace(replace(lower(x), '-', ' '), '\\s+', ' ', 'g'))) AS r, list_transform(gold, lambda x: trim(regexp_replace(replace(lower(x), '-', ' '), '\\s+', ' ', 'g'))) AS g, c FROM (SELECT *, CASE WHEN doc_id % 7 > 0 THEN least(0.99, n_chars / 5000.0) END AS c FROM {_REC.replace('SELECT doc_id,', 'SELECT doc_id, n_chars,')}))
+SELECT list_contains(g, r[1]) AS correct, count(*) AS n, round(avg(c), 6) AS mean_confidence FROM t WHERE len(g) > 0 AND c IS NOT NULL GROUP BY ALL""")
+def correct_flags(spark, sf_dir):
+    df = _traces(spark, sf_dir)
+    return metrics.correct_flags(df).groupBy("correct").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
 @query("SELECT count(*) AS n, round(corr(quality::DOUBLE, n_chars::DOUBLE), 6) AS r, round(avg(n_chars) FILTER (quality = 1), 6) AS mean_true, round(avg(n_chars) FILTER (quality = 0), 6) AS mean_false FROM documents JOIN labels USING (doc_id)")
 def point_biserial(spark, sf_dir):
     df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return stats.point_biserial(df, "quality", "n_chars")
 
 
-@query(f"""SELECT trace_id, coalesce(c, 0) + coalesce(t, 0) AS n_evidence FROM (SELECT DISTINCT user_id AS trace_id FROM events) LEFT JOIN (SELECT page_id AS trace_id, count(DISTINCT href) AS c FROM {HREFS} GROUP BY 1) USING (trace_id)
-LEFT JOIN (SELECT trace_id, count(*) AS t FROM {CALLS} WHERE ok AND n_results > 0 GROUP BY 1) USING (trace_id)""")
-def information_gathering(spark, sf_dir):
+_GATHERED = f"""(SELECT trace_id, coalesce(c, 0) + coalesce(t, 0) AS n_evidence FROM (SELECT DISTINCT trace_id FROM {{}}) LEFT JOIN (SELECT page_id AS trace_id, count(DISTINCT href) AS c FROM {HREFS} GROUP BY 1) USING (trace_id)
+LEFT JOIN (SELECT trace_id, count(*) AS t FROM {CALLS} WHERE ok AND n_results > 0 GROUP BY 1) USING (trace_id))"""
+
+
+def _cited(spark, sf_dir):
+    return hrefs(spark, sf_dir).select(F.col("page_id").alias("trace_id"), F.col("href").alias("id"))
+
+
+@query("SELECT * FROM " + _GATHERED.format("(SELECT user_id AS trace_id FROM events)"))
+def evidence_gathered(spark, sf_dir):
     c = calls(spark, sf_dir)
-    return metrics.evidence_gathered(c, c, hrefs(spark, sf_dir).select(F.col("page_id").alias("trace_id"), F.col("href").alias("id")))
+    return metrics.evidence_gathered(c, c, _cited(spark, sf_dir))
+
+
+# The p-value of a correlation: of the powers of the cosine from asin |r| on, the share of their integral from 0.
+_INFO = f"""(WITH j AS (SELECT n_evidence, quality = 1 AS correct FROM {_GATHERED.format('(SELECT doc_id AS trace_id FROM labels)')} JOIN labels ON doc_id = trace_id),
+s AS (SELECT count(*) AS n, count(*) FILTER (correct) AS n_correct, count(*) FILTER (NOT correct) AS n_incorrect, avg(n_evidence) FILTER (correct) AS a, avg(n_evidence) FILTER (NOT correct) AS b, corr(correct::INT::DOUBLE, n_evidence::DOUBLE) AS r FROM j),
+i AS (SELECT sum(w) FILTER (x >= asin(abs(r)) / (pi() / 2)) / sum(w) AS coarse, r FROM (SELECT x, r, cos(x * pi() / 2) ** (n - 3) AS w FROM s, (SELECT (k + 0.5) / 400000 AS x FROM range(400000) t(k))) GROUP BY r)
+SELECT n, n_correct, n_incorrect, round(a, 3) AS mean_correct, round(b, 3) AS mean_incorrect, round(s.r, 4) AS r, round(coarse, 4) AS p, s.r > 0.1 AS tracks FROM s, i)"""
+
+
+@query(f"SELECT * FROM {_INFO}")
+def information_gathering(spark, sf_dir):
+    t = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("trace_id"), (F.col("quality") == 1).alias("correct"))
+    return metrics.information_gathering(t, calls(spark, sf_dir), _cited(spark, sf_dir))
 
 
 _SCORE = "(SELECT doc_id, source, quality, (n_chars - 1500) / 800.0 AS logit, round(1 / (1 + exp(-greatest(-30.0, least(30.0, (n_chars - 1500) / 800.0)))), 9) AS prob FROM documents JOIN labels USING (doc_id))"
@@ -275,15 +328,25 @@ def call_sessions(spark, sf_dir):
     return reliability.call_sessions(c).groupBy("trace_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n"))
 
 
-_REPORT = ("concordance", "interpretation_2x2", "step_soundness", "tool_reliability", "citation_grounding", "calibration_ece")
-_VALUE = {"concordance": "top1", "interpretation_2x2": "agreement", "step_soundness": "rate", "tool_reliability": "success_rate", "citation_grounding": "rate", "calibration_ece": "brier"}
+# Metric to (value, lower and upper end of its interval, which row).
+_REPORT = {
+    "concordance": ("top1", "top1_lo", "top1_hi", "true"), "interpretation_2x2": ("agreement", "lo", "hi", "true"), "step_soundness": ("rate", "lo", "hi", "true"),
+    "tool_reliability": ("success_rate", "lo", "hi", "true"), "citation_grounding": ("rate", "lo", "hi", "true"), "calibration_ece": ("brier", "brier_lo", "brier_hi", "true"),
+    "deferral_curve": ("accuracy", "accuracy_lo", "accuracy_hi", "threshold = 0.5"), "information_gathering": ("r", None, None, "true"),
+}
+
+
+def _end(c: str | None) -> str:
+    return c or "CAST(NULL AS DOUBLE)"
 
 
-@query(" UNION ALL ".join(f"SELECT '{m}' AS metric, n, {_VALUE[m]} AS value FROM ({ORACLES[m]})" for m in _REPORT))
+@query(" UNION ALL ".join(f"SELECT '{m}' AS metric, {'kept' if m == 'deferral_curve' else 'n'} AS n, {v} AS value, {_end(lo)} AS lo, {_end(hi)} AS hi FROM ({ORACLES[m]}) WHERE {cond}" for m, (v, lo, hi, cond) in _REPORT.items()))
 def evaluation_report(spark, sf_dir):
-    """The metrics of a run as rows."""
+    """All eight metrics of a run as rows, with their intervals."""
     out = None
-    for m in _REPORT:
-        row = QUERIES[m](spark, sf_dir).select(F.lit(m).alias("metric"), F.col("n").cast("bigint").alias("n"), F.col(_VALUE[m]).alias("value"))
+    for m, (v, lo, hi, cond) in _REPORT.items():
+        row = QUERIES[m](spark, sf_dir).where(cond)
+        n = F.col("kept" if m == "deferral_curve" else "n").cast("bigint").alias("n")
+        row = row.select(F.lit(m).alias("metric"), n, F.col(v).alias("value"), F.expr(_end(lo)).alias("lo"), F.expr(_end(hi)).alias("hi"))
         out = row if out is None else out.unionByName(row)
     return out
