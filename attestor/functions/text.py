@@ -143,8 +143,8 @@ def claim_text(profile: Column, direction: Column, significance: Column, therapi
 
 
 # Words that make a sentence claim benefit, or resistance.
-BENEFIT = r"(?i)\b(sensitiv\w*|respond\w*|benefit\w*|effective|efficacious|indicated|recommend\w*|should be (considered|offered|used)|treat(ed|ment)? with|first[- ]line|appropriate|suitable|eligible)\b"
-RESISTANCE = r"(?i)\b(resistan\w*|refractory|not effective|ineffective|does not respond|no benefit|lack of (response|benefit)|contraindicat\w*|should not be|avoid|unlikely to benefit|progress\w* on)\b"
+BENEFIT = r"(?i)\b(sensitiv\w*|respond\w*|benefit\w*|effective|efficacious|indicated|recommend\w*|should be (?:considered|offered|used)|treat(?:ed|ment)? with|first[- ]line|appropriate|suitable|eligible)\b"
+RESISTANCE = r"(?i)\b(resistan\w*|refractory|not effective|ineffective|does not respond|no benefit|lack of (?:response|benefit)|contraindicat\w*|should not be|avoid|unlikely to benefit|progress\w* on)\b"
 
 
 def claim_direction(x: Column | str, benefit: str = BENEFIT, resistance: str = RESISTANCE) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestor.functions.text import norm_name
-from attestor.operators.stats import bootstrap_mean, correlation_p, rate_interval
+from attestor.operators.stats import bootstrap_mean, correlation, correlation_p, rate_interval
 
 
 def rated(counts: DataFrame, n: str, k: str, rate: str = "rate", lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -177,8 +177,8 @@ def information_gathering(traces: DataFrame, calls: DataFrame, citations: DataFr
     t = traces.where("correct is not null")
     j = evidence_gathered(t, calls, citations).join(t.select("trace_id", F.col("correct").cast("boolean").alias("correct")), "trace_id")
     f, v = F.col("correct").cast("double"), F.col("n_evidence").cast("double")
-    s = j.agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.count_if(~F.col("correct")).alias("n_incorrect"), F.avg(F.when(F.col("correct"), v)).alias("a"), F.avg(F.when(~F.col("correct"), v)).alias("b"), F.corr(f, v).alias("c"))
-    r = F.when((F.col("n") >= 3) & (F.col("n_correct") > 0) & (F.col("n_incorrect") > 0) & ~F.isnan("c"), F.col("c"))
+    s = j.agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.count_if(~F.col("correct")).alias("n_incorrect"), F.avg(F.when(F.col("correct"), v)).alias("a"), F.avg(F.when(~F.col("correct"), v)).alias("b"), correlation(f, v).alias("c"))
+    r = F.when((F.col("n") >= 3) & (F.col("n_correct") > 0) & (F.col("n_incorrect") > 0), F.col("c"))
     s = s.withColumn("r", r)
     return s.select("n", "n_correct", "n_incorrect", F.round("a", 3).alias("mean_correct"), F.round("b", 3).alias("mean_incorrect"), F.round("r", 4).alias("r"), F.round(correlation_p(F.col("r"), F.col("n")), 4).alias("p"), F.coalesce(F.col("r") > 0.1, F.lit(False)).alias("tracks"))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attestor.functions.text import tokenize
+from attestor.functions.text import token_set, tokenize
 
 
 def top_k(df: DataFrame, query: str, order: list[Column], k: int) -> DataFrame:
@@ -29,17 +33,24 @@ def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.lit(1e-9), F.log(1 + (n - df + 0.5) / (df + 0.5)))
 
 
+#: A vocabulary of up to so many terms is sent to all tasks; its size is counted first.
+SMALL_VOCABULARY = 200_000
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query_text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank). A term counts as often as the query repeats it; only scores over 0 are returned.
 
-    Documents' terms are cut down to the queries' vocabulary (a semi join) before they are counted, so what is shuffled
-    is the matching terms; ties in the score rounded to six places go to the smaller doc_id.
+    The text is read twice: for the documents' lengths, and for the terms of the queries' vocabulary, which are cut down before
+    they are counted or shuffled. Ties in the score rounded to six places go to the smaller doc_id.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
+    words = asked.select("term").distinct()
+    words = F.broadcast(words) if words.count() <= SMALL_VOCABULARY else words
     flat = docs.select(F.col(doc_id).alias("doc_id"), tokenize(text).alias("t"))
-    terms = flat.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = terms.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    terms = flat.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(words, "term", "left_semi")
+    # one exchange by document gives the counts; the same rows give document frequencies
+    tf = terms.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    df = terms.select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
     weight = df.crossJoin(corpus_size(docs, text)).select("term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     hits = asked.join(weight, "term").join(tf, "term").withColumn("part", part * F.col("qn"))
@@ -47,17 +58,63 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id
     return top_k(scored, "query_id", [F.round("score", 6).desc(), F.col("doc_id")], k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def token_matches(left: DataFrame, left_text: str, right: DataFrame, right_text: str) -> DataFrame:
+    """Pairs of rows that share a token (over two characters, in any case), by an equi-join on tokens; columns of both sides."""
+    a = left.select("*", F.explode(token_set(F.col(left_text))).alias("_token"))
+    b = right.select("*", F.explode(token_set(F.col(right_text))).alias("_token"))
+    return a.join(b, "_token").drop("_token").distinct()
+
+
+BLOCK = 2048
+
+
+def _nearest(q_ids: np.ndarray, q: np.ndarray, k: int):
+    """A function over batches of (id, vector) that yields each partition's best ``k`` rows of every query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, ids = np.full((len(q_ids), 0), -np.inf), np.zeros((len(q_ids), 0), np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                own, col = b.column(0).slice(lo, 1024), b.column(1).slice(lo, 1024)
+                if len(own) == 0:
+                    continue
+                v = np.stack([np.asarray(x.as_py(), dtype=np.float64) for x in col])
+                norm = np.sqrt((v * v).sum(axis=1))
+                new = np.where(norm > 0, q @ v.T / np.where(norm > 0, norm, 1.0), np.nan)
+                score = np.concatenate([score, new], axis=1)
+                ids = np.concatenate([ids, np.broadcast_to(own.to_numpy(), new.shape)], axis=1)
+                order = np.lexsort((ids, -np.round(np.nan_to_num(score, nan=-2.0), 6)), axis=1)[:, :k]
+                score, ids = np.take_along_axis(score, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        keep = ~np.isnan(score)
+        yield pa.record_batch([pa.array(np.broadcast_to(q_ids[:, None], score.shape)[keep]), pa.array(ids[keep]), pa.array(score[keep])], names=["query_id", "doc_id", "score"])
+
+    return run
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """(query_id, doc_id, score, rank) by cosine; the queries are a stated small set, joined to all vectors in one pass."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("q"), F.sqrt(dot(F.col(embedding), F.col(embedding))).alias("qn"))
-    v = vectors.select(F.col(vec_id).alias("doc_id"), F.col(embedding).alias("v"), F.sqrt(dot(F.col(embedding), F.col(embedding))).alias("vn"))
-    score = F.try_divide(dot(F.col("q"), F.col("v")), F.col("qn") * F.col("vn"))
-    pairs = v.crossJoin(q).select("query_id", "doc_id", score.alias("score"))
-    return top_k(pairs, "query_id", [F.round("score", 6).desc(), F.col("doc_id")], k)
+    """(query_id, doc_id, score, rank) by cosine: every query against all vectors.
+
+    The queries go through in blocks of ``BLOCK``, each a matrix that all tasks get and multiply with their vectors, keeping the
+    best ``k`` of every query; only those are shuffled. A vector or query of length 0, or a null, has no score.
+    """
+    asked = queries.where(F.col(embedding).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(embedding).cast("array<double>").alias("q"))
+    own = vectors.where(F.col(embedding).isNotNull() & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("doc_id"), F.col(embedding).cast("array<double>").alias("v"))
+    out, block = None, []
+
+    def found() -> DataFrame:
+        q = np.array([r.q for r in block], dtype=np.float64)
+        norm = np.sqrt((q * q).sum(axis=1, keepdims=True))
+        q = np.where(norm > 0, q / np.where(norm > 0, norm, 1.0), np.nan)
+        return own.mapInArrow(_nearest(np.array([r.query_id for r in block], np.int64), q, k), "query_id long, doc_id long, score double")
+
+    for r in asked.toLocalIterator():
+        block.append(r)
+        if len(block) == BLOCK:
+            out, block = found() if out is None else out.unionAll(found()), []
+    if block or out is None:
+        rest = found() if block else own.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+        out = rest if out is None else out.unionAll(rest)
+    return top_k(out, "query_id", [F.round("score", 6).desc(), F.col("doc_id")], k)
 
 
 def fuse(arms: list[DataFrame], k: int = 10, rrf_k: int = 60) -> DataFrame:

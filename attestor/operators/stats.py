@@ -115,6 +115,11 @@ def rate_interval(n: Column, k: Column, resamples: int = 2000, seed: int = 17, a
     return ends(n.cast("long"), F.coalesce(k, F.lit(0)).cast("long"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """An aggregate: Pearson's correlation, null where one of the columns doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation_p(r: Column, n: Column) -> Column:
     """Two-sided p-value of a correlation of ``n`` pairs, null without one."""
 
@@ -166,6 +171,6 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
 def point_biserial(df: DataFrame, flag: str, value: str) -> DataFrame:
     """One row (n, r, mean_true, mean_false); r is null under three rows or with one class."""
     f, v = F.col(flag).cast("double"), F.col(value).cast("double")
-    s = df.where(F.col(flag).isNotNull() & F.col(value).isNotNull()).agg(F.count("*").alias("n"), F.corr(f, v).alias("r"), F.avg(F.when(f > 0, v)).alias("mean_true"), F.avg(F.when(f == 0, v)).alias("mean_false"), F.min(f).alias("lo"), F.max(f).alias("hi"))
+    s = df.where(F.col(flag).isNotNull() & F.col(value).isNotNull()).agg(F.count("*").alias("n"), correlation(f, v).alias("r"), F.avg(F.when(f > 0, v)).alias("mean_true"), F.avg(F.when(f == 0, v)).alias("mean_false"), F.min(f).alias("lo"), F.max(f).alias("hi"))
     ok = (F.col("n") >= 3) & (F.col("lo") < F.col("hi"))
     return s.select("n", F.round(F.when(ok, F.col("r")), 6).alias("r"), F.round("mean_true", 6).alias("mean_true"), F.round("mean_false", 6).alias("mean_false"))

@@ -112,6 +112,7 @@ def profile_capped(spark, sf_dir):
     return profiles.capped(profiles.richest_sample(_dropped(spark, sf_dir)), STUDIES, 20, SEED).select("study", "patient", "sample", "n")
 
 
+_TUMORS = {"1-URGENT": "lung carcinoma", "2-HIGH": "sarcoma"}
 _FLAGS = f"(SELECT study, sample, string_agg(DISTINCT \"check\", ',' ORDER BY \"check\") AS flags FROM ({_HEAD.format(_ALL)}) WHERE sample IS NOT NULL GROUP BY ALL)"
 _CASES = f"""(SELECT f.study || '-' || CAST(f.sample AS VARCHAR) AS case_id, f.patient, f.study, coalesce(g.flags, '') AS flags, (SELECT string_agg(d.gene || ' ' || d.change, ';' ORDER BY d.line, d.gene, d.change) FROM {_DROPPED} d WHERE d.study = f.study AND d.sample = f.sample) AS alterations
   FROM {_FIRST} f LEFT JOIN {_FLAGS} g ON g.study = f.study AND g.sample = CAST(f.sample AS VARCHAR))"""
@@ -129,6 +130,20 @@ def case_assemble_nested(spark, sf_dir):
     return c.select("case_id", "patient", F.col("provenance.study").alias("study"), F.array_join("flags", ",").alias("flags"), alts.alias("alterations"))
 
 
+_BUILT = f"""(SELECT c.study, c.patient, c.sample, c.n, CASE c.study WHEN '1-URGENT' THEN 'lung carcinoma' WHEN '2-HIGH' THEN 'sarcoma' ELSE 'lung' END AS tumor_type, coalesce(g.flags, '') AS flags FROM ({"".join(_CAP)} {" UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(len(STUDIES)))}) c
+  LEFT JOIN {_FLAGS} g ON g.study = c.study AND g.sample = CAST(c.sample AS VARCHAR) WHERE c.n >= 2)""".replace("FROM rich WHERE study", "FROM rich WHERE n >= 2 AND study")
+
+
+def _built(spark, sf_dir):
+    return profiles.built(records(spark, sf_dir), STUDIES, ["line", "part", "supp", "price"], _TUMORS, per_study=20, min_alterations=2, seed=SEED, threshold=HIGH)
+
+
+@query(f"""SELECT b.*, (SELECT string_agg(d.gene || ' ' || d.change, ';' ORDER BY d.line, d.part, d.supp, d.price) FROM {_DROPPED} d WHERE d.study = b.study AND d.sample = b.sample) AS alterations FROM {_BUILT} b""")
+def build_profiles(spark, sf_dir):
+    alts = F.array_join(F.transform("alterations", lambda a: F.concat_ws(" ", a["gene"], a["change"])), ";")
+    return _built(spark, sf_dir).withColumn("alterations", alts).withColumn("flags", F.array_join("flags", ","))
+
+
 _BUCKET = "(SELECT {k}, row_number() OVER (ORDER BY md5('17:' || CAST({k} AS VARCHAR)), {k}) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT {k} FROM {t}))"
 _SPLIT = "CASE WHEN pos < floor(n * 0.7) THEN 'train' WHEN pos < floor(n * 0.7) + floor(n * 0.1) THEN 'val' WHEN pos < floor(n * 0.7) + 2 * floor(n * 0.1) THEN 'test' ELSE 'generalization' END"
 
@@ -194,6 +209,29 @@ def annotate_actionable(spark, sf_dir):
     return evidence.annotated(alts, _evidence(spark, sf_dir)).select("profile", "n_evidence", "actionable", "best_level", F.array_join("citations", ",").alias("citations"))
 
 
+# Rich sources know an identifier for every third record.
+_TOP5 = f"""(SELECT * FROM (SELECT q.gene, q.tumor_type, v.*, row_number() OVER (PARTITION BY q.gene, q.tumor_type ORDER BY CASE WHEN list_has_any([contains(lower(coalesce(disease, '')), w) for w in list_filter(regexp_split_to_array(lower(q.tumor_type), '\\W+'), lambda t: length(t) > 2)], [TRUE]) THEN 0 ELSE 1 END, {_LR}, rating DESC, ord) AS rank
+  FROM (SELECT DISTINCT d.gene, b.tumor_type FROM {_BUILT} b JOIN {_DROPPED} d ON d.study = b.study AND d.sample = b.sample) q JOIN (SELECT * FROM {_EV} WHERE status = 'ACCEPTED') v ON v.profile = q.gene) WHERE rank <= 5)"""
+_NOTED = f"""(SELECT gene, tumor_type, bool_or(evidence_type = 'PREDICTIVE' AND direction = 'SUPPORTS' AND significance LIKE '%SENSITIVITY%' AND level IN ('A', 'B')) AS actionable, string_agg(citation_id, ',' ORDER BY rank) AS civic, arg_min(CASE WHEN ord % 3 = 0 THEN 'CA' || CAST(ord AS VARCHAR) END, rank) FILTER (ord % 3 = 0) AS caid,
+  array_to_string(list_sort(list_distinct(list(CAST(ord % 100 AS VARCHAR)))), ',') AS clinvar_ids FROM {_TOP5} GROUP BY ALL)"""
+
+
+@query(f"""WITH c AS (SELECT study || ':' || CAST(sample AS VARCHAR) AS case_id, * FROM {_BUILT}), s AS (SELECT case_id, {_SPLIT} AS split FROM (SELECT case_id, row_number() OVER (ORDER BY md5('17:' || case_id), case_id) - 1 AS pos, count(*) OVER () AS n FROM c)),
+a AS (SELECT DISTINCT case_id, d.gene, d.change, c.tumor_type FROM c JOIN {_DROPPED} d ON d.study = c.study AND d.sample = c.sample)
+SELECT c.case_id, split, c.tumor_type, c.n AS n_alterations, count(a.gene) AS n_evidence, string_agg(a.gene || ' ' || a.change || '=' || coalesce(civic, '') || '/' || coalesce(actionable, FALSE) || '/' || coalesce(caid, '') || '/' || coalesce(clinvar_ids, ''), ';' ORDER BY a.gene || ' ' || a.change) AS evidence
+FROM c JOIN s USING (case_id) LEFT JOIN a ON a.case_id = c.case_id LEFT JOIN {_NOTED} e ON e.gene = a.gene AND e.tumor_type = a.tumor_type GROUP BY ALL""")
+def assemble_case(spark, sf_dir):
+    built = _built(spark, sf_dir)
+    each = built.select("tumor_type", F.explode("alterations").alias("a")).select("a.gene", "a.change", "tumor_type")
+    ev = _evidence(spark, sf_dir).drop("tumor").withColumn("summary", F.concat(F.lit("claim "), "citation_id")).withColumn("caid", F.expr("CASE WHEN ord % 3 = 0 THEN concat('CA', ord) END")).withColumn("clinvar_ids", F.expr("array(cast(ord % 100 as string))"))
+    recs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("concat('VCV', s_suppkey)").alias("accession"), F.col("s_name").alias("title"))
+    c = profiles.cases(built, evidence.annotation(each, ev, recs), SEED)
+    shape = "actionable boolean, caid string, clinvar_ids array<string>, civic array<struct<id: string>>"
+    parsed = F.transform(F.array_sort(F.map_entries("provenance.evidence")), lambda e: F.struct(e["key"].alias("k"), F.from_json(e["value"], shape).alias("e")))
+    shown = F.transform(parsed, lambda p: F.concat(p["k"], F.lit("="), F.array_join(F.transform(p["e"]["civic"], lambda x: x["id"]), ","), F.lit("/"), p["e"]["actionable"].cast("string"), F.lit("/"), F.coalesce(p["e"]["caid"], F.lit("")), F.lit("/"), F.array_join(p["e"]["clinvar_ids"], ",")))
+    return c.select("case_id", "split", "context.tumor_type", F.size("alterations").cast("bigint").alias("n_alterations"), F.size("provenance.evidence").cast("bigint").alias("n_evidence"), F.array_join(shown, ";").alias("evidence"))
+
+
 @query(f"SELECT page_id, id, coalesce(NULL, 'VCV' || lpad(CAST(page_id AS VARCHAR), 9, '0')) AS accession FROM (SELECT DISTINCT page_id, href AS id FROM {HREFS}) JOIN {RESOLVABLE} USING (id)")
 def id_join_explode(spark, sf_dir):
     per = hrefs(spark, sf_dir).groupBy("page_id").agg(F.collect_list("href").alias("ids"))
@@ -223,7 +261,7 @@ def pick_with_fallback(spark, sf_dir):
     return evidence.picked(_view(spark, sf_dir, "part", _NEED), _view(spark, sf_dir, "nation", _CHUNK))
 
 
-_ALT = f"(SELECT sample AS case_id, line AS ord, gene, supp, part, CASE sample % 3 WHEN 0 THEN 'lung' WHEN 1 THEN 'breast' ELSE 'skin' END AS tumor FROM {RECORDS} WHERE sample % 5 = 0)"
+_ALT = f"(SELECT sample AS case_id, line AS ord, gene, supp, part, CASE sample % 3 WHEN 0 THEN 'lung' WHEN 1 THEN 'breast' ELSE 'skin' END AS tumor FROM {RECORDS})"
 _TW = "CASE tier WHEN 'I-A' THEN 0.95 WHEN 'I-B' THEN 0.88 WHEN 'I-C' THEN 0.80 WHEN 'II-A' THEN 0.75 WHEN 'II-B' THEN 0.70 ELSE 0.50 END::DOUBLE"
 _GL = f"(SELECT a.case_id, drug AS therapy, {_TW} AS w, a.ord * 1000 + c.ord AS ord, tier FROM {_ALT} a JOIN {_CHUNK} c ON c.gene = a.gene)"
 _EW = """(SELECT case_id, therapy, CASE WHEN same THEN lw ELSE greatest(0.0, lw - 0.30) END AS w, ord FROM (SELECT case_id, CASE WHEN supp % 2 = 0 THEN lower(n_name) ELSE 'drug' || CAST(supp % 7 AS VARCHAR) END AS therapy, CASE supp % 6 WHEN 0 THEN 0.90 WHEN 1 THEN 0.82 WHEN 2 THEN 0.68 WHEN 3 THEN 0.55 ELSE 0.45 END::DOUBLE AS lw,
@@ -231,12 +269,12 @@ _EW = """(SELECT case_id, therapy, CASE WHEN same THEN lw ELSE greatest(0.0, lw
 _FUSE = f"""cand AS (SELECT case_id, lower(therapy) AS key, max(gl) AS gl, max(ev) AS ev, arg_min(therapy, place) AS therapy, min(place) AS first FROM (SELECT case_id, therapy, w AS gl, 0.0::DOUBLE AS ev, ord AS place FROM {_GL} UNION ALL SELECT case_id, therapy, 0.0, w, 1000000000 + ord FROM {_EW}) GROUP BY ALL),
 fused AS (SELECT case_id, therapy, first, CASE WHEN gl > 0 AND ev > 0 THEN least(0.97, greatest(gl, ev) + 0.05) ELSE greatest(gl, ev) END AS combined FROM cand),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(combined, 6) DESC, first) AS rank FROM fused),
-decided AS (SELECT c.case_id, coalesce(string_agg(therapy, ';' ORDER BY rank) FILTER (rank <= 5), '') AS recommendation, coalesce(max(combined), 0.15) AS conf, count(therapy) AS m FROM (SELECT DISTINCT o_orderkey AS case_id FROM orders WHERE o_orderkey % 5 = 0) c LEFT JOIN ranked USING (case_id) GROUP BY c.case_id)"""
+decided AS (SELECT c.case_id, coalesce(string_agg(therapy, ';' ORDER BY rank) FILTER (rank <= 5), '') AS recommendation, coalesce(max(combined), 0.15) AS conf, count(therapy) AS m FROM (SELECT DISTINCT o_orderkey AS case_id FROM orders) c LEFT JOIN ranked USING (case_id) GROUP BY c.case_id)"""
 
 
 def _alterations(spark, sf_dir):
     tumor = F.when(F.col("sample") % 3 == 0, "lung").when(F.col("sample") % 3 == 1, "breast").otherwise("skin")
-    return records(spark, sf_dir).where("sample % 5 = 0").select(F.col("sample").alias("case_id"), F.col("line").alias("ord"), "gene", "supp", "part", tumor.alias("tumor"))
+    return records(spark, sf_dir).select(F.col("sample").alias("case_id"), F.col("line").alias("ord"), "gene", "supp", "part", tumor.alias("tumor"))
 
 
 def _guideline(spark, sf_dir):
@@ -251,7 +289,7 @@ def _decided(spark, sf_dir):
     name = F.when(F.col("supp") % 2 == 0, F.lower("n_name")).otherwise(F.concat(F.lit("drug"), (F.col("supp") % 7).cast("string")))
     disease = F.when(F.col("part") % 2 == 0, "lung").otherwise("breast")
     e = a.select("case_id", name.alias("therapy"), fusion.level_weight(level, disease, F.col("tumor")).alias("w"), (F.col("ord") * 100000 + F.col("supp")).alias("ord"))
-    cases = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("case_id"))
+    cases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"))
     return fusion.decided(cases, fusion.candidates(g, e))
 
 
@@ -266,10 +304,10 @@ _GOLD = f"""gold AS (SELECT case_id, arg_min(tier, r * 1000000000000 + ord) AS t
 
 
 @query(f"""WITH {_GOLD}, o AS (SELECT case_id, t, min(p) AS p FROM (SELECT case_id, unnest([best] || l) AS t, generate_subscripts([best] || l, 1) AS p FROM gold) GROUP BY ALL)
-SELECT c.case_id, tier, recommended FROM (SELECT DISTINCT o_orderkey AS case_id FROM orders WHERE o_orderkey % 5 = 0) c LEFT JOIN gold USING (case_id) LEFT JOIN (SELECT case_id, string_agg(t, ';' ORDER BY p) AS recommended FROM o GROUP BY case_id) USING (case_id)""")
+SELECT c.case_id, tier, recommended FROM (SELECT DISTINCT o_orderkey AS case_id FROM orders) c LEFT JOIN gold USING (case_id) LEFT JOIN (SELECT case_id, string_agg(t, ';' ORDER BY p) AS recommended FROM o GROUP BY case_id) USING (case_id)""")
 def gold_outcome(spark, sf_dir):
     g = _guideline(spark, sf_dir).select("case_id", "ord", "tier", F.array("therapy").alias("therapies"))
-    cases = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("case_id"))
+    cases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"))
     return fusion.gold(cases, g).withColumn("recommended", F.array_join("recommended", ";"))
 
 
@@ -302,23 +340,31 @@ def decision_points(spark, sf_dir):
     return fusion.decision_points(_timeline(spark, sf_dir)).select("case_id", F.array_join("points", ",").alias("points"))
 
 
+@query(f"SELECT case_id, event_id, timepoint, row_number() OVER (PARTITION BY case_id ORDER BY timepoint, event_id) - 1 AS place FROM {_TIME}")
+def timeline_ordered(spark, sf_dir):
+    t = fusion.ordered(_timeline(spark, sf_dir).withColumn("ord", F.col("event_id")))
+    return t.select("case_id", "event_id", "timepoint", F.col("place").cast("bigint").alias("place"))
+
+
 @query(f"SELECT tier, count(*) AS n, round(max({_TW}), 2) AS weight FROM {_CHUNK} GROUP BY tier")
 def tier_weights(spark, sf_dir):
     c = _view(spark, sf_dir, "nation", _CHUNK)
     return c.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.max(F.coalesce(F.try_element_at(literal_map(fusion.TIER_WEIGHT), F.col("tier")), F.lit(0.5))), 2).alias("weight"))
 
 
-_LOOK = f"""a AS (SELECT case_id, gene, 'G' || CAST(part % 16 AS VARCHAR) AS profile, row_number() OVER (PARTITION BY case_id ORDER BY ord, gene, part, supp) AS alt_ord FROM {_ALT} WHERE case_id % 50 = 0),
-e AS (SELECT profile, citation_id, 'claim ' || citation_id AS summary, ord % 100 AS rid FROM {_EV} WHERE ord % 40 = 0), r AS (SELECT s_suppkey AS id, 'VCV' || CAST(s_suppkey AS VARCHAR) AS accession, s_name AS title FROM supplier),
-l AS (SELECT case_id, alt_ord, citation_id, 'somatic_evidence' AS source, summary AS claim FROM a JOIN e USING (profile) UNION ALL SELECT DISTINCT case_id, alt_ord, accession, 'germline_records', title FROM a JOIN e USING (profile) JOIN r ON r.id = e.rid)"""
+_LOOK = f"""a AS (SELECT case_id, 'G' || CAST(part % 16 AS VARCHAR) AS profile, tumor, row_number() OVER (PARTITION BY case_id ORDER BY ord, gene, part, supp) AS alt_ord FROM {_ALT}),
+e AS (SELECT profile, tumor, citation_id, summary, rid, level FROM (SELECT q.tumor, v.profile, level, citation_id, 'claim ' || citation_id AS summary, ord % 100 AS rid, row_number() OVER (PARTITION BY v.profile, q.tumor
+  ORDER BY CASE WHEN contains(lower(coalesce(disease, '')), q.tumor) THEN 0 ELSE 1 END, {_LR}, rating DESC, ord) AS rank FROM (SELECT DISTINCT profile, tumor FROM a) q JOIN (SELECT * EXCLUDE (tumor) FROM {_EV} WHERE status = 'ACCEPTED') v USING (profile)) WHERE rank <= 5),
+r AS (SELECT s_suppkey AS id, 'VCV' || CAST(s_suppkey AS VARCHAR) AS accession, s_name AS title FROM supplier),
+l AS (SELECT case_id, alt_ord, citation_id, 'somatic_evidence' AS source, summary AS claim, level FROM a JOIN e USING (profile, tumor) UNION ALL SELECT DISTINCT case_id, alt_ord, accession, 'germline_records', title, NULL FROM a JOIN e USING (profile, tumor) JOIN r ON r.id = e.rid)"""
 
 
 def _looked_up(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    a = _alterations(spark, sf_dir).where("case_id % 50 = 0").withColumn("profile", F.expr("concat('G', part % 16)"))
-    a = a.withColumn("alt_ord", F.row_number().over(W.partitionBy("case_id").orderBy("ord", "gene", "part", "supp"))).select("case_id", "alt_ord", "profile")
-    e = _evidence(spark, sf_dir).where("ord % 40 = 0").select("profile", "citation_id", F.concat(F.lit("claim "), "citation_id").alias("summary"), F.array(F.col("ord") % 100).alias("ids"))
+    a = _alterations(spark, sf_dir).withColumn("profile", F.expr("concat('G', part % 16)"))
+    a = a.withColumn("alt_ord", F.row_number().over(W.partitionBy("case_id").orderBy("ord", "gene", "part", "supp"))).select("case_id", "alt_ord", "profile", "tumor")
+    e = evidence.accepted(_evidence(spark, sf_dir)).select("profile", "citation_id", F.concat(F.lit("claim "), "citation_id").alias("summary"), F.array(F.col("ord") % 100).alias("ids"), "disease", "level", "rating", "ord")
     r = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("concat('VCV', s_suppkey)").alias("accession"), F.col("s_name").alias("title"))
     return a, tools.variant_lookup(a, e, r)
 
@@ -328,10 +374,16 @@ def variant_lookup(spark, sf_dir):
     return _looked_up(spark, sf_dir)[1]
 
 
-@query(f"WITH {_LOOK} SELECT a.case_id, a.alt_ord, count(l.case_id) AS n_results FROM a LEFT JOIN l ON l.case_id = a.case_id AND l.alt_ord = a.alt_ord GROUP BY ALL")
+# Every ninth alteration is asked without a tumour: a failed call, which is logged like the others.
+_ASKED = "(SELECT case_id, alt_ord, profile, CASE WHEN (case_id + alt_ord) % 9 > 0 THEN tumor END AS tumor FROM a)"
+
+
+@query(f"""WITH {_LOOK} SELECT a.case_id, a.alt_ord, a.tumor IS NOT NULL AS ok, count(l.case_id) FILTER (a.tumor IS NOT NULL) AS n_results, CASE WHEN a.tumor IS NULL THEN 'ValueError: missing argument tumor' END AS error
+FROM {_ASKED} a LEFT JOIN l ON l.case_id = a.case_id AND l.alt_ord = a.alt_ord GROUP BY ALL""")
 def tool_call_log(spark, sf_dir):
     a, found = _looked_up(spark, sf_dir)
-    return tools.call_log(a, found, "variant_lookup", ["case_id", "alt_ord"], ["profile"]).where("ok").select("case_id", "alt_ord", "n_results")
+    asked = a.withColumn("tumor", F.when((F.col("case_id") + F.col("alt_ord")) % 9 > 0, F.col("tumor")))
+    return tools.call_log(asked, found, "variant_lookup", ["case_id", "alt_ord"], ["profile", "tumor"]).select("case_id", "alt_ord", "ok", "n_results", "error")
 
 
 @query(f"WITH {_LOOK} SELECT case_id, count(*) AS n, string_agg(citation_id || '=' || claim, ';' ORDER BY citation_id) AS pool FROM (SELECT case_id, citation_id, min(claim) AS claim FROM l GROUP BY ALL) GROUP BY case_id")
@@ -341,6 +393,34 @@ def evidence_pools(spark, sf_dir):
     return p.select("case_id", F.size("pool").cast("bigint").alias("n"), shown.alias("pool"))
 
 
+# Whole traces: an alteration's variant is its part; its chunk is picked by gene, else by tumour.
+_TRACE = f"""al AS (SELECT case_id, gene, 'P' || CAST(part AS VARCHAR) AS variant, tumor, 'G' || CAST(part % 16 AS VARCHAR) AS profile, row_number() OVER (PARTITION BY case_id ORDER BY ord, gene, part, supp) AS alt_ord FROM {_ALT}),
+pk AS (SELECT gene, tumor, coalesce((SELECT arg_min(chunk_id, ord) FROM {_CHUNK} c WHERE c.gene = n.gene), CASE tumor WHEN 'lung' THEN 'C20' WHEN 'breast' THEN 'C21' END) AS chunk_id FROM (SELECT DISTINCT gene, tumor FROM al) n),
+pr AS (SELECT case_id, alt_ord, count(*) AS n, min(level) AS best, count(*) FILTER (source = 'germline_records') AS germ FROM l GROUP BY ALL),
+st AS (SELECT al.case_id, alt_ord * 2 AS o, 'Variant ' || gene || ' ' || variant || ': ' || coalesce(n, 0) || ' CIViC/ClinVar item(s), best CIViC level ' || coalesce(best, '-') || ', ' || coalesce(germ, 0) || ' germline pathogenicity item(s).' AS text, coalesce(n, 0) AS cites FROM al LEFT JOIN pr USING (case_id, alt_ord)
+  UNION ALL SELECT al.case_id, alt_ord * 2 + 1, 'Guideline for ' || al.gene || ' ' || al.tumor || ': ' || drug || ' (ESCAT ' || tier || ').', 1 FROM al JOIN pk ON pk.gene = al.gene AND pk.tumor = al.tumor JOIN {_CHUNK} c ON c.chunk_id = pk.chunk_id
+  UNION ALL SELECT case_id, -1, 'Plan: ' || count(*) || ' alteration(s) [' || string_agg(gene || ' ' || variant, '; ' ORDER BY alt_ord) || '] in ' || min(tumor) || '. Consult specialists [''variant'', ''guideline''], then synthesize.', 0 FROM al GROUP BY case_id
+  UNION ALL SELECT case_id, 4000000000, 'Synthesis: recommend ' || CASE WHEN recommendation <> '' THEN '[''' || array_to_string(string_split(recommendation, ';')[1:3], ''', ''') || ''']' ELSE '—' END || ' at confidence ' || printf('%.2f', round(conf, 3)) || '.' || CASE WHEN m = 0 OR conf <= 0.5 THEN ' Low confidence — abstain and defer to clinician.' ELSE '' END, 0
+    FROM decided WHERE case_id IN (SELECT case_id FROM al))"""
+
+
+@query(f"""WITH {_LOOK}, {_FUSE}, {_TRACE} SELECT st.case_id, count(*) AS n_steps, CAST(sum(cites) AS BIGINT) AS n_citations, md5(string_agg(text, '|' ORDER BY o)) AS texts, any_value(recommendation) AS recommendation, any_value(round(conf, 3)) AS confidence, any_value(m = 0 OR conf <= 0.5) AS abstained
+FROM st JOIN decided USING (case_id) GROUP BY st.case_id""")
+def trace_full(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    a = _alterations(spark, sf_dir).withColumn("alt_ord", F.row_number().over(W.partitionBy("case_id").orderBy("ord", "gene", "part", "supp")))
+    a = a.select("case_id", "alt_ord", "gene", F.expr("concat('P', part)").alias("variant"), "tumor")
+    chunks = _view(spark, sf_dir, "nation", _CHUNK)
+    asked = a.select("gene", "tumor").distinct().withColumn("case_id", F.concat_ws("|", "gene", "tumor"))
+    picks = evidence.picked(asked, chunks).join(chunks.select("chunk_id", F.col("drug").alias("recommendation"), "tier"), "chunk_id").select("gene", "tumor", "chunk_id", "recommendation", "tier")
+    picks = a.join(picks, ["gene", "tumor"]).select("case_id", "alt_ord", "chunk_id", "recommendation", "tier")
+    t = fusion.traces(a, _looked_up(spark, sf_dir)[1], picks, _decided(spark, sf_dir))
+    texts = F.md5(F.array_join(F.transform("steps", lambda x: x["text"]), "|"))
+    n = F.size(F.flatten(F.transform("steps", lambda x: x["citations"]))).cast("bigint")
+    return t.select("case_id", F.size("steps").cast("bigint").alias("n_steps"), n.alias("n_citations"), texts.alias("texts"), F.array_join("recommendation", ";").alias("recommendation"), "confidence", "abstained")
+
+
 _IDX = f"""x AS (SELECT chunk_id AS doc_id, regexp_extract_all(lower(gene || ' ' || tumor_type || ' ' || tier || ' ' || drug), '[A-Za-z0-9]+') AS t FROM {_CHUNK}), corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM x),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM x) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 q AS (SELECT DISTINCT gene, tumor FROM {_NEED}), w AS (SELECT gene, tumor, term, count(*) AS qn FROM (SELECT gene, tumor, unnest(regexp_extract_all(lower(gene || ' ' || tumor), '[A-Za-z0-9]+')) AS term FROM q) GROUP BY ALL),

@@ -203,7 +203,7 @@ def _scored(spark, sf_dir):
 
 
 @query(f"""WITH g AS (SELECT t / 100.0 AS t, CASE quality WHEN 1 THEN -ln(p) ELSE -ln(1 - p) END AS loss FROM (SELECT t, quality, greatest(1e-9, least(1 - 1e-9, 1 / (1 + exp(-greatest(-30.0, least(30.0, logit / (t / 100.0))))))) AS p FROM {_SCORE}, range(1, 501) x(t)))
-SELECT t::DOUBLE AS t, round(avg(loss), 6) AS nll FROM g GROUP BY t ORDER BY nll, t LIMIT 1""")
+SELECT t::DOUBLE AS t, round(nll, 6) AS nll FROM (SELECT t, avg(loss) AS nll FROM g GROUP BY t) ORDER BY nll, t LIMIT 1""")
 def temperature_grid(spark, sf_dir):
     return verifier.best_temperature(verifier.temperature_grid(_scored(spark, sf_dir), "logit", "quality"))
 
@@ -211,35 +211,35 @@ def temperature_grid(spark, sf_dir):
 _NG = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_NG} AS w FROM documents WHERE lang = 'es'), t AS (SELECT doc_id, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS term FROM d), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+@query(f"""WITH d AS (SELECT doc_id, {_NG} AS w FROM documents), t AS (SELECT doc_id, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS term FROM d), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
 i AS (SELECT term, ln((1 + (SELECT count(*) FROM d)) / (1 + count(*))) + 1 AS idf FROM f GROUP BY term), x AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM f JOIN i USING (term)), n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY doc_id)
 SELECT doc_id AS key, count(*) AS n_terms, round(sum(w / norm), 4) AS total, round(max(w / norm), 6) AS top FROM x JOIN n USING (doc_id) GROUP BY doc_id""")
 def tfidf_features(spark, sf_dir):
-    es = table(spark, sf_dir, "documents").where("lang = 'es'")
-    return verifier.tfidf(es, "doc_id", "text").groupBy("key").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 6).alias("top"))
+    return verifier.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("key").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
 
 def _examples(spark, sf_dir):
-    from attestor.operators.profiles import split_train_test
+    """Labelled documents as steps of their source's case, with two ids as evidence; and the same without, as negatives."""
+    from attestor.functions.text import featurized
 
-    df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "text", "quality")
-    return df.join(split_train_test(df, "source", 17).withColumnRenamed("case_id", "source"), "source")
+    df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    ids = F.array(F.concat(F.lit("a:"), F.col("doc_id") % 50), F.lit("b:1"))
+    real = df.select("doc_id", "source", featurized(F.col("text"), ids).alias("example"), "quality")
+    bare = df.where("quality = 1").select((-F.col("doc_id") - 1).alias("doc_id"), "source", featurized(F.col("text"), F.array().cast("array<string>")).alias("example"), F.lit(0).alias("quality"))
+    return real, real.where("quality = 1").unionByName(bare)
 
 
 @query(None)
 def verifier_train_confusion(spark, sf_dir):
-    """Fit on the documents of training sources, confusion on the others: no SQL, it is iterative."""
-    e = _examples(spark, sf_dir)
-    v = verifier.fit(e.where("not is_test"), "doc_id", "text", "quality")
-    return verifier.confusion(v.scored(e.where("is_test"), "doc_id", "text", "quality"), "prob", "label")
+    """Trained on 70 % of the sources, reported on the others: no SQL, it is iterative."""
+    return verifier.trained(_examples(spark, sf_dir)[0], "doc_id", "example", "quality", "source")[1]
 
 
 @query(None)
 def verifier_transfer(spark, sf_dir):
-    """Two training arms, one test set: no SQL, it is iterative."""
-    e = _examples(spark, sf_dir)
-    arms = {"all": e.where("not is_test"), "half": e.where("not is_test and doc_id % 2 = 0")}
-    return verifier.transfer(arms, e.where("is_test"), "doc_id", "text", "quality")
+    """Three arms on one split: no SQL, it is iterative."""
+    real, synthetic = _examples(spark, sf_dir)
+    return verifier.transfer(real, synthetic, "doc_id", "example", "quality", "source")
 
 
 # Samples of a case: conversations by their remainder; a step's probability from its length.
@@ -309,6 +309,25 @@ def arms_compared(spark, sf_dir):
     return select.arms_compared(confident(spark, sf_dir).withColumnRenamed("source", "arm"), "arm", "correct")
 
 
+_ARMT = """(SELECT *, CASE doc_id % 3 WHEN 0 THEN 'scaffold' WHEN 1 THEN 'one_sample' ELSE 'best_of_n' END AS arm, 'drug ' || CAST(doc_id % 4 AS VARCHAR) AS rec, CASE WHEN quality = 1 THEN 'drug ' || CAST(doc_id % 3 AS VARCHAR) END AS gold,
+  CASE WHEN doc_id % 7 > 0 THEN least(0.99, n_chars / 5000.0) END AS c, toxic = 1 AS abst, n_chars % 9 AS ns, n_chars % 4 AS so FROM documents JOIN labels USING (doc_id))"""
+_ARMC = f"""(SELECT arm, 'guideline_concordance_top1' AS metric, count(gold) AS n, count(*) FILTER (rec = gold) AS k FROM {_ARMT} GROUP BY arm UNION ALL SELECT arm, 'guideline_concordance_any', count(gold), count(*) FILTER (rec = gold OR gold = 'drug 1') FROM {_ARMT} GROUP BY arm
+  UNION ALL SELECT arm, 'interpretation_agreement', count(*), count(*) FILTER ((NOT abst) = (quality = 1)) FROM {_ARMT} GROUP BY arm UNION ALL SELECT arm, 'step_soundness', CAST(sum(ns + 4) AS BIGINT), CAST(sum(so) AS BIGINT) FROM {_ARMT} GROUP BY arm
+  UNION ALL SELECT arm, 'citation_grounding', CAST(sum(ns) AS BIGINT), CAST(sum(least(ns, so)) AS BIGINT) FROM {_ARMT} GROUP BY arm UNION ALL SELECT arm, 'abstained', count(*), count(*) FILTER (abst) FROM {_ARMT} GROUP BY arm
+  UNION ALL SELECT arm, 'kept_at_half_correct', count(*) FILTER (gold IS NOT NULL AND c >= 0.5), count(*) FILTER (gold IS NOT NULL AND c >= 0.5 AND rec = gold) FROM {_ARMT} GROUP BY arm)"""
+
+
+@query(f"SELECT * FROM {_rated(_ARMC, 'arm, metric, n', rate='value')} UNION ALL SELECT arm, 'brier', count(*), round(avg((c - (rec = gold)::INT) ** 2), 6), NULL, NULL FROM {_ARMT} WHERE gold IS NOT NULL AND c IS NOT NULL GROUP BY arm")
+def arm_metrics(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    arm = F.when(F.col("doc_id") % 3 == 0, "scaffold").when(F.col("doc_id") % 3 == 1, "one_sample").otherwise("best_of_n")
+    drug = lambda m: F.concat(F.lit("drug "), (F.col("doc_id") % m).cast("string"))
+    gold = F.when(F.col("quality") == 1, F.array(F.initcap(drug(3)))).otherwise(F.array().cast("array<string>"))
+    conf = F.when(F.col("doc_id") % 7 > 0, F.least(F.lit(0.99), F.col("n_chars") / 5000.0))
+    n, k = F.col("n_chars") % 9, F.col("n_chars") % 4
+    return select.arm_metrics(df.select(arm.alias("arm"), F.array(drug(4), F.lit("Drug-1")).alias("recommendation"), gold.alias("gold"), conf.alias("confidence"), (F.col("toxic") == 1).alias("abstained"), (F.col("quality") == 1).alias("actionable"), (n + 4).alias("n_steps"), k.alias("n_sound"), n.alias("n_cited"), F.least(n, k).alias("n_resolved")))
+
+
 @query(f"SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, tool, count(*) AS n, round(avg(ok::INT), 6) AS success_rate, round(avg(latency), 4) AS mean_latency FROM (SELECT e.ts, c.* FROM {CALLS} c JOIN events e ON e.event_id = c.ord) GROUP BY ALL")
 def stream_reliability(spark, sf_dir):
     """The events file as a stream, once through; the result is one row for each day and tool."""

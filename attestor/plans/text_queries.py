@@ -85,12 +85,13 @@ def tokenize_stats(spark, sf_dir):
 _TOK = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 2))"
 
 
-@query(f"""SELECT p_type, n_name, list_has_any({_TOK.format('p_type')}, {_TOK.format("n_name || ' ' || r_name || ' STEEL'")}) AS matches
-FROM (SELECT DISTINCT p_type FROM part), nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 3""")
+@query(f"""SELECT p_type, n_name FROM (SELECT DISTINCT p_type FROM part), nation JOIN region ON n_regionkey = r_regionkey
+WHERE list_has_any({_TOK.format('p_type')}, {_TOK.format("n_name || ' ' || r_name || CASE WHEN n_nationkey % 5 = 0 THEN ' Small' WHEN n_nationkey % 5 = 1 THEN ' economy, promo' ELSE '' END")})""")
 def token_overlap_match(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 3").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    extra = F.when(F.col("n_nationkey") % 5 == 0, "Small").when(F.col("n_nationkey") % 5 == 1, "economy, promo")
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.concat_ws(" ", "n_name", "r_name", extra).alias("words"))
     p = table(spark, sf_dir, "part").select("p_type").distinct()
-    return p.crossJoin(F.broadcast(n)).select("p_type", "n_name", T.token_match(F.col("p_type"), F.concat_ws(" ", "n_name", "r_name", F.lit("STEEL"))).alias("matches"))
+    return retrieval.token_matches(p, "p_type", n, "words").select("p_type", "n_name").distinct()
 
 
 _BM = """terms AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) AS term FROM documents),
@@ -121,27 +122,27 @@ def bm25_idf(spark, sf_dir):
     return df.crossJoin(docs.agg(F.count("*").alias("n"))).select("term", "df", F.round(retrieval.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
-_DENSE = """dn AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < {n}) q),
+_DENSE = """dn AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q),
 de AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM dn)"""
 
 
-@query(f"WITH {_DENSE.format(n=5)} SELECT query_id, doc_id, round(score, 5) AS score, rank FROM de WHERE rank <= 10")
+@query(f"WITH {_DENSE} SELECT query_id, doc_id, round(score, 5) AS score, rank FROM de WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    out = retrieval.dense(v, v.where("vec_id < 5").withColumnRenamed("vec_id", "query_id"), 10)
+    out = retrieval.dense(v, v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10)
     return out.select("query_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"""WITH {_BM}, {_DENSE.format(n=40)}, arms AS (SELECT query_id, doc_id, 1.0 / (60 + rank - 1) AS part, rank AS seen FROM bm WHERE rank <= 40 AND query_id < 40
+@query(f"""WITH {_BM}, {_DENSE}, arms AS (SELECT query_id, doc_id, 1.0 / (60 + rank - 1) AS part, rank AS seen FROM bm WHERE rank <= 40
   UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank - 1), 1000000 + rank FROM de WHERE rank <= 40),
 f AS (SELECT query_id, doc_id, sum(part::DOUBLE) AS score, min(seen) AS seen FROM arms GROUP BY ALL)
 SELECT query_id, doc_id, round(score, 7) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen) AS rank FROM f) WHERE rank <= 10""")
 def hybrid_rrf(spark, sf_dir):
     k = 10
     depth = retrieval.hybrid_depth(k)
-    q = _asked(spark, sf_dir).where("query_id < 40")
+    q = _asked(spark, sf_dir)
     v = table(spark, sf_dir, "embeddings")
-    arms = [retrieval.bm25(table(spark, sf_dir, "documents"), q, depth), retrieval.dense(v, v.where("vec_id < 40").withColumnRenamed("vec_id", "query_id"), depth)]
+    arms = [retrieval.bm25(table(spark, sf_dir, "documents"), q, depth), retrieval.dense(v, v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), depth)]
     return retrieval.fuse(arms, k).select("query_id", "doc_id", F.round("score", 7).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 

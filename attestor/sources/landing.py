@@ -89,6 +89,25 @@ def clinical_records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def landed(df: DataFrame, path: str, key: Column) -> None:
-    """Append raw answers to a landing table under the first 16 hexadecimal digits of the request's sha1."""
-    df.withColumn("request", F.substring(F.sha1(key.cast("binary")), 1, 16)).write.mode("append").json(path)
+def request_key(request: Column) -> Column:
+    """The first 16 hexadecimal digits of the request's sha1."""
+    return F.substring(F.sha1(request.cast("binary")), 1, 16)
+
+
+def landed(df: DataFrame, path: str, request: Column) -> None:
+    """Append raw answers to a landing table under the keys of their requests."""
+    df.withColumn("request", request_key(request)).write.mode("append").json(path)
+
+
+def requested(spark: SparkSession, path: str, requests: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(answers, missing): the landed answers to the requests (column request), and the requests that have none yet.
+
+    An answer with a field ``errors`` is an error of the service and raises.
+    """
+    asked = requests.select("request", request_key(F.col("request")).alias("key")).distinct()
+    old = spark.read.schema(f"request STRING, errors STRING, {schema}").json(path).withColumnRenamed("request", "key")
+    hits = old.join(asked, "key")
+    bad = hits.where("errors is not null").select("errors").limit(1).collect()
+    if bad:
+        raise RuntimeError(f"the service answered with errors: {bad[0].errors}")
+    return hits.drop("errors", "key"), asked.join(old.select("key").distinct(), "key", "left_anti").select("request")

@@ -1,11 +1,13 @@
-"""Named evidence sources: each is a function (spark, queries, root) -> DataFrame of evidence rows."""
+"""Named evidence sources: each is a function (spark, root) -> DataFrame of rows; ``retrieve`` answers queries from one."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from attestor.operators.evidence import retrieved, searched
 from attestor.sources.landing import clinical_records, evidence_nodes, mutation_records
 
 Reader = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +47,22 @@ def get_source(name: str) -> Reader:
     return every[name]
 
 
+def retrieve(spark: SparkSession, root: str, name: str, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Evidence for queries (query_id, gene, variant, tumor) from a named source, the first ``k`` records of each with their rank.
+
+    Somatic evidence is found by the molecular profile "gene variant", germline records by gene and change. The case source is no
+    evidence source and raises; licensed sources raise as ``get_source`` has them.
+    """
+    reader = get_source(name)
+    if name == "cases":
+        raise TypeError("cases: a source of cases, not of evidence; read its records with get_source")
+    rows = reader(spark, root)
+    if name == "somatic_evidence":
+        asked = queries.select("query_id", F.concat_ws(" ", "gene", "variant").alias("profile"), "tumor")
+        return retrieved(rows, asked, k)
+    return searched(rows.drop("query_id"), queries.select("query_id", "gene", "variant"), k)
+
+
 def available_sources(include_licensed: bool = True) -> list[str]:
     """Names, public ones first."""
     return [*PUBLIC, *(LICENSED if include_licensed else ())]

@@ -181,7 +181,7 @@ def test_selection(spark):
 def test_verifier_learns_and_round_trips(spark, tmp_path):
     rows = [(i, ("cited finding supports drug" if i % 2 else "no record for this claim") + f" n{i % 5}", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "k int, t string, y int")
-    v = verifier.fit(df.where("k < 28"), "k", "t", "y", size=1 << 10)
+    v = verifier.fit(df.where("k < 28"), "k", "t", "y")
     c = verifier.confusion(v.scored(df.where("k >= 28"), "k", "t", "y"), "prob", "label").first()
     assert c.accuracy >= 0.8
     v.save(str(tmp_path / "v"))
