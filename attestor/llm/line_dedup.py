@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import discard, written
+from attestor.llm.common import discard, free_name, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -71,7 +71,8 @@ class LineRuns:
         both = runs[0]
         for r in runs[1:]:
             both = both.unionAll(r)
-        return both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
+        # one row of each key has a holder: that of the batch in which the anti-join found it fresh
+        return both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.any_value("holder", F.lit(True)).alias("holder"))
 
     def add(self, batch: DataFrame) -> None:
         own = batch.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("holder"))
@@ -80,9 +81,11 @@ class LineRuns:
             fresh = own
             for r in self._runs():
                 fresh = fresh.join(r.select("h1", "h2"), ["h1", "h2"], "left_anti")
-            # a known key's holder is in an older run (larger ids): the new row only counts
-            fresh = fresh.select("h1", "h2", F.col("holder").alias("first"))
-            run = self._sorted(own.join(fresh, ["h1", "h2"], "left").select("h1", "h2", "n_docs", F.col("first").alias("holder")))
+            # a known key's holder is in an older run (larger ids): its row only counts
+            fresh = written(fresh)
+            known = own.join(fresh.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", "n_docs", F.lit(None).cast("long").alias("holder"))
+            run = self._sorted(fresh.unionAll(known))
+            discard(fresh)
             discard(own)
         else:
             run = self._sorted(own)
@@ -142,9 +145,15 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
 
 def without_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_batches: int = 4, fanout: int = 2) -> DataFrame:
-    """``docs`` with the same rows and columns, text without the lines that ``line_dedup`` drops (null stays null), n_chars counted anew."""
+    """``docs`` with the same rows and columns, text without the lines that ``line_dedup`` drops, n_chars counted anew.
+
+    Null text stays null, an empty one empty; long texts are read whole. Rows that repeat a doc_id are one document, rows with a null
+    doc_id keep all lines. Other columns, whatever their names and nulls, are passed on. Empty for an empty table.
+    """
     gone = _gone(docs, min_chars, min_docs, n_batches, fanout)
-    at, schema = docs.columns.index("text"), docs.schema
+    for name in ("_gone_id", "_h1", "_h2"):
+        gone = gone.withColumnRenamed(name, free_name(docs, name))
+    at, schema, (gone_id, *hashes) = docs.columns.index("text"), docs.schema, gone.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,7 +163,7 @@ def without_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs:
             yield pa.RecordBatch.from_arrays([pa.array(kept, b.column(i).type) if i == at else b.column(i) for i in range(n - 2)], names=docs_names)
 
     docs_names = docs.columns
-    both = docs.join(gone, docs["doc_id"] == F.col("_gone_id"), "left").select(*(docs[c] for c in docs.columns), "_h1", "_h2")
+    both = docs.join(gone, docs["doc_id"] == gone[gone_id], "left").select(*(docs[c] for c in docs.columns), *hashes)
     out = both.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

@@ -11,12 +11,13 @@ there are domains, and the rate is a fixed expression of the posterior.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import discard, written
+from attestor.llm.common import discard, free_name, written
 
 #: Domain of a labelled row, by precedence, and the default share of tokens that each shall have.
 DOMAINS = {"toxic": "toxic > 0", "good": "quality > 0", "poor": "true"}
@@ -76,6 +77,7 @@ class Mixture:
     words: dict[str, list[float]]
     steps: list[list[float]] = field(default_factory=list)
     ridge: float = RIDGE
+    error: float = 0.0
 
     def posterior(self) -> Column:
         """The domains' posteriors as one array, from _mix_b and _mix_hits: vectors of log likelihoods are added, then normalised."""
@@ -141,10 +143,12 @@ def classifier(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, lex
     return Mixture(domains, prior, bins, words)
 
 
-def fitted(members: DataFrame, mix: Mixture, targets: dict[str, float], rounds: int = ROUNDS, tolerance: float = 1e-4, every: int = 8) -> DataFrame:
+def fitted(members: DataFrame, mix: Mixture, targets: dict[str, float], rounds: int = ROUNDS, tolerance: float = 1e-4, every: int = 8, settled: float = 0.02) -> DataFrame:
     """Run the projected gradient on members (n_tokens, p_...); the rounds are kept in ``mix``. Returns members with rate.
 
-    Domains without a target, or without any expected tokens, are left free. The budget is the table's own tokens.
+    Domains without a target, or without any expected tokens, are left free. The budget is the table's own tokens. ``rounds`` go on
+    (five times as many at most) while they lower the error; rates that still move then, over ``settled`` off a target, raise.
+    Targets that nonnegative rates can't meet are warned of. The largest relative error is in ``mix.error``.
     """
     total = lambda df, w: df.agg(F.sum("n_tokens").cast("double").alias("n"), *(F.sum(w * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in mix.domains)).first()
     natural = total(members, F.lit(1.0))
@@ -156,9 +160,12 @@ def fitted(members: DataFrame, mix: Mixture, targets: dict[str, float], rounds:
     state, done = members.withColumn("rate", F.lit(1.0)), 0
     of = F.array(*(F.col(f"p_{d}") for d in mix.domains))
     got = share
-    for i in range(rounds if use else 0):
+    worst = lambda: max((abs(got[d] - goal[d]) / goal[d] for d in use), default=0.0)
+    trail = [worst()]
+    for i in range(5 * rounds):
         error = {d: got[d] - goal[d] for d in use}
-        if max(abs(error[d]) / goal[d] for d in use) < tolerance:
+        # beyond ``rounds`` as long as that still helps; targets out of reach leave an error that no round lowers
+        if trail[-1] < tolerance or i >= rounds and trail[-1] > 0.99 * trail[max(0, len(trail) - 6)]:
             break
         mix.steps.append([error[d] / share[d] if d in goal else 0.0 for d in mix.domains])
         if i % every == every - 1:
@@ -167,6 +174,13 @@ def fitted(members: DataFrame, mix: Mixture, targets: dict[str, float], rounds:
             state, done = new, len(mix.steps)
         row = total(state, mix.rate(of, done, F.col("rate")))
         got = {d: (row[d] or 0.0) / n for d in mix.domains}
+        trail.append(worst())
+    else:
+        if trail[-1] > settled:
+            raise RuntimeError(f"the rates still move after {5 * rounds} rounds, {trail[-1]:.2%} off the targets")
+    mix.error = trail[-1]
+    if mix.error > settled:
+        warnings.warn(f"the targets are out of reach: the nearest rates are {mix.error:.2%} off", stacklevel=2)
     return state.withColumn("rate", mix.rate(of, done, F.col("rate")))
 
 
@@ -185,9 +199,17 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with a column rate, without rows of rate 0; a column of that name is replaced. The fitted rates are an expression of the text: no join."""
+    """``docs`` with a column rate, without rows of rate 0; a column of that name is replaced. The fitted rates are an expression of the text: no join.
+
+    Null and empty texts have the posterior, and so the rate, of an empty text; equal texts have equal rates, so repeated rows and ties are
+    alike. A null doc_id or label is not learned from. Other columns, whatever their names and nulls, are passed on. Empty for
+    an empty table; without labels every rate is 1.
+    """
     _, mix = mixed(docs, labels, targets)
     docs = docs.drop("rate")
     if not mix.domains:
         return docs.withColumn("rate", F.lit(1.0))
-    return _features(docs, list(mix.words)).select(*docs.columns, F.explode(F.array(mix.rate(mix.posterior()))).alias("rate")).where("rate > 0")
+    row = free_name(docs, "_mix_row")
+    frame = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias(row), docs["text"].alias("text"))
+    rated = _features(frame, list(mix.words)).select(row, F.explode(F.array(mix.rate(mix.posterior()))).alias("rate")).where("rate > 0")
+    return rated.select(*(F.col(row)[c].alias(c) for c in docs.columns), "rate")
