@@ -1,8 +1,10 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, in DataFrame functions only.
 
 Each text becomes a vector of transformed statistics. For each language and source the mean and covariance of the
-``SUPPORT`` share of documents with the smallest distances are iterated from a robust start (median and quartile range)
-by concentration steps, then reweighted once; documents whose Mahalanobis distance exceeds the cut are rejected.
+``SUPPORT`` share of documents with the smallest distances are iterated by concentration steps, from several starts (median and
+quartile range, moments of all, moments of the documents without symbols or repeats); each group goes on from the estimate of least determinant until
+that settles, and it is reweighted once. Documents whose Mahalanobis
+distance exceeds the cut are rejected.
 Quantiles come from histograms of fixed bins, so every aggregate is partial before it is shuffled and a hot group needs
 no task of its own. Groups of under ``MIN_GROUP`` documents are fitted with the others of their language, or of all.
 """
@@ -17,13 +19,17 @@ from attestor.llm.common import discard, written
 
 SYMBOLS = "#*$%&|<>"  # as a character class
 SUPPORT = 0.75
-STEPS = 4
+#: Steps from each start before the best is chosen; its steps end when no group's log determinant changes by over SETTLED, or after STEPS in all.
+TRIED, SETTLED, STEPS = 2, 1e-2, 20
 MIN_GROUP = 50
+#: Estimates of up to so many groups (counted) are sent to all tasks; those of more are joined by shuffle.
+FEW_GROUPS = 50_000
 DIMS = ("x1", "x2", "x3", "x4", "x5")
 #: Least standard deviations: what differs by less than a few of these is never an outlier.
 FLOORS = (0.06, 0.5, 0.5, 0.5, 0.6)
 #: chi-square quantiles and the consistency factor for five dimensions: 0.975, and SUPPORT / P(chi2(7) <= q(5, SUPPORT)).
 REWEIGHT, CONSISTENCY = 12.83, 1.41
+#: Twice the 0.999 quantile of chi-square(5), 20.5: the statistics have heavier tails than normal ones.
 CUT = 40.0
 BIN = 0.05
 
@@ -88,9 +94,18 @@ def _factors(moments: DataFrame, scale: float) -> DataFrame:
     return df.select("g", *(f"m{i}" for i in range(n)), *(f"l{i}{j}" for i in range(n) for j in range(i + 1)))
 
 
-def _distances(stats: DataFrame, params: DataFrame) -> DataFrame:
+def _sized(params: DataFrame, groups: int) -> DataFrame:
+    """A row for each of ``groups`` groups: broadcast if they are few, so that a hot group's rows are never dealt by group."""
+    return F.broadcast(params) if groups <= FEW_GROUPS else params
+
+
+def _log_determinant() -> Column:
+    return sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, len(DIMS))), 2 * F.log(F.col("l00")))
+
+
+def _distances(stats: DataFrame, params: DataFrame, groups: int) -> DataFrame:
     """Add d2, the squared Mahalanobis distance, by forward substitution."""
-    n, df = len(DIMS), stats.join(params, "g", "left")
+    n, df = len(DIMS), stats.join(_sized(params, groups), "g", "left")
     for i in range(n):
         y = F.col(DIMS[i]) - F.col(f"m{i}")
         for k in range(i):
@@ -116,13 +131,40 @@ def _start(fit: DataFrame) -> DataFrame:
     return cells.select("g", *(f"m{i}" for i in range(n)), *(F.col(f"l{i}{j}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for i in range(n) for j in range(i + 1)))
 
 
-def _concentrated(fit: DataFrame, params: DataFrame, support: float) -> DataFrame:
+def _concentrated(fit: DataFrame, params: DataFrame, support: float, groups: int) -> DataFrame:
     """One concentration step: moments of the ``support`` share of each group that is nearest (whole bins of distance)."""
-    d = _distances(fit, params).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 20))
+    d = _distances(fit, params, groups).where("d2 is not null").withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 20))
     # written, so that counts are whole before a group's bins meet: a few hundred rows, however large the group
     limit = _quantile_bins(written(d.groupBy("g", "bin").agg(F.count("*").alias("n"))), ["g"], {"most": support})
-    near = d.join(written(limit), "g").where("bin <= most")  # written: its size is known, so a hot group's rows need not meet
-    return _factors(near.groupBy("g").agg(*_moments()), CONSISTENCY)
+    near = d.join(_sized(limit, groups), "g").where("bin <= most")
+    return written(_factors(near.groupBy("g").agg(*_moments()), CONSISTENCY))
+
+
+def _least(fit: DataFrame, support: float, steps: int, groups: int) -> DataFrame:
+    """Each group's estimate of least determinant: a few steps from every start, together, then the best one's until it settles."""
+    plain = fit.where(f"{DIMS[1]} = 0 and {DIMS[3]} = 0")
+    starts = [_start(fit), _factors(fit.groupBy("g").agg(*_moments()), 1.0), _factors(plain.groupBy("g").agg(*_moments()), 1.0)]
+    named = lambda df, i: df.withColumn("g", F.struct(F.lit(i).alias("start"), F.col("g").alias("of")))
+    params = named(starts[0], 0)
+    for i, start in enumerate(starts[1:], 1):
+        params = params.unionAll(named(start, i))
+    params = written(params)
+    each = fit.withColumn("start", F.explode(F.array(*(F.lit(i) for i in range(len(starts)))))).select(F.struct("start", F.col("g").alias("of")).alias("g"), *DIMS)
+    for _ in range(TRIED):
+        params, old = _concentrated(each, params, support, len(starts) * groups), params
+        discard(old)
+    cols = [c for c in params.columns if c != "g"]
+    best = params.groupBy(F.col("g.of").alias("g")).agg(F.min_by(F.struct(*cols), F.struct(_log_determinant(), "g.start")).alias("p"))
+    best = written(best.select("g", "p.*"))
+    discard(params)
+    for _ in range(steps - TRIED):
+        new = _concentrated(fit, best, support, groups)
+        moved = new.join(best.select("g", _log_determinant().alias("before")), "g").agg(F.max(F.abs(_log_determinant() - F.col("before"))).alias("m")).first().m
+        discard(best)
+        best = new
+        if moved is None or moved < SETTLED:
+            break
+    return best
 
 
 def quality_rules(docs: DataFrame, cut: float = CUT, support: float = SUPPORT, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
@@ -138,15 +180,13 @@ def quality_rules(docs: DataFrame, cut: float = CUT, support: float = SUPPORT, s
     sizes = stats.where("not base_failed").groupBy("lang", "source").count()
     of_lang = sizes.groupBy("lang").agg(F.sum("count").alias("n_lang"))
     groups = sizes.join(of_lang, "lang").select("lang", "source", F.when(F.col("count") >= min_group, F.concat_ws("|", F.lit("s"), "lang", "source")).when(F.col("n_lang") >= min_group, F.concat_ws("|", F.lit("l"), "lang")).otherwise("all").alias("g"))
-    stats_g = stats.join(written(groups), ["lang", "source"], "left")
+    groups = written(groups)
+    n_groups = groups.select("g").distinct().count()
+    stats_g = stats.join(_sized(groups, groups.count()), ["lang", "source"], "left")
     fit = stats_g.where("not base_failed").select("g", *DIMS)
-    params = written(_start(fit))
-    for _ in range(steps):
-        new = written(_concentrated(fit, params, support))
-        discard(params)
-        params = new
-    near = _distances(fit, params).where(F.col("d2") <= REWEIGHT)
+    params = _least(fit, support, steps, n_groups)
+    near = _distances(fit, params, n_groups).where(F.col("d2") <= REWEIGHT)
     params = written(_factors(near.groupBy("g").agg(*_moments()), 1.0))
-    out = _distances(stats_g, params)
+    out = _distances(stats_g, params, n_groups)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cut)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")

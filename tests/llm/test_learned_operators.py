@@ -86,7 +86,7 @@ def test_quality_rules_base_statistics(spark):
 
 
 def slow_mcd(x, support, steps):
-    """The same estimate for one group in numpy: start, concentration over whole bins, reweighting."""
+    """The same estimate for one group in numpy: starts, concentration over whole bins until it settles, least determinant, reweighting."""
     floors, n = np.array(quality_rules.FLOORS), len(x)
     bins = np.floor(x / quality_rules.BIN)
     q = lambda b, p: sorted(b)[int(np.ceil(p * n)) - 1]
@@ -95,9 +95,24 @@ def slow_mcd(x, support, steps):
     cov = np.diag(np.maximum(s, floors) ** 2)
     d2 = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
     fit = lambda own, k: (own.mean(0), np.cov(own.T, bias=True) * k + np.diag(floors**2))
-    for _ in range(steps):
+    plain = x[(x[:, 1] == 0) & (x[:, 3] == 0)]
+    size = lambda c: np.linalg.slogdet(c)[1]
+    ends = []
+
+    def step(m, cov):
         b = np.floor(np.log(d2(m, cov) + 1e-6) * 20)
-        m, cov = fit(x[b <= q(b, support)], quality_rules.CONSISTENCY)
+        return fit(x[b <= q(b, support)], quality_rules.CONSISTENCY)
+
+    for m, cov in [(m, cov), fit(x, 1.0), *([fit(plain, 1.0)] if len(plain) else [])]:
+        for _ in range(quality_rules.TRIED):
+            m, cov = step(m, cov)
+        ends.append((size(cov), m, cov))
+    _, m, cov = min(ends, key=lambda e: e[0])
+    for _ in range(steps - quality_rules.TRIED):
+        before = size(cov)
+        m, cov = step(m, cov)
+        if abs(size(cov) - before) < quality_rules.SETTLED:
+            break
     m, cov = fit(x[d2(m, cov) <= quality_rules.REWEIGHT], 1.0)
     return d2(m, cov)
 
