@@ -2,8 +2,8 @@
 
 Each text becomes a vector of transformed statistics. For each language and source the mean and covariance of the
 ``SUPPORT`` share of documents with the smallest distances are iterated by concentration steps, from several starts (median and
-quartile range, moments of all, moments of the documents without symbols or repeats); each group goes on from the estimate of least determinant until
-that settles, and it is reweighted once. Documents whose Mahalanobis
+quartile range, moments of all, moments of the documents without symbols or repeats); each group goes on from the estimate of least determinant, ``STEPS``
+in all, and it is reweighted once. Documents whose Mahalanobis
 distance exceeds the cut are rejected.
 Quantiles come from histograms of fixed bins, so every aggregate is partial before it is shuffled and a hot group needs
 no task of its own. Groups of under ``MIN_GROUP`` documents are fitted with the others of their language, or of all.
@@ -19,8 +19,8 @@ from attestor.llm.common import discard, written
 
 SYMBOLS = "#*$%&|<>"  # as a character class
 SUPPORT = 0.75
-#: Steps from each start before the best is chosen; its steps end when no group's log determinant changes by over SETTLED, or after STEPS in all.
-TRIED, SETTLED, STEPS = 2, 1e-2, 20
+#: Steps from each start before the best is chosen, and in all: as many for every table, so that the work grows with the rows only.
+TRIED, STEPS = 2, 6
 MIN_GROUP = 50
 #: Estimates of up to so many groups (counted) are sent to all tasks; those of more are joined by shuffle.
 FEW_GROUPS = 50_000
@@ -141,7 +141,7 @@ def _concentrated(fit: DataFrame, params: DataFrame, support: float, groups: int
 
 
 def _least(fit: DataFrame, support: float, steps: int, groups: int) -> DataFrame:
-    """Each group's estimate of least determinant: a few steps from every start, together, then the best one's until it settles."""
+    """Each group's estimate of least determinant: a few steps from every start, together, then the best one's."""
     plain = fit.where(f"{DIMS[1]} = 0 and {DIMS[3]} = 0")
     starts = [_start(fit), _factors(fit.groupBy("g").agg(*_moments()), 1.0), _factors(plain.groupBy("g").agg(*_moments()), 1.0)]
     named = lambda df, i: df.withColumn("g", F.struct(F.lit(i).alias("start"), F.col("g").alias("of")))
@@ -158,12 +158,8 @@ def _least(fit: DataFrame, support: float, steps: int, groups: int) -> DataFrame
     best = written(best.select("g", "p.*"))
     discard(params)
     for _ in range(steps - TRIED):
-        new = _concentrated(fit, best, support, groups)
-        moved = new.join(best.select("g", _log_determinant().alias("before")), "g").agg(F.max(F.abs(_log_determinant() - F.col("before"))).alias("m")).first().m
-        discard(best)
-        best = new
-        if moved is None or moved < SETTLED:
-            break
+        best, old = _concentrated(fit, best, support, groups), best
+        discard(old)
     return best
 
 

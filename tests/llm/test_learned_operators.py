@@ -86,7 +86,7 @@ def test_quality_rules_base_statistics(spark):
 
 
 def slow_mcd(x, support, steps):
-    """The same estimate for one group in numpy: starts, concentration over whole bins until it settles, least determinant, reweighting."""
+    """The same estimate for one group in numpy: starts, concentration over whole bins, least determinant, more steps, reweighting."""
     floors, n = np.array(quality_rules.FLOORS), len(x)
     bins = np.floor(x / quality_rules.BIN)
     q = lambda b, p: sorted(b)[int(np.ceil(p * n)) - 1]
@@ -109,10 +109,7 @@ def slow_mcd(x, support, steps):
         ends.append((size(cov), m, cov))
     _, m, cov = min(ends, key=lambda e: e[0])
     for _ in range(steps - quality_rules.TRIED):
-        before = size(cov)
         m, cov = step(m, cov)
-        if abs(size(cov) - before) < quality_rules.SETTLED:
-            break
     m, cov = fit(x[d2(m, cov) <= quality_rules.REWEIGHT], 1.0)
     return d2(m, cov)
 
