@@ -2,9 +2,11 @@
 
 Each text becomes a vector of transformed statistics. For each language and source the mean and covariance of the
 ``SUPPORT`` share of documents with the smallest distances are iterated by concentration steps, from several starts (median and
-quartile range, moments of all, moments of the documents without symbols or repeats); each group goes on from the estimate of least determinant, ``STEPS``
-in all, and it is reweighted once. Documents whose Mahalanobis
-distance exceeds the cut are rejected.
+quartile range, moments of all, moments of the documents without symbols or repeats), until no determinant of any group falls
+any more; each group's estimate of least determinant is kept and reweighted once. Documents whose Mahalanobis distance exceeds
+the cut are rejected.
+Steps run over cells of like vectors (``CELLS`` to each least standard deviation) with their counts and sums: a cell is taken or
+left whole, its moments are exact. Cells grow with the spread of the statistics, not with the documents.
 Quantiles come from histograms of fixed bins, so every aggregate is partial before it is shuffled and a hot group needs
 no task of its own. Groups of under ``MIN_GROUP`` documents are fitted with the others of their language, or of all.
 """
@@ -19,8 +21,9 @@ from attestor.llm.common import discard, written
 
 SYMBOLS = "#*$%&|<>"  # as a character class
 SUPPORT = 0.75
-#: Steps from each start before the best is chosen, and in all: as many for every table, so that the work grows with the rows only.
-TRIED, STEPS = 2, 6
+#: Steps end when no group's log determinant falls by more than SETTLED; not done after MAX_STEPS they raise.
+SETTLED, MAX_STEPS = 1e-6, 200
+CELLS = 6
 MIN_GROUP = 50
 #: Estimates of up to so many groups (counted) are sent to all tasks; those of more are joined by shuffle.
 FEW_GROUPS = 50_000
@@ -114,6 +117,22 @@ def _distances(stats: DataFrame, params: DataFrame, groups: int) -> DataFrame:
     return df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, n)), F.col("y0") * F.col("y0"))).select(*stats.columns, "d2")
 
 
+def _cells(fit: DataFrame) -> DataFrame:
+    """(g, n, x1.. (means), q.. (mean products)) of the vectors of a group that are alike; zeros have cells of their own."""
+    n = len(DIMS)
+    cell = [F.ceil(F.col(x) * (CELLS / FLOORS[i])).alias(f"b{i}") for i, x in enumerate(DIMS)]
+    products = [F.avg(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q{i}{j}") for i in range(n) for j in range(i + 1)]
+    cells = fit.groupBy("g", *cell).agg(F.count("*").alias("n"), *(F.avg(x).alias(x) for x in DIMS), *products)
+    return written(cells.drop(*(f"b{i}" for i in range(n))))
+
+
+def _cell_moments() -> list[Column]:
+    """The moments of all vectors in a group's cells."""
+    n = len(DIMS)
+    mean = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    return [F.sum("n").alias("n"), *(mean(x).alias(f"m{i}") for i, x in enumerate(DIMS)), *((mean(f"q{i}{j}") - mean(DIMS[i]) * mean(DIMS[j])).alias(f"c{i}{j}") for i in range(n) for j in range(i + 1))]
+
+
 def _quantile_bins(counts: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
     """For counts (keys, bin, n): the smallest bin that reaches each share of the group."""
     w = W.partitionBy(*keys)
@@ -121,49 +140,64 @@ def _quantile_bins(counts: DataFrame, keys: list[str], shares: dict[str, float])
     return cum.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))).alias(name) for name, q in shares.items()))
 
 
-def _start(fit: DataFrame) -> DataFrame:
+def _start(cells: DataFrame) -> DataFrame:
     """Median and quartile range of each coordinate as means and a diagonal factor."""
     n = len(DIMS)
-    long = fit.select("g", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(x) / BIN).alias("bin")) for i, x in enumerate(DIMS)))).alias("v")).select("g", "v.i", "v.bin")
-    q = _quantile_bins(written(long.groupBy("g", "i", "bin").agg(F.count("*").alias("n"))), ["g", "i"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    long = cells.select("g", "n", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(x) / BIN).alias("bin")) for i, x in enumerate(DIMS)))).alias("v")).select("g", "n", "v.i", "v.bin")
+    q = _quantile_bins(written(long.groupBy("g", "i", "bin").agg(F.sum("n").alias("n"))), ["g", "i"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     q = q.select("g", "i", ((F.col("q2") + 0.5) * BIN).alias("m"), ((F.col("q3") - F.col("q1") + 1) * BIN / 1.349).alias("s"))
-    cells = q.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m{i}") for i in range(n)), *(F.max(F.when(F.col("i") == i, F.greatest(F.col("s"), F.lit(FLOORS[i])))).alias(f"l{i}{i}") for i in range(n)))
-    return cells.select("g", *(f"m{i}" for i in range(n)), *(F.col(f"l{i}{j}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for i in range(n) for j in range(i + 1)))
+    of = q.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m{i}") for i in range(n)), *(F.max(F.when(F.col("i") == i, F.greatest(F.col("s"), F.lit(FLOORS[i])))).alias(f"l{i}{i}") for i in range(n)))
+    return of.select("g", *(f"m{i}" for i in range(n)), *(F.col(f"l{i}{j}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for i in range(n) for j in range(i + 1)))
 
 
-def _concentrated(fit: DataFrame, params: DataFrame, support: float, groups: int) -> DataFrame:
+def _concentrated(cells: DataFrame, params: DataFrame, support: float, groups: int) -> DataFrame:
     """One concentration step: moments of the ``support`` share of each group that is nearest (whole bins of distance)."""
-    d = _distances(fit, params, groups).where("d2 is not null").withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 20))
+    d = _distances(cells, params, groups).where("d2 is not null").withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 20))
     # written, so that counts are whole before a group's bins meet: a few hundred rows, however large the group
-    limit = _quantile_bins(written(d.groupBy("g", "bin").agg(F.count("*").alias("n"))), ["g"], {"most": support})
+    counts = written(d.groupBy("g", "bin").agg(F.sum("n").alias("n")))
+    limit = _quantile_bins(counts, ["g"], {"most": support})
     near = d.join(_sized(limit, groups), "g").where("bin <= most")
-    return written(_factors(near.groupBy("g").agg(*_moments()), CONSISTENCY))
+    out = written(_factors(near.groupBy("g").agg(*_cell_moments()), CONSISTENCY))
+    discard(counts)
+    return out
 
 
-def _least(fit: DataFrame, support: float, steps: int, groups: int) -> DataFrame:
-    """Each group's estimate of least determinant: a few steps from every start, together, then the best one's."""
-    plain = fit.where(f"{DIMS[1]} = 0 and {DIMS[3]} = 0")
-    starts = [_start(fit), _factors(fit.groupBy("g").agg(*_moments()), 1.0), _factors(plain.groupBy("g").agg(*_moments()), 1.0)]
+def _least(fit: DataFrame, support: float, max_steps: int, groups: int) -> DataFrame:
+    """Each group's estimate of least determinant: steps from every start, together, until no determinant falls."""
+    cells = _cells(fit)
+    plain = cells.where(f"{DIMS[1]} = 0 and {DIMS[3]} = 0")
+    starts = [_start(cells), *(_factors(c.groupBy("g").agg(*_cell_moments()), 1.0) for c in (cells, plain))]
     named = lambda df, i: df.withColumn("g", F.struct(F.lit(i).alias("start"), F.col("g").alias("of")))
     params = named(starts[0], 0)
     for i, start in enumerate(starts[1:], 1):
         params = params.unionAll(named(start, i))
     params = written(params)
-    each = fit.withColumn("start", F.explode(F.array(*(F.lit(i) for i in range(len(starts)))))).select(F.struct("start", F.col("g").alias("of")).alias("g"), *DIMS)
-    for _ in range(TRIED):
-        params, old = _concentrated(each, params, support, len(starts) * groups), params
-        discard(old)
+    each = written(cells.withColumn("start", F.explode(F.array(*(F.lit(i) for i in range(len(starts)))))).select(F.struct("start", F.col("g").alias("of")).alias("g"), "n", *(c for c in cells.columns if c not in ("g", "n"))))
     cols = [c for c in params.columns if c != "g"]
+    for i in range(max_steps):
+        new = _concentrated(each, params, support, len(starts) * groups)
+        # a group whose determinant doesn't fall has settled: its estimate stays
+        old = params.select("g", F.struct(*cols).alias("old"), _log_determinant().alias("before"))
+        both = new.select("g", F.struct(*cols).alias("new"), _log_determinant().alias("after")).join(old, "g")
+        fell = F.col("before") - F.col("after") > SETTLED
+        both = written(both.select("g", F.when(fell | F.lit(i == 0), F.col("new")).otherwise(F.col("old")).alias("p"), fell.alias("fell")))
+        moved = i == 0 or both.where("fell").limit(1).count()
+        discard(new)
+        discard(params)
+        params = both.select("g", "p.*")
+        params._attestor_path = both._attestor_path
+        if not moved:
+            break
+    else:
+        raise RuntimeError(f"determinants still fall after {max_steps} steps")
     best = params.groupBy(F.col("g.of").alias("g")).agg(F.min_by(F.struct(*cols), F.struct(_log_determinant(), "g.start")).alias("p"))
     best = written(best.select("g", "p.*"))
-    discard(params)
-    for _ in range(steps - TRIED):
-        best, old = _concentrated(fit, best, support, groups), best
-        discard(old)
+    for df in (params, each, cells):
+        discard(df)
     return best
 
 
-def quality_rules(docs: DataFrame, cut: float = CUT, support: float = SUPPORT, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+def quality_rules(docs: DataFrame, cut: float = CUT, support: float = SUPPORT, max_steps: int = MAX_STEPS, min_group: int = MIN_GROUP) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2), one row for each input row.
 
     Input columns doc_id, text, lang, source; a null language or source is a group of its own. ``base_failed``: under 10
@@ -180,7 +214,7 @@ def quality_rules(docs: DataFrame, cut: float = CUT, support: float = SUPPORT, s
     n_groups = groups.select("g").distinct().count()
     stats_g = stats.join(_sized(groups, groups.count()), ["lang", "source"], "left")
     fit = stats_g.where("not base_failed").select("g", *DIMS)
-    params = _least(fit, support, steps, n_groups)
+    params = _least(fit, support, max_steps, n_groups)
     near = _distances(fit, params, n_groups).where(F.col("d2") <= REWEIGHT)
     params = written(_factors(near.groupBy("g").agg(*_moments()), 1.0))
     out = _distances(stats_g, params, n_groups)
