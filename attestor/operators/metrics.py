@@ -135,13 +135,13 @@ def calibration(df: DataFrame, confidence: str, correct: str, n_bins: int = 5, k
     """One row (n, brier, ece), and with a ``key`` of the rows the bootstrap interval (brier_lo, brier_hi)."""
     f = df.where(F.col(confidence).isNotNull() & F.col(correct).isNotNull())
     error = F.pow(F.col(confidence) - F.col(correct).cast("double"), F.lit(2))
-    brier = f.agg(F.count("*").alias("n"), F.avg(error).alias("brier"))
     bins = _bins(df, confidence, correct, n_bins).where("n > 0")
     ece = bins.agg(F.try_divide(F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_confidence"))), F.sum("n")).alias("ece"))
-    out = brier.crossJoin(ece).select("n", F.round("brier", 6).alias("brier"), F.round("ece", 6).alias("ece"))
     if key is None:
-        return out
-    return out.crossJoin(bootstrap_mean(f.select(key, error.alias("_error")), key, "_error").select(F.col("lo").alias("brier_lo"), F.col("hi").alias("brier_hi")))
+        brier, ends = f.agg(F.count("*").alias("n"), F.round(F.avg(error), 6).alias("brier")), []
+    else:
+        brier, ends = bootstrap_mean(f.select(key, error.alias("_error")), key, "_error").withColumnsRenamed({"mean": "brier", "lo": "brier_lo", "hi": "brier_hi"}), ["brier_lo", "brier_hi"]
+    return brier.crossJoin(ece).select("n", "brier", F.round("ece", 6).alias("ece"), *ends)
 
 
 def deferral_curve(df: DataFrame, confidence: str, correct: str, thresholds: tuple[float, ...] = (0.0, 0.3, 0.5, 0.7, 0.9)) -> DataFrame:

@@ -1,58 +1,105 @@
-"""Statistics: percentile bootstraps with keyed resampling, Bonferroni, point-biserial correlation with its p-value."""
+"""Statistics: percentile bootstraps in one pass by keyed Poisson weights, Bonferroni, point-biserial correlation with its p-value."""
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attestor.functions.rng import keyed_int, positions
+#: Poisson(1) counts by the upper 16 bits of a keyed 32-bit number: the count is the number of these bounds at or under it.
+POISSON_BOUNDS = [math.floor(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
 
+#: Rows whose weights are held at a time, and groups whose sums a task holds before it sends them on.
+ROWS, GROUPS = 512, 64
 
-#: Tables of up to so many rows are broadcast to the draws; larger ones are joined by shuffle.
-SMALL_TABLE = 200_000
 
+def row_keys(seed: int, key: str) -> list[Column]:
+    """Two 32-bit numbers from md5(seed:key), by which all of a row's weights are drawn."""
+    text = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return [F.conv(F.substring(text, at, 8), 16, 10).cast("bigint") for at in (1, 9)]
 
-def _resampled(rows: DataFrame, values: list[str], resamples: int, seed: int) -> DataFrame:
-    """(b, sums of values, n): each resample draws n of the numbered rows (i from 0, column n) by keyed places.
 
-    Draws meet their rows before anything is shuffled if the table is small (counted first), so only sums by resample
-    move; else draws are counted by (b, i) and joined.
-    """
-    rows = rows.select("i", "n", *values)
-    draws = rows.select("i", "n").crossJoin(F.broadcast(rows.sparkSession.range(resamples).select(F.col("id").alias("b"))))  # ``resamples`` rows
-    drawn = draws.select("b", (keyed_int(seed, "b", "i") % F.col("n")).alias("i"))
-    if rows.count() <= SMALL_TABLE:
-        met = drawn.join(F.broadcast(rows.drop("n")), "i").withColumn("c", F.lit(1))
-    else:
-        met = drawn.groupBy("b", "i").agg(F.count("*").alias("c")).join(rows.drop("n"), "i")
-    return met.groupBy("b").agg(F.sum("c").alias("n"), *(F.sum(F.col("c") * F.col(v)).alias(v) for v in values))
+def resampled(rows: DataFrame, key: str, values: list[str], resamples: int, seed: int = 17, by: list[str] | None = None) -> DataFrame:
+    """(by.., b, n, sum of each value): Poisson bootstrap sums in one pass over ``rows``; b = -1 has every row once.
 
+    A row counts in resample b as often as a Poisson(1) number from (h1 + b * h2) mod 2^32, h1 and h2 being its ``row_keys``: the weights of different rows are
+    independent, those of one row in any two resamples too (multiply-shift hashing). Each task keeps the sums of all resamples, so only
+    they are shuffled; rows of one key count together. ``by`` is for few groups; a task that meets more than ``GROUPS`` sends sums on early.
+    """
+    by = by or []
+    kinds = [f.dataType.simpleString() for c in by for f in rows.schema if f.name == c]
+    h = row_keys(seed, key)
+    own = rows.select(*by, h[0].alias("_h1"), h[1].alias("_h2"), *(F.col(v).cast("double").alias(v) for v in values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.searchsorted(np.array(POISSON_BOUNDS), np.arange(65536), side="right").astype(np.uint8)
+        places = np.arange(resamples, dtype=np.uint32)
+        sums: dict[tuple, np.ndarray] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for group, total in sums.items():
+                columns = [pa.array([g] * (resamples + 1), b.schema.field(i).type) for i, g in enumerate(group)]
+                yield pa.record_batch([*columns, pa.array(np.arange(-1, resamples, dtype=np.int32)), *(pa.array(x) for x in total)], names=[*by, "b", "n", *values])
+            sums.clear()
+
+        for b in batches:
+            groups = list(zip(*(b.column(i).to_pylist() for i in range(len(by))), strict=True)) if by else [()] * b.num_rows
+            h1, h2 = (b.column(len(by) + i).to_numpy().astype(np.uint32) for i in (0, 1))
+            v = np.stack([np.ones(b.num_rows), *(b.column(len(by) + 2 + i).to_numpy() for i in range(len(values)))])
+            for group in dict.fromkeys(groups):
+                at = np.flatnonzero([g == group for g in groups]) if by else np.arange(b.num_rows)
+                total = sums.setdefault(group, np.zeros((len(values) + 1, resamples + 1)))
+                for lo in range(0, len(at), ROWS):
+                    part = at[lo : lo + ROWS]
+                    weights = counts[(h1[part, None] + h2[part, None] * places) >> 16]
+                    total[:, 0] += v[:, part].sum(axis=1)
+                    total[:, 1:] += v[:, part] @ weights.astype(np.float64)
+                if len(sums) > GROUPS:
+                    yield from sent()
+        yield from sent()
+
+    schema = ", ".join([*(f"`{c}` {k}" for c, k in zip(by, kinds, strict=True)), "b int, n double", *(f"`{v}` double" for v in values)])
+    return own.mapInArrow(run, schema).groupBy(*by, "b").agg(*(F.sum(c).alias(c) for c in ("n", *values)))
+
+
+def percentile_interval(sums: DataFrame, value: Column, resamples: int, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
+    """(by.., n, value, lo, hi): ``value`` of all rows, and at floor(alpha/2 * m) and floor((1 - alpha/2) * m) of its m sorted resamples, no interpolation.
+
+    ``sums`` as ``resampled`` gives them; resamples in which the value isn't defined don't count. At most ``resamples`` numbers meet in a group.
+    """
+    m = F.round(value, 9)
+    point = F.col("b") == -1
+    one = sums.groupBy(*(by or [])).agg(F.max(F.when(point, F.col("n"))).alias("n"), F.max(F.when(point, value)).alias("value"), F.sort_array(F.collect_list(F.when(~point, m))).alias("_m"))
+    many = F.size("_m")
+    at = lambda share: F.get("_m", F.least(F.floor(many * share), many - 1).cast("int"))
+    return one.select(*(by or []), F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"), "value", at(alpha / 2).alias("lo"), at(1 - alpha / 2).alias("hi"))
 
-def numbered(df: DataFrame, key: str, *values: str) -> DataFrame:
-    """Rows of distinct keys with their place i from 0 in keyed order and n, their number."""
-    return positions(df.select(key, *values), key, 0, "i", "n")
 
+def bootstrap_mean(df: DataFrame, key: str, value: str, resamples: int = 2000, seed: int = 17, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
+    """One row (n, mean, lo, hi) of a numeric column, or one for each group; nulls don't count, and leave nulls with n = 0 where no row is left.
 
-def interval(stats: DataFrame, value: str, resamples: int, alpha: float = 0.05) -> DataFrame:
-    """(lo, hi): the values at floor(alpha/2 * B) and floor((1 - alpha/2) * B) of the sorted resamples, no interpolation."""
-    r = stats.where(F.col(value).isNotNull()).withColumn("r", F.row_number().over(W.orderBy(value)) - 1)
-    lo, hi = int(alpha / 2 * resamples), min(resamples - 1, int((1 - alpha / 2) * resamples))
-    return r.agg(F.max(F.when(F.col("r") == lo, F.col(value))).alias("lo"), F.max(F.when(F.col("r") == hi, F.col(value))).alias("hi"))
+    For a column of 0 and 1 see ``bootstrap_flag``, which needs no resample.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*(by or []), key, F.col(value).cast("double").alias("_v"))
+    sums = resampled(rows, key, ["_v"], resamples, seed, by)
+    out = percentile_interval(sums, F.try_divide("_v", "n"), resamples, alpha, by)
+    return out.select(*(by or []), "n", *(F.round(c, 6).alias(name) for c, name in (("value", "mean"), ("lo", "lo"), ("hi", "hi"))))
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: str, resamples: int = 2000, seed: int = 17, alpha: float = 0.05) -> DataFrame:
-    """One row (n, mean, lo, hi) of a numeric or 0/1 column; nulls with n = 0 on no rows."""
-    rows = numbered(df.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double")), key, value)
-    point = rows.agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    means = _resampled(rows, [value], resamples, seed).withColumn("m", F.round(F.col(value) / F.col("n"), 9))
-    return point.crossJoin(interval(means, "m", resamples, alpha)).select("n", *(F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")))
+def bootstrap_flag(df: DataFrame, value: str, resamples: int = 2000, seed: int = 17, alpha: float = 0.05) -> DataFrame:
+    """One row (n, mean, lo, hi) of a column of 0 and 1 (or a boolean), from its two counts; see ``rate_interval``."""
+    v = F.col(value).cast("double")
+    counts = df.agg(F.count(v).alias("n"), F.coalesce(F.sum(v), F.lit(0.0)).cast("bigint").alias("k"), F.count_if(~v.isin(0.0, 1.0)).alias("odd"))
+    counts = counts.withColumn("k", F.when(F.col("odd") == 0, F.col("k")).otherwise(F.raise_error(F.lit(f"{value} holds other numbers than 0 and 1"))))
+    ends = rate_interval(F.col("n"), F.col("k"), resamples, seed, alpha)
+    return counts.withColumn("_ends", ends).select("n", F.round(F.try_divide("k", "n"), 6).alias("mean"), *(F.round(F.when(F.col("n") > 0, F.col(f"_ends.{c}")), 6).alias(c) for c in ("lo", "hi")))
 
 
 def bootstrap_paired(df: DataFrame, key: str, a: str, b: str, resamples: int = 1000, seed: int = 17) -> DataFrame:
@@ -69,11 +116,9 @@ def bootstrap_cluster(df: DataFrame, cluster: str, truth: str, predicted: str, r
     t, p = F.col(truth).cast("boolean"), F.col(predicted).cast("boolean")
     cells = {"tp": t & p, "fp": ~t & p, "tn": ~t & ~p, "fn": t & ~p}
     per = df.groupBy(cluster).agg(*(F.count_if(c).cast("double").alias(k) for k, c in cells.items()))
-    rows = numbered(per, cluster, *cells)
     value = balanced_accuracy(*(F.col(c) for c in ("tp", "fp", "tn", "fn")))
-    point = rows.agg(F.count("*").alias("n_clusters"), *(F.sum(c).alias(c) for c in cells)).select("n_clusters", value.alias("value"))
-    stats = _resampled(rows, list(cells), resamples, seed).withColumn("m", F.round(value, 9))
-    return point.crossJoin(interval(stats, "m", resamples)).select("n_clusters", *(F.round(c, 6).alias(c) for c in ("value", "lo", "hi")))
+    out = percentile_interval(resampled(per, cluster, list(cells), resamples, seed), value, resamples)
+    return out.select(F.col("n").alias("n_clusters"), *(F.round(c, 6).alias(c) for c in ("value", "lo", "hi")))
 
 
 @lru_cache(maxsize=64)

@@ -22,31 +22,40 @@ def query(sql: str | None):
     return keep
 
 
-_LO, _HI = stats.keyed_quantiles()
+# The keyed uniform numbers, one for each of 2000 resamples, at the places that the percentile interval takes in their order.
+_LO, _HI = (f"(SELECT u FROM (SELECT u, row_number() OVER (ORDER BY u) - 1 AS place FROM (SELECT (('0x' || substr(md5('17:' || CAST(b AS VARCHAR)), 1, 8))::BIGINT + 0.5) / 4294967296 AS u FROM range(2000) t(b))) WHERE place = {at})" for at in (50, 1950))
 
 
 def _rated(counts: str, cols: str, n: str = "n", k: str = "k", rate: str = "rate", lo: str = "lo", hi: str = "hi") -> str:
     """SQL of a rate and its interval: ``cols`` of ``counts``, the rate k / n, and the binomial quantiles at the ends of the keyed uniforms."""
     return f"""(WITH z AS (SELECT *, row_number() OVER () AS zid FROM {counts}), zj AS (SELECT zid, {n} AS n, {k} AS k, unnest(range(0, {n} + 1)) AS j FROM z),
 zc AS (SELECT zid, n, j, sum(CASE WHEN k = 0 THEN (j = 0)::INT::DOUBLE WHEN k = n THEN (j = n)::INT::DOUBLE ELSE exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(k / n) + (n - j) * ln(1 - k / n)) END) OVER (PARTITION BY zid ORDER BY j) AS c FROM zj),
-zi AS (SELECT zid, round(coalesce(min(j) FILTER (c >= {_LO!r}) / nullif(any_value(n), 0), 0.0), 6) AS lo, round(coalesce(min(j) FILTER (c >= {_HI!r}) / nullif(any_value(n), 0), 0.0), 6) AS hi FROM zc GROUP BY zid)
+zi AS (SELECT zid, round(coalesce(min(j) FILTER (c >= {_LO}) / nullif(any_value(n), 0), 0.0), 6) AS lo, round(coalesce(min(j) FILTER (c >= {_HI}) / nullif(any_value(n), 0), 0.0), 6) AS hi FROM zc GROUP BY zid)
 SELECT {cols}, round(coalesce({k} / nullif({n}, 0), 0.0), 6) AS {rate}, zi.lo AS {lo}, zi.hi AS {hi} FROM z JOIN zi USING (zid))"""
 
 
+_POISSON = " + ".join(f"(u >= {x})::INT" for x in (24109, 48218, 60273, 64291, 65296, 65497, 65530, 65535))
+
+
 def _boot(rows: str, b: int, key: str, cols: str, value: str) -> str:
-    """SQL of the keyed bootstrap: resamples of numbered rows, then the values at the interval's places."""
-    return f"""r AS (SELECT row_number() OVER (ORDER BY md5('0:' || CAST({key} AS VARCHAR)), {key}) - 1 AS i, count(*) OVER () AS n, * FROM {rows}),
-d AS (SELECT b, ('0x' || substr(md5('17:' || CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8))::BIGINT % n AS i FROM r, range({b}) x(b)),
-s AS (SELECT b, count(*) AS n, {cols} FROM d JOIN r USING (i) GROUP BY b), m AS (SELECT round({value}, 9) AS m FROM s), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS k FROM m WHERE m IS NOT NULL),
-ci AS (SELECT round(max(m) FILTER (k = {int(0.025 * b)}), 6) AS lo, round(max(m) FILTER (k = {min(b - 1, int(0.975 * b))}), 6) AS hi FROM o)"""
+    """SQL of the keyed Poisson bootstrap: the rows with their weights w in each resample, then the values at the interval's places."""
+    return f"""r AS (SELECT *, ('0x' || substr(md5('17:' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT AS h1, ('0x' || substr(md5('17:' || CAST({key} AS VARCHAR)), 9, 8))::BIGINT AS h2 FROM {rows}),
+d AS (SELECT *, {_POISSON} AS w FROM (SELECT b, r.*, (h1 + b * h2) % 4294967296 // 65536 AS u FROM r, range({b}) x(b))),
+s AS (SELECT b, sum(w)::DOUBLE AS n, {cols} FROM d WHERE w > 0 GROUP BY b), m AS (SELECT round({value}, 9) AS m FROM s), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS k, count(*) OVER () AS z FROM m WHERE m IS NOT NULL),
+ci AS (SELECT round(max(m) FILTER (k = floor(0.025 * z)), 6) AS lo, round(max(m) FILTER (k = least(z - 1, floor(0.975 * z))), 6) AS hi FROM o)"""
 
 
-@query(f"WITH {_boot('(SELECT doc_id, quality::DOUBLE AS v FROM labels)', 2000, 'doc_id', 'sum(v) AS v', 'v / n')} SELECT (SELECT count(*) FROM r) AS n, round((SELECT avg(v) FROM r), 6) AS mean, lo, hi FROM ci")
+@query("SELECT n, rate AS mean, lo, hi FROM " + _rated("(SELECT count(quality) AS n, count(*) FILTER (quality = 1) AS k FROM labels)", "n"))
 def bootstrap_rate(spark, sf_dir):
-    return stats.bootstrap_mean(table(spark, sf_dir, "labels"), "doc_id", "quality", 2000)
+    return stats.bootstrap_flag(table(spark, sf_dir, "labels"), "quality", 2000)
+
+
+@query(f"WITH {_boot('(SELECT doc_id, n_chars::DOUBLE AS v FROM documents)', 2000, 'doc_id', 'sum(w * v) AS v', 'v / n')} SELECT (SELECT count(*) FROM r) AS n, round((SELECT avg(v) FROM r), 6) AS mean, lo, hi FROM ci")
+def bootstrap_mean(spark, sf_dir):
+    return stats.bootstrap_mean(table(spark, sf_dir, "documents"), "doc_id", "n_chars", 2000)
 
 
-@query(f"WITH {_boot('(SELECT doc_id, (quality - toxic)::DOUBLE AS v FROM labels)', 1000, 'doc_id', 'sum(v) AS v', 'v / n')} SELECT (SELECT count(*) FROM r) AS n, round((SELECT avg(v) FROM r), 6) AS mean, lo, hi FROM ci")
+@query(f"WITH {_boot('(SELECT doc_id, (quality - toxic)::DOUBLE AS v FROM labels)', 1000, 'doc_id', 'sum(w * v) AS v', 'v / n')} SELECT (SELECT count(*) FROM r) AS n, round((SELECT avg(v) FROM r), 6) AS mean, lo, hi FROM ci")
 def bootstrap_paired(spark, sf_dir):
     return stats.bootstrap_paired(table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic", 1000)
 
@@ -55,7 +64,7 @@ _CELLS = "(SELECT source, count(*) FILTER (t AND p)::DOUBLE AS tp, count(*) FILT
 _BA = "(tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2"
 
 
-@query(f"WITH {_boot(_CELLS, 1000, 'source', 'sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn', _BA)} SELECT n AS n_clusters, round({_BA}, 6) AS value, lo, hi FROM (SELECT count(*) AS n, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM r), ci")
+@query(f"WITH {_boot(_CELLS, 1000, 'source', 'sum(w * tp) AS tp, sum(w * fp) AS fp, sum(w * tn) AS tn, sum(w * fn) AS fn', _BA)} SELECT c.n AS n_clusters, round({_BA}, 6) AS value, lo, hi FROM (SELECT count(*) AS n, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM r) c, ci")
 def bootstrap_cluster(spark, sf_dir):
     df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("source", (F.col("quality") == 1).alias("t"), (F.col("n_chars") > 1500).alias("p"))
     return stats.bootstrap_cluster(df, "source", "t", "p", 1000)
@@ -135,7 +144,7 @@ def calibration_bins(spark, sf_dir):
     return metrics.calibration_bins(confident(spark, sf_dir), "confidence", "correct")
 
 
-@query(f"""WITH {_boot(f'(SELECT doc_id, (confidence - correct::INT) ** 2 AS v FROM {CONFIDENT})', 2000, 'doc_id', 'sum(v) AS v', 'v / n')} SELECT (SELECT count(*) FROM r) AS n, round((SELECT avg(v) FROM r), 6) AS brier,
+@query(f"""WITH {_boot(f'(SELECT doc_id, (confidence - correct::INT) ** 2 AS v FROM {CONFIDENT})', 2000, 'doc_id', 'sum(w * v) AS v', 'v / n')} SELECT (SELECT count(*) FROM r) AS n, round((SELECT avg(v) FROM r), 6) AS brier,
 round((SELECT sum(n * abs(accuracy - mean_confidence)) / sum(n) FROM {_BINS} WHERE n > 0), 6) AS ece, lo AS brier_lo, hi AS brier_hi FROM ci""")
 def calibration_ece(spark, sf_dir):
     return metrics.calibration(confident(spark, sf_dir), "confidence", "correct", key="doc_id")
@@ -299,7 +308,7 @@ def bon_experiment(spark, sf_dir):
     return _bon(spark, sf_dir)
 
 
-@query(f"WITH {_boot(f'(SELECT case_id, picked - random AS v FROM {_BON})', 1000, 'case_id', 'sum(v) AS v', 'v / n')} SELECT (SELECT count(*) FROM r) AS n, round((SELECT avg(v) FROM r), 6) AS mean, lo, hi FROM ci")
+@query(f"WITH {_boot(f'(SELECT case_id, picked - random AS v FROM {_BON})', 1000, 'case_id', 'sum(w * v) AS v', 'v / n')} SELECT (SELECT count(*) FROM r) AS n, round((SELECT avg(v) FROM r), 6) AS mean, lo, hi FROM ci")
 def bon_lift(spark, sf_dir):
     return stats.bootstrap_paired(_bon(spark, sf_dir), "case_id", "picked", "random", 1000)
 
