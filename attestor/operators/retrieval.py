@@ -18,12 +18,6 @@ def top_k(df: DataFrame, query: str, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, term, tf, dl): term frequencies and document length."""
-    t = docs.select(F.col(doc_id).alias("doc_id"), tokenize(text).alias("t"))
-    return t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-
-
 def corpus_size(docs: DataFrame, text: str) -> DataFrame:
     """One row (n, avgdl)."""
     return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokenize(text))).alias("avgdl"))
@@ -33,29 +27,11 @@ def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.lit(1e-9), F.log(1 + (n - df + 0.5) / (df + 0.5)))
 
 
-#: A vocabulary of up to so many terms is sent to all tasks; its size is counted first.
-SMALL_VOCABULARY = 200_000
-
-
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query_text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank). A term counts as often as the query repeats it; only scores over 0 are returned.
+    """(query_id, doc_id, score, rank) over an index that is written for this search; see ``index.build`` and ``TextIndex.search``."""
+    from attestor.operators.index import build
 
-    The text is read twice: for the documents' lengths, and for the terms of the queries' vocabulary, which are cut down before
-    they are counted or shuffled. Ties in the score rounded to six places go to the smaller doc_id.
-    """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    words = asked.select("term").distinct()
-    words = F.broadcast(words) if words.count() <= SMALL_VOCABULARY else words
-    flat = docs.select(F.col(doc_id).alias("doc_id"), tokenize(text).alias("t"))
-    terms = flat.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(words, "term", "left_semi")
-    # one exchange by document gives the counts; the same rows give document frequencies
-    tf = terms.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    df = terms.select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    weight = df.crossJoin(corpus_size(docs, text)).select("term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = asked.join(weight, "term").join(tf, "term").withColumn("part", part * F.col("qn"))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")).where("score > 0")
-    return top_k(scored, "query_id", [F.round("score", 6).desc(), F.col("doc_id")], k)
+    return build(docs, None, doc_id, text, k1, b).search(queries, k, query_id, query_text)
 
 
 def token_matches(left: DataFrame, left_text: str, right: DataFrame, right_text: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import text as T
 from attestor.functions.rng import keyed_int
-from attestor.operators import retrieval
+from attestor.operators import index, retrieval
 from attestor.plans.roles import RECORDS, records
 from attestor.session import table
 
@@ -110,7 +110,7 @@ def _asked(spark, sf_dir):
 
 @query(f"WITH {_BM} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM bm WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    out = retrieval.bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), 10)
+    out = index.of_files(table(spark, sf_dir, "documents")).search(_asked(spark, sf_dir), 10)
     return out.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -142,7 +142,7 @@ def hybrid_rrf(spark, sf_dir):
     depth = retrieval.hybrid_depth(k)
     q = _asked(spark, sf_dir)
     v = table(spark, sf_dir, "embeddings")
-    arms = [retrieval.bm25(table(spark, sf_dir, "documents"), q, depth), retrieval.dense(v, v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), depth)]
+    arms = [index.of_files(table(spark, sf_dir, "documents")).search(q, depth), retrieval.dense(v, v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), depth)]
     return retrieval.fuse(arms, k).select("query_id", "doc_id", F.round("score", 7).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
