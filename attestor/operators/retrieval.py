@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,56 +37,11 @@ def token_matches(left: DataFrame, left_text: str, right: DataFrame, right_text:
     return a.join(b, "_token").drop("_token").distinct()
 
 
-BLOCK = 2048
-
-
-def _nearest(q_ids: np.ndarray, q: np.ndarray, k: int):
-    """A function over batches of (id, vector) that yields each partition's best ``k`` rows of every query."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, ids = np.full((len(q_ids), 0), -np.inf), np.zeros((len(q_ids), 0), np.int64)
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                own, col = b.column(0).slice(lo, 1024), b.column(1).slice(lo, 1024)
-                if len(own) == 0:
-                    continue
-                v = np.stack([np.asarray(x.as_py(), dtype=np.float64) for x in col])
-                norm = np.sqrt((v * v).sum(axis=1))
-                new = np.where(norm > 0, q @ v.T / np.where(norm > 0, norm, 1.0), np.nan)
-                score = np.concatenate([score, new], axis=1)
-                ids = np.concatenate([ids, np.broadcast_to(own.to_numpy(), new.shape)], axis=1)
-                order = np.lexsort((ids, -np.round(np.nan_to_num(score, nan=-2.0), 6)), axis=1)[:, :k]
-                score, ids = np.take_along_axis(score, order, axis=1), np.take_along_axis(ids, order, axis=1)
-        keep = ~np.isnan(score)
-        yield pa.record_batch([pa.array(np.broadcast_to(q_ids[:, None], score.shape)[keep]), pa.array(ids[keep]), pa.array(score[keep])], names=["query_id", "doc_id", "score"])
-
-    return run
-
-
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """(query_id, doc_id, score, rank) by cosine: every query against all vectors.
-
-    The queries go through in blocks of ``BLOCK``, each a matrix that all tasks get and multiply with their vectors, keeping the
-    best ``k`` of every query; only those are shuffled. A vector or query of length 0, or a null, has no score.
-    """
-    asked = queries.where(F.col(embedding).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(embedding).cast("array<double>").alias("q"))
-    own = vectors.where(F.col(embedding).isNotNull() & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("doc_id"), F.col(embedding).cast("array<double>").alias("v"))
-    out, block = None, []
-
-    def found() -> DataFrame:
-        q = np.array([r.q for r in block], dtype=np.float64)
-        norm = np.sqrt((q * q).sum(axis=1, keepdims=True))
-        q = np.where(norm > 0, q / np.where(norm > 0, norm, 1.0), np.nan)
-        return own.mapInArrow(_nearest(np.array([r.query_id for r in block], np.int64), q, k), "query_id long, doc_id long, score double")
-
-    for r in asked.toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            out, block = found() if out is None else out.unionAll(found()), []
-    if block or out is None:
-        rest = found() if block else own.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
-        out = rest if out is None else out.unionAll(rest)
-    return top_k(out, "query_id", [F.round("score", 6).desc(), F.col("doc_id")], k)
+    """(query_id, doc_id, score, rank) by cosine, every query against all vectors; see ``vectors.exact``, and ``vectors.build`` for an index."""
+    from attestor.operators.vectors import exact
+
+    return exact(vectors, queries, k, vec_id, embedding, query_id)
 
 
 def fuse(arms: list[DataFrame], k: int = 10, rrf_k: int = 60) -> DataFrame:

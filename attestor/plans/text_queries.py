@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import text as T
 from attestor.functions.rng import keyed_int
-from attestor.operators import index, retrieval
+from attestor.operators import index, retrieval, vectors
 from attestor.plans.roles import RECORDS, records
 from attestor.session import table
 
@@ -133,6 +133,16 @@ def dense_topk(spark, sf_dir):
     return out.select("query_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def dense_index_topk(spark, sf_dir):
+    """By the clustered index: recall is measured against the exact way in the tests, so there is no SQL."""
+    v = table(spark, sf_dir, "embeddings")
+    out = vectors.build(v).search(v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+    return out.select("query_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+QUERIES["dense_index_topk"] = dense_index_topk
+
+
 @query(f"""WITH {_BM}, {_DENSE}, arms AS (SELECT query_id, doc_id, 1.0 / (60 + rank - 1) AS part, rank AS seen FROM bm WHERE rank <= 40
   UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank - 1), 1000000 + rank FROM de WHERE rank <= 40),
 f AS (SELECT query_id, doc_id, sum(part::DOUBLE) AS score, min(seen) AS seen FROM arms GROUP BY ALL)

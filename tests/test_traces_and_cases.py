@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attestor.operators import evidence, fusion, labels, metrics, profiles, reports, retrieval, select, stats, tools, verifier
+from attestor.operators import evidence, fusion, labels, metrics, profiles, reports, retrieval, select, stats, tools, vectors, verifier
 from attestor.sources import files, landing, registry
 
 
@@ -160,7 +160,7 @@ def test_dense_search_equals_brute_force_in_blocks(spark, monkeypatch):
     rng = random.Random(4)
     v = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(60)] + [(90, None)]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(3)
-    monkeypatch.setattr(retrieval, "BLOCK", 2)
+    monkeypatch.setattr(vectors, "TILE", 100)
     got = {}
     for r in retrieval.dense(df, df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 5).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append(r.doc_id)
