@@ -8,7 +8,8 @@ from attestor.functions.text import literal_map
 from attestor.operators import evidence, fusion, profiles, qc, tools
 from attestor.plans.roles import HREFS, RECORDS, RESOLVABLE, hrefs, records, resolvable
 from attestor.plans.text_queries import _CONS, _EXP, _MISSING
-from attestor.session import table
+from attestor.session import shared_folder, table
+from attestor.sources import format
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -196,6 +197,23 @@ def evidence_rank_topk(spark, sf_dir):
     return evidence.ranked(ev, 10).select("query_id", "ord", F.col("rank").cast("bigint").alias("rank"))
 
 
+_WANT = "(SELECT n_nationkey AS query_id, 'G' || CAST(n_nationkey % 16 AS VARCHAR) AS gene, CAST(NULL AS VARCHAR) AS variant, CASE n_nationkey % 3 WHEN 0 THEN 'lung' WHEN 1 THEN 'adenocarcinoma' ELSE 'breast' END AS tumor FROM nation)"
+
+
+@query(f"""SELECT query_id, 'civic:' || citation_id AS citation_id, level, rank FROM (SELECT q.query_id, citation_id, level, row_number() OVER (PARTITION BY q.query_id ORDER BY CASE WHEN contains(lower(coalesce(disease, '')), q.tumor) THEN 0 ELSE 1 END, {_LR}, rating DESC, ord) AS rank
+  FROM {_WANT} q JOIN (SELECT * EXCLUDE (tumor, query_id) FROM {_EV} WHERE status = 'ACCEPTED') v ON v.profile = q.gene) WHERE rank <= 5""")
+def source_retrieve(spark, sf_dir):
+    """Evidence landed as nested answers by gene, read through the registered format, and searched for each query."""
+    ev, folder = _evidence(spark, sf_dir), shared_folder(spark)
+    raw = ev.select(
+        F.col("ord").cast("int").alias("id"), F.col("evidence_type").alias("evidenceType"), F.col("level").alias("evidenceLevel"), F.col("direction").alias("evidenceDirection"), "significance",
+        F.col("rating").cast("int").alias("evidenceRating"), "status", F.struct(F.col("disease").alias("name")).alias("disease"), F.struct(F.col("profile").alias("name")).alias("molecularProfile"), "profile",
+    )
+    format.land(raw, folder, F.col("profile"))
+    out = format.retrieved_from(spark, "somatic_evidence", folder, _view(spark, sf_dir, "nation", _WANT), 5)
+    return out.select("query_id", "citation_id", "level", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(f"SELECT CASE evidence_type WHEN 'PREDICTIVE' THEN 'predictive' WHEN 'PROGNOSTIC' THEN 'prognostic' WHEN 'FUNCTIONAL' THEN 'pathogenicity' ELSE 'literature' END AS kind, count(*) AS n FROM {_EV} GROUP BY ALL")
 def evidence_kinds(spark, sf_dir):
     return _evidence(spark, sf_dir).groupBy(evidence.kind(F.col("evidence_type")).alias("kind")).agg(F.count("*").alias("n"))

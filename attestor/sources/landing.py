@@ -39,14 +39,14 @@ def discovered(studies: DataFrame, keys: list[str], restricted: tuple[str, ...]
     return (out if include_restricted else out.where("not restricted")).orderBy(F.desc("n_samples"), "study_id")
 
 
-def normalised_mutations(raw: DataFrame) -> DataFrame:
-    """Nested answers to flat records; placeholders become null."""
+def normalised_mutations(raw: DataFrame, *more: str) -> DataFrame:
+    """Nested answers to flat records, with the columns ``more``; placeholders become null."""
     m = lambda c: normalize_missing(c)
     return raw.select(
         F.col("studyId").alias("study_id"), F.col("sampleId").alias("sample_id"), F.col("patientId").alias("patient_id"), F.coalesce("gene.hugoGeneSymbol", "hugoGeneSymbol").alias("gene_symbol"),
         F.col("entrezGeneId").alias("entrez_gene_id"), m("proteinChange").alias("protein_change"), m("mutationType").alias("mutation_type"), F.col("chr").alias("chrom"), F.col("startPosition").alias("start"),
         F.col("endPosition").alias("end"), F.col("referenceAllele").alias("ref"), F.col("variantAllele").alias("alt"), m("ncbiBuild").alias("build"), F.col("tumorAltCount").alias("tumor_alt_count"),
-        F.col("tumorRefCount").alias("tumor_ref_count"), m("mutationStatus").alias("mutation_status"), m("validationStatus").alias("validation_status"),
+        F.col("tumorRefCount").alias("tumor_ref_count"), m("mutationStatus").alias("mutation_status"), m("validationStatus").alias("validation_status"), *more,
     )
 
 
@@ -65,8 +65,11 @@ def gene_panels(panels: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def evidence_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """Evidence rows from landed nodes, with claim sentence and canonical identifiers."""
-    raw = _json(spark, path, EVIDENCE)
+    return normalised_evidence(_json(spark, path, EVIDENCE))
+
+
+def normalised_evidence(raw: DataFrame, *more: str) -> DataFrame:
+    """Evidence rows from nodes, with claim sentence and canonical identifiers, and the columns ``more``."""
     names = F.coalesce(F.transform("therapies", lambda t: t["name"]), F.array().cast("array<string>"))
     variants = F.transform("molecularProfile.variants", lambda v: F.struct(v["alleleRegistryId"].alias("caid"), v["clinvarIds"].alias("clinvar_ids"), v["hgvsDescriptions"].alias("hgvs")))
     ids = canonical_ids(F.coalesce(variants, F.array().cast("array<struct<caid: string, clinvar_ids: array<string>, hgvs: array<string>>>")))
@@ -74,18 +77,21 @@ def evidence_nodes(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(
         F.concat(F.lit("civic:EID"), F.col("id").cast("string")).alias("citation_id"), kind(F.col("evidenceType")).alias("kind"), F.col("evidenceType").alias("evidence_type"), F.col("evidenceLevel").alias("level"),
         F.col("evidenceDirection").alias("direction"), "significance", F.col("evidenceRating").alias("rating"), "status", origin_is_somatic("variantOrigin").alias("is_somatic"), names.alias("therapies"),
-        F.col("disease.name").alias("disease"), F.col("disease.doid").alias("doid"), F.col("molecularProfile.name").alias("profile"), F.col("source.citationId").alias("source_citation"), ids.alias("ids"), claim.alias("summary"), F.col("id").alias("ord"),
+        F.col("disease.name").alias("disease"), F.col("disease.doid").alias("doid"), F.col("molecularProfile.name").alias("profile"), F.col("source.citationId").alias("source_citation"), ids.alias("ids"), claim.alias("summary"), F.col("id").alias("ord"), *more,
     )
 
 
 def clinical_records(spark: SparkSession, path: str) -> DataFrame:
-    """Germline records; those without a germline description are dropped."""
-    raw = _json(spark, path, CLINICAL)
+    return normalised_clinical(_json(spark, path, CLINICAL))
+
+
+def normalised_clinical(raw: DataFrame, *more: str) -> DataFrame:
+    """Germline records with the columns ``more``; those without a germline description are dropped."""
     gene = F.get("genes", 0)
     return raw.where(F.coalesce(F.length(F.trim("germline_classification.description")), F.lit(0)) > 0).select(
         F.col("uid").alias("id"), accession(F.when(F.length("accession") > 0, F.col("accession")), F.col("uid")).alias("accession"), "title", "protein_change", gene["symbol"].alias("gene"), gene["geneid"].alias("gene_id"),
         F.col("germline_classification.description").alias("germline"), F.col("germline_classification.review_status").alias("level"), F.col("germline_classification.last_evaluated").alias("last_evaluated"),
-        F.col("oncogenicity_classification.description").alias("oncogenicity"), "somatic_clinical_impact", F.lit("pathogenicity").alias("kind"), F.lit(False).alias("is_somatic"),
+        F.col("oncogenicity_classification.description").alias("oncogenicity"), "somatic_clinical_impact", F.lit("pathogenicity").alias("kind"), F.lit(False).alias("is_somatic"), *more,
     )
 
 
