@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestor.functions.text import norm_name
-from attestor.operators.stats import bootstrap_mean, correlation, correlation_p, rate_interval
+from attestor.operators.stats import bootstrap_mean, correlation, correlation_p, exact_median, rate_interval
 
 
 def rated(counts: DataFrame, n: str, k: str, rate: str = "rate", lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -85,8 +85,9 @@ def tool_reliability(calls: DataFrame, by: list[str] | None = None) -> DataFrame
     listed in order.
     """
     by = by or []
+    median = F.median("latency") if by else F.lit(exact_median(calls, "latency")).cast("double")  # a trace's calls are few, a table's aren't
     out = calls.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count_if("ok").alias("k"), F.round(F.median("latency"), 6).alias("median_latency"),
+        F.count("*").alias("n"), F.count_if("ok").alias("k"), F.round(median, 6).alias("median_latency"),
         (F.count("*") - F.countDistinct("tool", F.coalesce("args", F.lit("")))).alias("redundant"), F.count_if(F.col("ok") & (F.coalesce("n_results", F.lit(-1)) == 0)).alias("empty"),
     )
     out = rated(out, "n", "k", "success_rate")

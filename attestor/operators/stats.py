@@ -107,6 +107,52 @@ def bootstrap_paired(df: DataFrame, key: str, a: str, b: str, resamples: int = 1
     return bootstrap_mean(df.withColumn("delta", F.col(a).cast("double") - F.col(b).cast("double")), key, "delta", resamples, seed)
 
 
+#: Bins of a pass of ``exact_median``, and values that it sorts at the end.
+BINS, FEW = 4096, 10_000
+
+
+def exact_median(df: DataFrame, value: str) -> float | None:
+    """The median of a numeric column of a whole table (the mean of the middle two if their number is even), without gathering its values.
+
+    Each pass counts the values in ``BINS`` bins of the range that holds the middle one, and goes on with its bin, until that holds few values or only one. Nulls and
+    NaN don't count; None without values. Passes are about the logarithm of the number of values to the base ``BINS``, more if they are very unevenly spread.
+    """
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
+    inf = float("inf")
+    finite = (F.col("v") > -inf) & (F.col("v") < inf)
+    n, below, finite_n, lo, hi = rows.agg(F.count("*"), F.count_if(F.col("v") == -inf), F.count_if(finite), F.min(F.when(finite, F.col("v"))), F.max(F.when(finite, F.col("v")))).first()
+    if not n:
+        return None
+
+    def nth(at: int) -> float:
+        if at < below or at >= below + finite_n:
+            return -inf if at < below else inf
+        at, a, b, held = at - below, lo, hi, finite_n
+        while a < b and held > FEW:
+            h = 1.0 if b - a < inf else 0.5  # any range of doubles has a width
+            place = F.least(F.lit(BINS - 1), F.floor((F.col("v") * h - a * h) / (b * h - a * h) * BINS))
+            bins = rows.where(F.col("v").between(a, b)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            for r in sorted(bins.collect(), key=lambda r: r.bin):  # BINS rows at most
+                if at < r.n:
+                    if (r.lo, r.hi, r.n) == (a, b, held):  # neighbouring doubles
+                        return _counted(a, b, at)
+                    a, b, held = r.lo, r.hi, r.n
+                    break
+                at -= r.n
+        return a if a == b else _counted(a, b, at)
+
+    def _counted(a: float, b: float, at: int) -> float:
+        for r in rows.where(F.col("v").between(a, b)).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect():  # FEW at most, or two
+            if at < r.n:
+                return r.v
+            at -= r.n
+        raise RuntimeError("the table changed between passes")
+
+    first = nth((n - 1) // 2)
+    return first if n % 2 else (first + nth(n // 2)) / 2
+
+
 def balanced_accuracy(tp: Column, fp: Column, tn: Column, fn: Column) -> Column:
     return (F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestor.functions.text import literal_map
-from attestor.operators import evidence, fusion, profiles, qc, tools
+from attestor.operators import calls, evidence, fusion, metrics, profiles, qc, tools
 from attestor.plans.roles import HREFS, RECORDS, RESOLVABLE, hrefs, records, resolvable
 from attestor.plans.text_queries import _CONS, _EXP, _MISSING
-from attestor.session import shared_folder, table
+from attestor.session import shared_folder, stored, table
 from attestor.sources import format
 
 QUERIES: dict = {}
@@ -404,6 +404,32 @@ def tool_call_log(spark, sf_dir):
     return tools.call_log(asked, found, "variant_lookup", ["case_id", "alt_ord"], ["profile", "tumor"]).select("case_id", "alt_ord", "ok", "n_results", "error")
 
 
+_TIMED = f"""(SELECT case_id, gene, CASE WHEN case_id % 9 > 0 THEN tumor END AS tumor FROM {_NEED})"""
+_CALLED = f"""(SELECT case_id, a.tumor IS NOT NULL AND c.gene IS NOT NULL AS ok, CASE WHEN a.tumor IS NOT NULL AND c.gene IS NOT NULL THEN len(list_filter(c.found, lambda x: x = a.tumor)) END AS n_results,
+CASE WHEN a.tumor IS NULL THEN 'ValueError: missing argument tumor' WHEN c.gene IS NULL THEN 'KeyError: ' || chr(39) || a.gene || chr(39) END AS error, a.gene || '/' || coalesce(a.tumor, '') AS args
+FROM {_TIMED} a LEFT JOIN (SELECT gene, list(tumor_type) AS found FROM {_CHUNK} GROUP BY gene) c USING (gene))"""
+
+
+def _timed(spark, sf_dir):
+    """Calls of a tool that looks a gene up among the guideline chunks (25 rows) and raises for one that isn't there."""
+    known: dict[str, list[str]] = {}
+    for r in _view(spark, sf_dir, "nation", _CHUNK).select("gene", "tumor_type").collect():
+        known.setdefault(r.gene, []).append(r.tumor_type)
+    return calls.call_tool(_view(spark, sf_dir, "part", _TIMED), "guideline_chunks", lambda gene, tumor: [t for t in known[gene] if t == tumor], ["gene", "tumor"], ["case_id"])
+
+
+@query(f"SELECT case_id, ok, n_results, error, TRUE AS timed FROM {_CALLED}")
+def tool_call_timed(spark, sf_dir):
+    return _timed(spark, sf_dir).select("case_id", "ok", F.col("n_results").cast("bigint").alias("n_results"), "error", (F.col("latency") > 0).alias("timed"))
+
+
+@query(f"SELECT count(*) AS n, round(count(*) FILTER (ok) / count(*), 6) AS success_rate, count(*) - count(DISTINCT args) AS redundant, count(*) FILTER (ok AND n_results = 0) AS empty FROM {_CALLED}")
+def tool_use_timed(spark, sf_dir):
+    """Reliability of the calls as they were made; the median latency is measured, and left out here."""
+    made = stored(_timed(spark, sf_dir)).withColumn("ord", F.col("case_id"))
+    return metrics.tool_reliability(made).select("n", "success_rate", "redundant", "empty")
+
+
 @query(f"WITH {_LOOK} SELECT case_id, count(*) AS n, string_agg(citation_id || '=' || claim, ';' ORDER BY citation_id) AS pool FROM (SELECT case_id, citation_id, min(claim) AS claim FROM l GROUP BY ALL) GROUP BY case_id")
 def evidence_pools(spark, sf_dir):
     p = tools.evidence_pools(_looked_up(spark, sf_dir)[1])
