@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestor.operators import metrics, select, stats, verifier
 from attestor.plans.roles import CALLS, CONFIDENT, HREFS, RESOLVABLE, calls, confident, hrefs, resolvable
-from attestor.session import table
+from attestor.session import shared_folder, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -348,6 +348,18 @@ def stream_reliability(spark, sf_dir):
     return reliability.run_once(reliability.windowed_reliability(c.withColumn("ts", F.col("ts").cast("timestamp")), late="60 days"), "attestor_reliability")
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS trace_id, count(*) AS n, count(*) - count(DISTINCT (event_type, coalesce(props, ''))) AS redundant, round(avg((event_type <> 'error')::INT), 6) AS success_rate FROM events GROUP BY user_id")
+def stream_repeats(spark, sf_dir):
+    """The events file as a stream of calls: repeats flagged by keyed state, appended to files, and counted by trace."""
+    from attestor.streaming import repeats
+
+    source = table(spark, sf_dir, "events")
+    events = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")
+    c = events.select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("ord"), "ts", F.col("event_type").alias("tool"), F.coalesce("props", F.lit("")).alias("args"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency"))
+    folder = shared_folder(spark)
+    return repeats.repeats(repeats.appended(repeats.flagged(c, late="60 days"), f"{folder}/flagged", f"{folder}/checkpoint"))
+
+
 @query("SELECT trace_id, count(*) AS n_sessions, CAST(sum(n) AS BIGINT) AS n FROM (SELECT user_id AS trace_id, s, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events)) GROUP BY ALL) GROUP BY trace_id")
 def call_sessions(spark, sf_dir):
     from attestor.streaming import reliability
