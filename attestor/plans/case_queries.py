@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestor.functions.text import literal_map
-from attestor.operators import calls, evidence, fusion, metrics, profiles, qc, tools
+from attestor.operators import calls, evidence, fusion, metrics, profiles, qc, run, tools
 from attestor.plans.roles import HREFS, RECORDS, RESOLVABLE, hrefs, records, resolvable
 from attestor.plans.text_queries import _CONS, _EXP, _MISSING
 from attestor.session import shared_folder, stored, table
@@ -448,9 +448,8 @@ st AS (SELECT al.case_id, alt_ord * 2 AS o, 'Variant ' || gene || ' ' || variant
     FROM decided WHERE case_id IN (SELECT case_id FROM al))"""
 
 
-@query(f"""WITH {_LOOK}, {_FUSE}, {_TRACE} SELECT st.case_id, count(*) AS n_steps, CAST(sum(cites) AS BIGINT) AS n_citations, md5(string_agg(text, '|' ORDER BY o)) AS texts, any_value(recommendation) AS recommendation, any_value(round(conf, 3)) AS confidence, any_value(m = 0 OR conf <= 0.5) AS abstained
-FROM st JOIN decided USING (case_id) GROUP BY st.case_id""")
-def trace_full(spark, sf_dir):
+def _whole(spark, sf_dir):
+    """Alterations, what was found for them, their guideline chunks and the decisions."""
     from pyspark.sql import Window as W
 
     a = _alterations(spark, sf_dir).withColumn("alt_ord", F.row_number().over(W.partitionBy("case_id").orderBy("ord", "gene", "part", "supp")))
@@ -459,12 +458,28 @@ def trace_full(spark, sf_dir):
     asked = a.select("gene", "tumor").distinct().withColumn("case_id", F.concat_ws("|", "gene", "tumor"))
     picks = evidence.picked(asked, chunks).join(chunks.select("chunk_id", F.col("drug").alias("recommendation"), "tier"), "chunk_id").select("gene", "tumor", "chunk_id", "recommendation", "tier")
     picks = a.join(picks, ["gene", "tumor"]).select("case_id", "alt_ord", "chunk_id", "recommendation", "tier")
-    t = fusion.traces(a, _looked_up(spark, sf_dir)[1], picks, _decided(spark, sf_dir))
+    return a, _looked_up(spark, sf_dir)[1], picks, _decided(spark, sf_dir)
+
+
+@query(f"""WITH {_LOOK}, {_FUSE}, {_TRACE} SELECT st.case_id, count(*) AS n_steps, CAST(sum(cites) AS BIGINT) AS n_citations, md5(string_agg(text, '|' ORDER BY o)) AS texts, any_value(recommendation) AS recommendation, any_value(round(conf, 3)) AS confidence, any_value(m = 0 OR conf <= 0.5) AS abstained
+FROM st JOIN decided USING (case_id) GROUP BY st.case_id""")
+def trace_full(spark, sf_dir):
+    t = fusion.traces(*_whole(spark, sf_dir))
     texts = F.md5(F.array_join(F.transform("steps", lambda x: x["text"]), "|"))
     n = F.size(F.flatten(F.transform("steps", lambda x: x["citations"]))).cast("bigint")
     return t.select("case_id", F.size("steps").cast("bigint").alias("n_steps"), n.alias("n_citations"), texts.alias("texts"), F.array_join("recommendation", ";").alias("recommendation"), "confidence", "abstained")
 
 
+@query(f"""WITH {_LOOK}, {_FUSE}, {_TRACE}, n AS (SELECT case_id, count(*) AS n, sum(cites) AS c FROM st GROUP BY case_id)
+SELECT count(*) AS n_traces, count(*) FILTER (m = 0 OR conf <= 0.5) AS n_abstained, CAST(sum(n) AS BIGINT) AS n_steps, CAST(sum(n) AS BIGINT) AS n_sound, CAST(sum(c) AS BIGINT) AS n_citations, CAST(sum(n - 2) AS BIGINT) AS n_calls FROM n JOIN decided USING (case_id)""")
+def run_counts(spark, sf_dir):
+    """A composed run over the whole tables, its traces written and read back: the counts of its report. All that its traces cite is known, so every step is sound."""
+    alterations, found, picks, decisions = _whole(spark, sf_dir)
+    cases = decisions.select("case_id", F.slice("recommendation", 1, 1).alias("recommended"), F.lit(True).alias("actionable"))
+    report = run.run(alterations, found, picks, decisions, cases, shared_folder(spark), "run").report
+    return report.select("n_traces", "n_abstained", "n_steps", "n_sound", "n_citations", "n_calls")
+
+
 _IDX = f"""x AS (SELECT chunk_id AS doc_id, regexp_extract_all(lower(gene || ' ' || tumor_type || ' ' || tier || ' ' || drug), '[A-Za-z0-9]+') AS t FROM {_CHUNK}), corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM x),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM x) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 q AS (SELECT DISTINCT gene, tumor FROM {_NEED}), w AS (SELECT gene, tumor, term, count(*) AS qn FROM (SELECT gene, tumor, unnest(regexp_extract_all(lower(gene || ' ' || tumor), '[A-Za-z0-9]+')) AS term FROM q) GROUP BY ALL),
