@@ -93,3 +93,16 @@ def test_licensed_slots_raise(spark, tmp_path):
     (tmp_path / "full" / "a").write_text("x")
     with pytest.raises(Exception, match="no reader is defined"):
         spark.read.format("attestor_guideline_network").load(str(tmp_path / "full"))
+
+
+def test_titles_found_by_number_are_those_that_contain_the_term(spark):
+    from attestor.operators import evidence
+
+    titles = ["NM(EGFR):c.2573T>G (p.Leu858Arg)", "p.Leu8585Arg", "p.Leu858Argfs", "Leu858 and Leu858Arg 858", "amplification of EGFR", "exon 20 insertion", "20", None, ""]
+    records = spark.createDataFrame([(i, g, t) for g in ("EGFR", "KRAS") for i, t in enumerate(titles)], "id int, gene string, title string")
+    terms = ["Leu858Arg", "Leu858", "858", "amplification", "exon 20 ins", "exon 20", "L858R", "u8585A"]
+    asked = spark.createDataFrame([("EGFR", t) for t in terms], "_gene string, _term string")
+    got = sorted((r._term, r.id, r.gene) for r in evidence.titled(records, asked).collect())
+    assert got == sorted((t, i, "EGFR") for t in terms for i, x in enumerate(titles) if x and t in x)
+    plan = evidence.titled(records, asked.where("_term = 'Leu858Arg'"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan
