@@ -21,12 +21,12 @@ def work_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later plans start from files, not from lineage."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/attestor-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)  # an empty table partitioned by a column has no file to infer from
     out._attestor_path = path
     return out

@@ -11,8 +11,11 @@ import json
 import re
 import sys
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters that some tokenizer may take for white space (with the mark that stands for a space in pieces).
 WHITE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()) + "᠎​⁠﻿▁"
@@ -74,57 +77,115 @@ def cutter(starts: str):
     return re.compile(f"[{white}]*[^{white}]+(?:[{held}][{white}]*[^{white}]*)*|[{white}]+").findall
 
 
-class Memo:
-    """Ids of the segments met so far, as rows of one flat array; a memo of bounded number and characters that starts anew when it is full."""
+class Cutter:
+    """Cuts whole columns of texts; ``dictionary`` numbers the distinct segments.
 
-    def __init__(self, encode, most: int = 600_000, chars: int = 16_000_000):
+    Texts in which single white space characters stand between others are marked and split by Arrow, others (runs of white space, white
+    space at the start, NUL) one by one.
+    """
+
+    MARK = "\0"
+
+    def __init__(self, starts: str):
+        self.starts, self.cut = starts, cutter(starts)
+        white, own = ("[" + "".join(f"\\x{{{ord(c):x}}}" for c in x) + "]" for x in (WHITE, starts or " "))
+        self.odd = f"{white}{own}|^{own}|\\x00|^$"
+
+    def lists(self, texts: pa.Array, prefix: str = "") -> pa.ListArray:
+        """The segments of each text with ``prefix`` (white space or nothing) before it; null and empty texts have none."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.odd) if self.starts else pa.array([True] * len(texts))
+        plain = pc.filter(texts, pc.invert(odd))
+        for c in self.starts:
+            plain = pc.replace_substring(plain, c, self.MARK + c)
+        even = pc.split_pattern(pc.binary_join_element_wise(prefix, plain, ""), self.MARK)
+        rest = pa.array([self.cut(prefix + t) if t else [] for t in pc.filter(texts, odd).to_pylist()], even.type)
+        order = np.argsort(np.asarray(odd), kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return pa.concat_arrays([even, rest]).take(pa.array(back))
+
+    def dictionary(self, texts: pa.Array, prefix: str = "") -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(numbers of all segments in a row, the distinct segments, the number of segments before each text, with the total last)"""
+        lists = self.lists(texts, prefix)
+        flat = lists.flatten().dictionary_encode()
+        bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))]).astype(np.int64)
+        return flat.indices.to_numpy(zero_copy_only=False), flat.dictionary, bounds
+
+
+class Memo(dict):
+    """Segments met so far, numbered, with their ids as rows of one flat array.
+
+    What ``most`` segments and ``chars`` characters leave no room for is encoded once for each call and not kept; frequent segments come early, and stay.
+    """
+
+    def __init__(self, encode, most: int = 700_000, chars: int = 12_000_000):
         self.encode, self.most, self.chars = encode, most, chars
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.held = 0
-        self.start, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.int32), 0
-
-    def learn(self, segments: list[str]) -> None:
-        new = [s for s in dict.fromkeys(segments) if s not in self.at]
-        if not new:
-            return
-        if len(self.at) + len(new) > self.most or self.held > self.chars:
-            self.clear()
-            new = list(dict.fromkeys(segments))
-        self.held += sum(map(len, new))
-        found = self.encode(new)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        lo, total = len(self.at), int(sizes.sum())
-        self.start, self.size, self.ids = (_room(a, n) for a, n in ((self.start, lo + len(new)), (self.size, lo + len(new)), (self.ids, self.used + total)))
-        self.size[lo : lo + len(new)] = sizes
-        self.start[lo : lo + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
-        self.used += total
-        self.at.update(zip(new, range(lo, lo + len(new)), strict=True))
-
-    def joined(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all segments in a row, and the number of ids before each segment, with the total last."""
-        self.learn(segments)
-        rows = np.fromiter(map(self.at.__getitem__, segments), np.int64, len(segments))
+        self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(8192, np.int32)
+        self.used, self.held = 0, 0
+
+    def ids_of(self, distinct: pa.Array, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the segments ``distinct[number]`` in a row, and the number of ids before each, with the total last."""
+        keys = distinct.to_pylist()
+        rows = np.fromiter(map(self.get, keys, repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(rows < 0)
+        if len(unknown):
+            sizes, ids = self.encode(distinct.take(pa.array(unknown)))
+            lo, hi = len(self), len(self) + len(unknown)
+            self.start, self.size, self.ids = (_room(a, n) for a, n in ((self.start, hi), (self.size, hi), (self.ids, self.used + len(ids))))
+            self.size[lo:hi], self.start[lo:hi] = sizes, self.used + np.cumsum(sizes) - sizes
+            self.ids[self.used : self.used + len(ids)] = ids
+            rows[unknown] = np.arange(lo, hi)
+            if lo < self.most and self.held < self.chars:
+                kept = unknown[: self.most - lo].tolist()
+                self.update((keys[i], lo + n) for n, i in enumerate(kept))
+                self.held += sum(len(keys[i]) for i in kept)
+                self.used = int(self.start[len(self) - 1] + self.size[len(self) - 1])
+        rows = rows[numbers]
         size = self.size[rows]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        places = np.arange(ends[-1]) + np.repeat(self.start[rows] - ends[:-1], size)
-        return self.ids[places], ends
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        return self.ids[np.arange(ends[-1]) + np.repeat(self.start[rows] - ends[:-1], size)], ends
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
-    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
-
-
-def slices(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
-    """Ranges of whole texts of about ``chars`` characters each."""
-    lo, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= chars:
-            yield lo, i + 1
-            lo, total = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 3 * len(a) // 2) - len(a), a.dtype)])
+
+
+def encoder(tokenizer, tokens: dict[int, bytes], starts: str, size: int = 200_000):
+    """A function from segments to (number of ids of each, all ids in a row) by a byte-level tokenizer of the tokenizers library.
+
+    Segments that can stand next to each other (cut before one of ``starts``, after a character that isn't white space) are encoded as one text
+    of about ``size`` bytes, whose ids are dealt out by the bytes they stand for; a segment that can't begins a text of its own.
+    """
+    length = np.zeros(max(tokens, default=0) + 1, np.int64)
+    for i, t in tokens.items():
+        length[i] = len(t)
+    white = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITE) + "]$"
+
+    def run(segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(np.asarray(pc.binary_length(segments), np.int64))
+        first = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(segments, 0, 1), pa.array(list(starts), pa.string())), -1).to_numpy() >= 0
+        last = ~np.asarray(pc.match_substring_regex(segments, white))
+        apart = np.diff(ends // size, prepend=0) > 0
+        apart[0] = True
+        apart[1:] |= ~(first[1:] & last[:-1])
+        begin = np.append(np.flatnonzero(apart), len(segments)).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin), segments), "").to_pylist()
+        sizes, ids = np.zeros(len(segments), np.int64), []
+        for lo, hi, e in zip(begin, begin[1:], tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=False):
+            own = np.array(e.ids, np.int32)
+            ids.append(own)
+            sizes[lo:hi] = len(own) if hi == lo + 1 else np.diff(np.searchsorted(np.cumsum(length[own]), ends[lo:hi] - (ends[lo - 1] if lo else 0), side="right"), prepend=0)
+        return sizes, np.concatenate(ids)
+
+    return run
+
+
+def slices(texts, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of an Arrow column, of about ``size`` bytes each."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size)) + 1)
+        yield lo, min(hi, len(ends))
+        lo = hi

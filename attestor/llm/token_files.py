@@ -14,9 +14,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +26,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestor.llm.common import discard, release, work_dir, written
-from attestor.llm.segments import Memo, byte_starts, byte_tokens, cutter, slices
+from attestor.llm.segments import Cutter, Memo, byte_starts, byte_tokens, encoder, slices
 
 MAGIC = b"RANKIDS1"
 #: Ids in a block.
 BLOCK = 1 << 18
 #: About so many bytes of text go to one partition, and so to one file.
 SHARD = 64 << 20
-#: Characters tokenised at a time.
-SLICE = 2_000_000
+#: Bytes of text tokenised at a time.
+SLICE = 4_000_000
 
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -129,6 +131,17 @@ def documents(path: str, id_at: np.ndarray) -> Iterator[tuple[int | None, Iterat
                 pass
 
 
+@lru_cache(maxsize=1)
+def _worker(tokenizer_json: str) -> tuple[list[str], Cutter, Memo]:
+    """The special tokens, the cutter and the memo of a Python worker, which its tasks share."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t, tokens = Tokenizer.from_str(tokenizer_json), byte_tokens(tokenizer_json)
+    starts = byte_starts(tokens.values())
+    return [a.content for a in t.get_added_tokens_decoder().values()], Cutter(starts), Memo(encoder(t, tokens, starts))
+
+
 def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int, shard_bytes: int = SHARD) -> DataFrame:
     """(shard, pos, doc_id, ids) written in ascending doc_id order, by ranges of doc_id; equal ids in the order of their texts' hashes.
 
@@ -146,30 +159,29 @@ def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int, shard_bytes: in
     ranged = own.repartitionByRange(max(1, -(-size // shard_bytes)), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(shared.value)
-        special = [a.content for a in t.get_added_tokens_decoder().values()]
-        cut = cutter(byte_starts(byte_tokens(shared.value).values()))
-        memo = Memo(lambda x: [e.ids for e in t.encode_batch_fast(x, add_special_tokens=False)])
+        special, cut, memo = _worker(shared.value)
         shard, pos = TaskContext.get().partitionId(), 0
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts, SLICE):
-                parts, rows = [], [0]
-                for x in texts[lo:hi]:
-                    parts += [x] if any(s in x for s in special) else cut(x)
-                    rows.append(len(parts))
-                ids, ends = memo.joined(parts)
-                at = ends[rows]
+            for lo, hi in slices(b.column(1), SLICE):
+                texts = b.column(1).slice(lo, hi - lo)
+                if any(pc.any(pc.match_substring(texts, s)).as_py() for s in special):
+                    at: dict[str, int] = {}
+                    parts = [[x] if any(s in x for s in special) else cut.cut(x) for x in texts.to_pylist()]  # a special token may reach across a cut
+                    numbers = np.array([at.setdefault(x, len(at)) for p in parts for x in p], np.int64)
+                    distinct, bounds = pa.array(list(at), pa.string()), np.cumsum([0, *map(len, parts)])
+                else:
+                    numbers, distinct, bounds = cut.dictionary(texts)
+                ids, ends = memo.ids_of(distinct, numbers)
+                at = ends[bounds]
                 ids = np.insert(ids, at[1:], end_id).astype(np.int32)
                 offsets = pa.array((at + np.arange(len(at))).astype(np.int32))
                 n = hi - lo
                 yield pa.record_batch([pa.array([shard] * n, pa.int32()), pa.array(np.arange(pos, pos + n)), b.column(0).slice(lo, n), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=["shard", "pos", "doc_id", "ids"])
                 pos += n
+                del ids, ends, numbers, distinct
+            pa.default_memory_pool().release_unused()
 
-    return written(ranged.mapInArrow(run, "shard int, pos long, doc_id long, ids array<int>"))
+    return written(ranged.mapInArrow(run, "shard int, pos long, doc_id long, ids array<int>"), compression="zstd")
 
 
 def frequencies(ids: DataFrame) -> DataFrame:
