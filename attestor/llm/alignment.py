@@ -2,28 +2,32 @@
 
 Texts are cut before white space where neither vocabulary can merge across, which is read off the vocabularies (``segments``). Documents become
 sequences of places in the dictionary of their chunk; the dictionaries' distinct segments are tokenised and aligned once, their alignments are joined back to
-the chunks that hold them, and documents are composed from them. No occurrence of a segment is shuffled: only chunk dictionaries and sequences
-of numbers are.
+the chunks that hold them, and documents are composed from them. No occurrence of a segment is shuffled: only the chunks' dictionaries are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attestor.llm.common import discard, written
-from attestor.llm.segments import CANDIDATES, byte_starts, byte_tokens, cutter, piece_starts, piece_tokens
+from attestor.llm.common import discard, release, written
+from attestor.llm.segments import CANDIDATES, Cutter, byte_starts, byte_tokens, encoder, piece_starts, piece_tokens, slices
 
-#: Characters of a chunk: about so much text shares a dictionary and is composed together.
-CHUNK = 8_000_000
+#: Bytes of text of a chunk, which has one dictionary; bytes cut at a time; segments of the documents composed at a time.
+CHUNK, SLICE, PLACES = 32_000_000, 3_000_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -56,10 +60,13 @@ class Aligner:
         self.b = vocabularies.processor()
         self.a_bytes, self.b_bytes = byte_tokens(vocabularies.byte_level), piece_tokens(self.b)
         self.mark = self.b.piece_to_id("▁")
+        self.a_ids = encoder(self.a, self.a_bytes, vocabularies.starts())
 
     def tokens(self, segments: list[str]) -> tuple[list[list[int]], list[list[int] | None]]:
         """Ids of both; B's are None where its added space doesn't come off as a piece of its own."""
-        a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
+        sizes, flat = self.a_ids(pa.array(segments, pa.string()))
+        ends, flat = np.cumsum(sizes).tolist(), flat.tolist()
+        a = [flat[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
         # B adds a space in front: it is the segment's own, or comes off again
         own = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
         b: list[list[int] | None] = []
@@ -72,214 +79,336 @@ class Aligner:
                 b.append(ids[1:] if ids[:1] == [self.mark] else None)
         return a, b
 
-    def groups(self, segment: str, a: list[int], b: list[int] | None) -> list[tuple[list[int], list[int]]] | None:
-        """The groups between common ends; None if joined bytes differ from the segment's."""
+    def shape(self, segment: str, a: list[int], b: list[int] | None) -> list[int] | None:
+        """How many ids of A and of B each group between common ends has, in turn; None if joined bytes differ from the segment's."""
         whole, av, bv = segment.encode(), self.a_bytes, self.b_bytes
         if b is None or b"".join([av[i] for i in a]) != whole or b"".join([bv[i] for i in b]) != whole:
             return None
-        out, j, at_b, own_a, own_b, at_a = [], 0, 0, [], [], 0
-        for i in a:
+        out, j, at_a, at_b, from_a, from_b = [], 0, 0, 0, 0, 0
+        for n, i in enumerate(a, 1):
             at_a += len(av[i])
-            own_a.append(i)
-            while at_b < at_a and j < len(b):
+            while at_b < at_a:
                 at_b += len(bv[b[j]])
-                own_b.append(b[j])
                 j += 1
             if at_a == at_b:
-                # tokens without bytes belong to the group that they end
-                while j < len(b) and not bv[b[j]]:
-                    own_b.append(b[j])
-                    j += 1
-                out.append((own_a, own_b))
-                own_a, own_b = [], []
+                out += [n - from_a, j - from_b]
+                from_a, from_b = n, j
         return out
 
 
 def chunked(docs: DataFrame, starts: str, chunk: int = CHUNK) -> DataFrame:
-    """Written rows of two kinds: ``doc`` (chunk, row, doc_id, places: the numbers of its segments) and ``segment`` (chunk, row: its number, segment).
+    """Written rows of two kinds: ``doc`` (chunk, doc_id, places: the numbers of its segments) and ``segment`` (chunk, number, segment).
 
-    A chunk is a run of rows of one task, of about ``chunk`` characters; a longer text is a chunk by itself or ends one.
+    A chunk is a run of rows of one task with about ``chunk`` bytes of text; a longer text ends one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = cutter(starts)
-        number, at, row, held, first = TaskContext.get().partitionId() << 32, {}, 0, 0, 0
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string()]
+        cut = Cutter(starts)
+        number, at, held = TaskContext.get().partitionId() << 32, {}, 0
+        kinds = {"chunk": pa.int64(), "doc_id": pa.int64(), "places": pa.list_(pa.int32()), "number": pa.int32(), "segment": pa.string(), "kind": pa.string()}
 
-        def batch(n: int, rows, ids, places, segments, kind: str) -> pa.RecordBatch:
-            cols = [[number] * n, rows, ids, places, segments, [kind] * n]
-            return pa.record_batch([pa.array(c if c is not None else [None] * n, k) for c, k in zip(cols, kinds, strict=True)], names=["chunk", "row", "doc_id", "places", "segment", "kind"])
+        def batch(n: int, **own) -> pa.RecordBatch:
+            own["chunk"] = pa.array([number] * n, pa.int64())
+            return pa.record_batch([own[c] if c in own else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
+
+        def dictionary() -> Iterator[pa.RecordBatch]:
+            segments = list(at)
+            for lo in range(0, len(segments), 50_000):
+                part = segments[lo : lo + 50_000]
+                yield batch(len(part), number=pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), segment=pa.array(part, pa.string()), kind=pa.array(["segment"] * len(part)))
 
         for b in batches:
-            texts, ids = b.column(1).to_pylist(), b.column(0).to_pylist()
-            places: list = []
-            first = 0
-
-            def flush(hi: int) -> pa.RecordBatch:
-                return batch(hi - first, np.arange(row - (hi - first), row), ids[first:hi], places, None, "doc")
-
-            for i, text in enumerate(texts):
-                own = cut(" " + text) if text else []
-                for s in own:
-                    if s not in at:
-                        at[s] = len(at)
-                places.append(np.fromiter(map(at.__getitem__, own), np.int32, len(own)))
-                row, held = row + 1, held + len(text or "")
+            for lo, hi in slices(b.column(1), SLICE):
+                texts = b.column(1).slice(lo, hi - lo)
+                numbers, distinct, bounds = cut.dictionary(texts, " ")
+                own = np.fromiter((at.setdefault(s, len(at)) for s in distinct.to_pylist()), np.int32, len(distinct))
+                places = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(own[numbers]))
+                yield batch(hi - lo, doc_id=b.column(0).slice(lo, hi - lo), places=places, kind=pa.array(["doc"] * (hi - lo)))
+                held += texts.nbytes
                 if held >= chunk:
-                    yield flush(i + 1)
-                    yield from _dictionary(batch, at)
-                    number, at, held, first, places = number + 1, {}, 0, i + 1, []
-            if first < len(texts):
-                yield flush(len(texts))
-        yield from _dictionary(batch, at)
+                    yield from dictionary()
+                    number, at, held = number + 1, {}, 0
+        yield from dictionary()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(own.mapInArrow(run, "chunk long, row long, doc_id long, places array<int>, segment string, kind string"), partition_by="kind")
-
-
-def _dictionary(batch, at: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    segments = list(at)
-    for lo in range(0, len(segments), 50_000):
-        part = segments[lo : lo + 50_000]
-        yield batch(len(part), np.arange(lo, lo + len(part)), None, None, part, "segment")
-
-
-ALIGNED = "segment string, whole boolean, groups string, pairs array<long>, links array<long>, n_a long, n_b long, n_groups long, n_links long"
+    return written(own.mapInArrow(run, "chunk long, doc_id long, places array<int>, number int, segment string, kind string"), partition_by="kind", compression="zstd")
+
+
+def packed(shape: list[int], ids: list[int]) -> bytes:
+    """The number of groups, their shape and the ids as 16-bit numbers; as 32-bit numbers after a 0 where one doesn't fit."""
+    numbers = [len(shape) // 2, *shape, *ids]
+    return struct.pack(f"<{len(numbers)}H", *numbers) if max(numbers) < 65536 else struct.pack(f"<H{len(numbers)}I", 0, *numbers)
+
+
+def unpacked(codes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, the place of each segment's first, shapes, the groups before each segment with the total last); null codes have none."""
+    size = np.asarray(pc.fill_null(pc.binary_length(codes), 0), np.int64) // 2
+    own = codes.drop_null().cast(pa.large_binary())
+    ends = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1] if len(own) else np.zeros(1, np.int64)
+    flat = np.frombuffer(own.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view("<u2") if len(own) else np.zeros(0, "<u2")
+    start = np.cumsum(size) - size
+    held = size > 0
+    n = np.zeros(len(size), np.int64)
+    n[held] = flat[start[held]]
+    if not n[held].all():  # some are wide
+        wide = [np.frombuffer(c.as_py() or b"", "<u2").astype(np.uint32) for c in codes]
+        wide = [np.frombuffer(w.astype("<u2")[1:].tobytes(), "<u4") if len(w) and not w[0] else w for w in wide]
+        size = np.array([len(w) for w in wide], np.int64)
+        flat, start = np.concatenate(wide), np.cumsum(size) - size
+        n[held] = flat[start[held]]
+    n_ids = np.where(held, size - 1 - 2 * n, 0)
+    ids = flat[_runs(start + 1 + 2 * n, n_ids)].astype(np.int32)
+    return ids, np.cumsum(n_ids) - n_ids, flat[_runs(start + 1, 2 * n)].astype(np.int32), np.concatenate([[0], np.cumsum(n)])
 
 
 def aligned(segments: DataFrame, vocabularies: Vocabularies) -> DataFrame:
-    """Each distinct segment's alignment: whether bytes agree, groups as text, its distinct id pairs (A's id times 2^32 plus B's) and the links of each."""
+    """(segment, code) of each distinct segment: how many ids of A and of B each group has in turn, A's ids and B's (``packed``); null where bytes differ."""
     shared = segments.sparkSession.sparkContext.broadcast(vocabularies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(shared.value)
         for b in batches:
             for lo in range(0, b.num_rows, 20_000):
-                own = b.column(0).slice(lo, 20_000).to_pylist()
-                rows = [_row(s, aligner.groups(s, x, y)) for s, x, y in zip(own, *aligner.tokens(own), strict=True)]
-                cols = list(zip(*rows, strict=True))
-                yield pa.record_batch([pa.array(own, pa.string()), pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.list_(pa.int64())), *(pa.array(c, pa.int64()) for c in cols[4:])], names=["segment", "whole", "groups", "pairs", "links", "n_a", "n_b", "n_groups", "n_links"])
-
-    return segments.select("segment").distinct().mapInArrow(run, ALIGNED)
-
-
-def _row(segment: str, groups: list[tuple[list[int], list[int]]] | None) -> tuple:
-    if groups is None:
-        return False, "", [], [], 0, 0, 0, 0
-    links: dict[int, int] = {}
-    for a, b in groups:
-        if len(a) * len(b) > 64:  # long runs without a common end: pairs of distinct ids, not of occurrences
-            (a_ids, a_n), (b_ids, b_n) = (np.unique(x, return_counts=True) for x in (a, b))
-            many = ((int(x) << 32 | int(y), int(m) * int(k)) for x, m in zip(a_ids, a_n, strict=True) for y, k in zip(b_ids, b_n, strict=True))
-        else:
-            many = ((x << 32 | y, 1) for x in a for y in b)
-        for pair, m in many:
-            links[pair] = links.get(pair, 0) + m
-    text = ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups])
-    return True, text, list(links), list(links.values()), sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(links.values())
-
-
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets (with the end) and the flat values of a list column."""
-    c = column.combine_chunks()
-    flat = c.flatten().to_numpy(zero_copy_only=False)
-    sizes = np.diff(c.offsets.to_numpy())
-    return np.concatenate([[0], np.cumsum(sizes)]), flat
-
-
-def _gather(start: np.ndarray, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Places of the values of ``rows``' lists, one list after the other."""
-    n = size[rows]
-    ends = np.cumsum(n)
-    return np.arange(ends[-1] if len(n) else 0) + np.repeat(start[rows] - (ends - n), n)
-
-
-def _by_number(table: pa.Table, key: str = "number") -> tuple[pa.Table, np.ndarray]:
-    """``table`` and, for each number of the chunk's dictionary, its row."""
-    numbers = table.column(key).to_numpy()
-    at = np.zeros(len(numbers), np.int64)
-    at[numbers] = np.arange(len(numbers))
-    return table, at
-
-
-def pair_counts(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(pair, docs): in how many documents each id pair is linked. ``docs`` (chunk, places), ``dictionary`` (holder: its chunk, number, whole, pairs)."""
-
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        right, at = _by_number(right)
-        start, flat = _lists(right.column("pairs"))
-        size, fine = np.diff(start), right.column("whole").to_numpy(zero_copy_only=False).astype(bool)
-        bounds, places = _lists(left.column("places"))
-        found = []
+                own = b.column(0).slice(lo, 20_000)
+                texts = own.to_pylist()
+                shapes = ((aligner.shape(s, x, y), x, y) for s, x, y in zip(texts, *aligner.tokens(texts), strict=True))
+                yield pa.record_batch([own, pa.array([None if shape is None else packed(shape, x + y) for shape, x, y in shapes], pa.binary())], names=["segment", "code"])
+
+    return segments.select("segment").distinct().mapInArrow(run, "segment string, code binary")
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (with the end) and the flat values of a list column; null is empty."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    return np.concatenate([[0], np.cumsum(sizes)]), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(size) else 0) + np.repeat(start - (ends - size), size)
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``values`` between neighbouring bounds."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+#: Groups of more links than this have theirs counted by distinct ids.
+MANY = 4096
+
+
+class Dictionary:
+    """The aligned segments of one chunk, by number, as flat arrays: groups, and links with their pairs (A's id times 2^32 plus B's)."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        order = np.argsort(table.column("number").to_numpy())
+        if len(order) and (table.column("number").to_numpy()[order] != np.arange(len(order))).any():
+            raise ValueError("a chunk's dictionary isn't whole")
+        codes = table.column("code").combine_chunks().take(pa.array(order))
+        self.whole = np.asarray(pc.is_valid(codes))
+        self._ids, id_at, counts, self.groups = unpacked(codes)
+        # the numbers of A's and B's ids of each group; ``groups``: those before each segment
+        self.in_a, self.in_b = counts[0::2], counts[1::2]
+        self.n_a, self.n_b = _sums(self.in_a, self.groups), _sums(self.in_b, self.groups)
+        # where each group's ids begin: A's of all groups of a segment, then B's
+        own = np.repeat(np.arange(len(order)), np.diff(self.groups))
+        before_a, before_b = np.cumsum(self.in_a) - self.in_a, np.cumsum(self.in_b) - self.in_b
+        first = np.minimum(self.groups[:-1], max(len(before_a) - 1, 0))
+        self._a = id_at[own] + before_a - before_a[first][own] if len(own) else before_a
+        self._b = id_at[own] + self.n_a[own] + before_b - before_b[first][own] if len(own) else before_b
+        self._a, self._b = self._a.astype(np.int32), self._b.astype(np.int32)
+        del own, before_a, before_b, first, counts, codes
+        self._link()
+        pa.default_memory_pool().release_unused()
+
+    def _link(self) -> None:
+        """``links`` before each segment, and of each its ``pair`` and how often it stands there (``times``)."""
+        size = self.in_a.astype(np.int64) * self.in_b
+        few = np.where(size > MANY, 0, size)
+        group = np.repeat(np.arange(len(size), dtype=np.int32), few)
+        place = np.arange(len(group), dtype=np.int32) - np.repeat((np.cumsum(few) - few).astype(np.int32), few)
+        in_b = self.in_b[group]
+        pair = self._ids[self._a[group] + place // in_b].astype(np.int64) << 32
+        pair |= self._ids[self._b[group] + place % in_b]
+        del place, in_b
+        #: How often each link stands in its segment; None: once.
+        self.times = None
+        many = np.flatnonzero(size > MANY)
+        if len(many):
+            self.times = np.ones(len(group), np.int64)
+        for g in many:
+            (x, m), (y, n) = (np.unique(self._ids[at[g] : at[g] + k[g]], return_counts=True) for at, k in ((self._a, self.in_a), (self._b, self.in_b)))
+            few[g] = len(x) * len(y)
+            at = np.searchsorted(group, g)
+            group = np.insert(group, at, np.full(few[g], g))
+            pair = np.insert(pair, at, (x.astype(np.int64)[:, None] << 32 | y[None, :]).ravel())
+            self.times = np.insert(self.times, at, (m[:, None] * n[None, :]).ravel())
+        del group
+        self.links = np.concatenate([[0], np.cumsum(few)])[self.groups]
+        self.pairs, at = np.unique(pair, return_inverse=True)
+        self.pair = at.astype(np.int32)
+
+    def linked(self, values: np.ndarray | None = None) -> np.ndarray:
+        """For each segment, the number of its links, or the sum of their pairs' ``values``."""
+        if values is None and self.times is None:
+            return np.diff(self.links)
+        own = self.times if values is None else values[self.pair] if self.times is None else values[self.pair] * self.times
+        return _sums(own, self.links)
+
+    def counted(self, places: pa.ListArray, counts: np.ndarray) -> None:
+        """Add the documents of ``places`` to the ``counts`` of the pairs that they hold."""
+        bounds, flat = _lists(places)
+        size = np.diff(self.links)
         for lo, hi in zip(bounds, bounds[1:], strict=False):
-            rows = at[np.unique(places[lo:hi])]
-            if len(rows) and fine[rows].all():
-                found.append(np.unique(flat[_gather(start, size, rows)]))
-        pairs, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-        return pa.table({"pair": pa.array(pairs, pa.int64()), "docs": pa.array(n, pa.int64())})
+            rows = np.unique(flat[lo:hi])
+            if len(rows) and self.whole[rows].all():
+                counts[np.unique(self.pair[_runs(self.links[rows], size[rows])])] += 1
 
-    return docs.groupBy("chunk").cogroup(dictionary.groupBy("holder")).applyInArrow(count, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
+    def texts(self) -> pa.Array:
+        """Each segment's groups as text."""
+        named = pc.cast(pa.array(self._ids), pa.string())
 
+        def side(start: np.ndarray, size: np.ndarray) -> pa.Array:
+            flat = named.take(pa.array(_runs(start, size)))
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat), ",")
 
-#: Pairs that more than one in so many of the segments' pairs are: at most so many pairs, which are broadcast rather than shuffled to one task.
-HOT = 2000
+        groups = pc.binary_join_element_wise(side(self._a, self.in_a), side(self._b, self.in_b), "|")
+        return pc.cast(pc.binary_join(pa.ListArray.from_arrays(pa.array(self.groups.astype(np.int32)), groups), ";"), pa.large_string())
 
 
-def segment_scores(segments: DataFrame, counts: DataFrame) -> DataFrame:
-    """(segment, n_best, count_sum) of each segment with links, from ``counts`` (pair, docs)."""
-    highest = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("most"))
-    scores = counts.withColumn("a", F.shiftright("pair", 32)).join(highest, "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best"))
-    each = segments.where("whole").select("segment", F.explode(F.arrays_zip("pairs", "links")).alias("p")).select("segment", F.col("p.pairs").alias("pair"), F.col("p.links").alias("links"))
-    scores = written(scores)
-    total = segments.agg(F.sum(F.size("pairs"))).first()[0] or 0
-    hot = F.broadcast(each.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") > total / HOT).select("pair"))  # HOT rows at most
-    hot_scores = F.broadcast(scores.join(hot, "pair", "left_semi"))
-    met = each.join(hot_scores, "pair").unionAll(each.join(hot, "pair", "left_anti").join(scores, "pair"))
-    return met.groupBy("segment").agg(F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("links") * F.col("docs")).alias("count_sum"))
+def _chunks(batches: Iterator[pa.RecordBatch], load) -> Iterator[tuple[int, object, pa.RecordBatch]]:
+    """(chunk, what ``load`` gives for it, its rows) of batches whose first column is the chunk; a chunk's rows follow each other."""
+    chunk, own = None, None
+    for b in batches:
+        numbers = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1), len(numbers)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi > lo:
+                if numbers[lo] != chunk:
+                    chunk, own = int(numbers[lo]), None  # the last one goes before the next is read
+                    own = load(chunk)
+                yield chunk, own, b.slice(lo, hi - lo)
 
 
-DIGEST = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+KINDS = {"number": pa.int32(), "code": pa.binary(), "pair": pa.int64(), "docs": pa.int64(), "best": pa.bool_()}
 
 
-def composed(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(doc_id, DIGEST, groups_sha256) of each document from its segments' alignments."""
+def _partition(path: str, column: str, value: int, columns: list[str]) -> pa.Table:
+    """One partition of a written table; no rows if it has none."""
+    fs, root = pyarrow.fs.FileSystem.from_uri(path)
+    found = fs.get_file_info(pyarrow.fs.FileSelector(f"{root}/{column}={value}", allow_not_found=True))
+    files = [pq.read_table(f.path, columns=columns, filesystem=fs, partitioning=None) for f in found if f.base_name.endswith(".parquet")]
+    return pa.concat_tables(files or [pa.table({c: pa.array([], KINDS[c]) for c in columns})])
 
-    def compose(left: pa.Table, right: pa.Table) -> pa.Table:
-        right, at = _by_number(right)
-        fine = right.column("whole").to_numpy(zero_copy_only=False).astype(bool)
-        values = [right.column(c).to_numpy() for c in DIGEST]
-        texts = right.column("groups").to_pylist()
-        bounds, places = _lists(left.column("places"))
-        out = []
-        for lo, hi in zip(bounds, bounds[1:], strict=False):
-            rows = at[places[lo:hi]]
-            if len(rows) and fine[rows].all():
-                out.append((*(int(v[rows].sum()) for v in values), hashlib.sha256(";".join([texts[i] for i in rows]).encode()).hexdigest()))
-            else:
-                out.append((*[0] * len(DIGEST), ""))
-        cols = list(zip(*out, strict=True)) or [[]] * (len(DIGEST) + 1)
-        return pa.table({"doc_id": left.column("doc_id")} | {k: pa.array(c, pa.int64()) for k, c in zip(DIGEST, cols, strict=False)} | {"groups_sha256": pa.array(cols[-1], pa.string())})
 
+def pair_counts(documents: DataFrame, dictionary: str) -> DataFrame:
+    """(chunk, pair, docs): in how many documents of each chunk an id pair is linked. ``dictionary``: the path of the chunks' aligned segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, counts, pairs = None, None, None
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            at = np.flatnonzero(counts) if counts is not None else []
+            for lo in range(0, len(at), 100_000):
+                part = at[lo : lo + 100_000]
+                yield pa.record_batch([pa.array([last] * len(part), pa.int64()), pa.array(pairs[part]), pa.array(counts[part])], names=["chunk", "pair", "docs"])
+
+        for chunk, found, b in _chunks(batches, lambda c: Dictionary(_partition(dictionary, "chunk", c, ["number", "code"]))):
+            if chunk != last:
+                yield from sent()
+                last, pairs, counts = chunk, found.pairs, np.zeros(len(found.pairs), np.int64)
+            found.counted(b.column(1), counts)
+            del found
+        yield from sent()
+
+    return documents.select("chunk", "places").where(F.size("places") > 0).mapInArrow(run, "chunk long, pair long, docs long")
+
+
+def pair_scores(counts: DataFrame) -> DataFrame:
+    """(pair, docs, best): the documents of each pair in all chunks, and whether no other pair of its A id has more."""
+    total = counts.groupBy("pair").agg(F.sum("docs").alias("docs"))
+    most = F.max("docs").over(W.partitionBy(F.shiftright("pair", 32)))  # as many rows as B has ids at most
+    return total.select("pair", "docs", (F.col("docs") == most).alias("best"))
+
+
+DIGEST = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+
+
+def composed(documents: DataFrame, dictionary: str, scores: str) -> DataFrame:
+    """(doc_id, DIGEST, groups_sha256) of each document, from its chunk's aligned segments and the scores of its pairs."""
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in DIGEST) + ", groups_sha256 string"
-    return docs.groupBy("chunk").cogroup(dictionary.groupBy("holder")).applyInArrow(compose, schema)
+
+    def load(chunk: int) -> tuple[np.ndarray, list[np.ndarray], pa.Array]:
+        own = Dictionary(_partition(dictionary, "chunk", chunk, ["number", "code"]))
+        docs, best = np.zeros(len(own.pairs), np.int64), np.zeros(len(own.pairs), bool)
+        if len(own.pairs):
+            known = _partition(scores, "chunk", chunk, ["pair", "docs", "best"]).combine_chunks()
+            at = np.searchsorted(own.pairs, known.column("pair").to_numpy())
+            docs[at], best[at] = known.column("docs").to_numpy(), known.column("best").to_numpy(zero_copy_only=False)
+        sums = [own.n_a, own.n_b, np.diff(own.groups), own.linked(), own.linked(best.astype(np.int32)), own.linked(docs)]
+        texts, whole = own.texts(), own.whole
+        del own
+        pa.default_memory_pool().release_unused()
+        return whole, sums, texts
+
+    def digested(whole: np.ndarray, sums: list[np.ndarray], texts: pa.Array, b: pa.RecordBatch) -> pa.RecordBatch:
+        bounds, flat = _lists(b.column(2))
+        fine = (_sums(~whole[flat], bounds) == 0) & (np.diff(bounds) > 0)
+        values = [pa.array(np.where(fine, _sums(v[flat], bounds), 0)) for v in sums]
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), texts.take(pa.array(flat))), pa.scalar(";", pa.large_string()))
+        sha = [hashlib.sha256(x.as_buffer()).hexdigest() if ok else "" for x, ok in zip(joined, fine, strict=True)]
+        return pa.record_batch([b.column(1), *values, pa.array(sha, pa.string())], names=["doc_id", *DIGEST, "groups_sha256"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (whole, sums, texts), b in _chunks(batches, load):
+            ends = _lists(b.column(2))[0]
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PLACES, side="right")) - 1)
+                yield digested(whole, sums, texts, b.slice(lo, hi - lo))
+                lo = hi
+
+    return documents.select("chunk", "doc_id", "places").mapInArrow(run, schema)
+
+
+@dataclass
+class Alignments:
+    """``documents`` (chunk, doc_id, places); written by chunk: ``dictionary`` (number, code) and ``scores`` (pair, docs, best)."""
+
+    documents: DataFrame
+    dictionary: DataFrame
+    scores: DataFrame
+
+    def digest(self) -> DataFrame:
+        return composed(self.documents, self.dictionary._attestor_path, self.scores._attestor_path)
 
 
-def alignments(docs: DataFrame, vocabularies: Vocabularies) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, dictionary, counts): documents as sequences of segment numbers, each chunk's segments with their alignments and scores, id pairs with their documents.
+def alignments(docs: DataFrame, vocabularies: Vocabularies) -> Alignments:
+    """Documents as sequences of segment numbers, and each chunk's segments and id pairs with their alignments and corpus-wide scores.
 
-    Rows: ``documents`` (chunk, row, doc_id, places), ``dictionary`` (holder: the chunk, number, segment and its alignment, n_best, count_sum), ``counts`` (pair, docs).
     Every row of ``docs`` is a document, whatever its doc_id (null and repeated ones too); null and empty texts have no place. Columns other than doc_id and text aren't
-    read. A text longer than a chunk is held by one task. An empty table gives empty tables.
+    read. A text longer than a chunk is held by one task. An empty table gives empty tables. Dictionaries and scores are written by chunk, and a task
+    reads those of the chunks whose documents it has: the sequences are never shuffled.
     """
+    spark = docs.sparkSession
     parts = chunked(docs, vocabularies.starts())
-    documents = parts.where("kind = 'doc'").select("chunk", "row", "doc_id", "places")
-    held = parts.where("kind = 'segment'").select(F.col("chunk").alias("holder"), F.col("row").alias("number"), "segment")
-    segments = written(aligned(held, vocabularies))
-    counts = written(pair_counts(documents, held.join(segments.select("segment", "whole", "pairs"), "segment")))
-    scores = segment_scores(segments, counts)
-    scored = written(segments.join(scores, "segment", "left").fillna(0, ["n_best", "count_sum"]))
+    documents = parts.where("kind = 'doc'").select("chunk", "doc_id", "places")
+    held = parts.where("kind = 'segment'").select("chunk", "number", "segment")
+    segments = written(aligned(held, vocabularies), compression="zstd")
+    release(spark)
+    routed = written(held.join(segments, "segment").select("chunk", "number", "code"), compression="zstd")
     discard(segments)
-    return documents, held.join(scored, "segment"), counts
+    release(spark)
+    dictionary = written(routed.repartition("chunk"), partition_by="chunk", compression="zstd")
+    discard(routed)
+    release(spark)
+    counts = written(pair_counts(documents, dictionary._attestor_path), compression="zstd")
+    scores = written(counts.select("chunk", "pair").join(pair_scores(counts), "pair").repartition("chunk"), partition_by="chunk", compression="zstd")
+    discard(counts)
+    return Alignments(documents, dictionary, scores)
 
 
 def digest(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
@@ -287,5 +416,4 @@ def digest(docs: DataFrame, vocabularies: Vocabularies) -> DataFrame:
 
     Zeros and '' for texts that are null, empty, or that a vocabulary doesn't give back byte for byte.
     """
-    documents, dictionary, _ = alignments(docs, vocabularies)
-    return composed(documents, dictionary.select("holder", "number", "whole", "groups", *DIGEST))
+    return alignments(docs, vocabularies).digest()

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from attestor.llm import alignment, segments, token_files, whitening
@@ -158,6 +159,48 @@ def test_cuts_follow_the_vocabularies(both, byte_level):
     assert segments.cutter("")("a b") == ["a b"]
 
 
+@pytest.mark.parametrize("starts", [" \n\t", " ", ""])
+@pytest.mark.parametrize("prefix", ["", " "])
+def test_columns_are_cut_like_texts(starts, prefix):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab é \n\t\x00\u00a0\u2581  ") for _ in range(rng.randint(0, 12))) for _ in range(400)] + [None, "", "a b\nc", "x\r y"]
+    cutter = segments.Cutter(starts)
+    numbers, distinct, bounds = cutter.dictionary(pa.array(texts, pa.string()), prefix)
+    distinct = distinct.to_pylist()
+    got = [[distinct[i] for i in numbers[lo:hi]] for lo, hi in zip(bounds, bounds[1:], strict=False)]
+    assert got == [segments.cutter(starts)(prefix + t) if t else [] for t in texts]
+    assert len(set(distinct)) == len(distinct)
+
+
+def test_a_memo_without_room_gives_the_same_ids(byte_level):
+    from tokenizers import Tokenizer
+
+    t, tokens = Tokenizer.from_str(byte_level), segments.byte_tokens(byte_level)
+    starts, rng = segments.byte_starts(tokens.values()), random.Random(9)
+    cutter = segments.Cutter(starts)
+    for most, chars, group in ((400_000, 10**9, 200_000), (20, 10**9, 30), (10**6, 100, 1)):
+        memo = segments.Memo(segments.encoder(t, tokens, starts, group), most, chars)
+        for _ in range(4):
+            texts = [prose(rng, rng.randint(0, 40)) + rng.choice(["", " ", "é\u4e2d\U0001f600", " \n x"]) for _ in range(30)]
+            numbers, distinct, bounds = cutter.dictionary(pa.array(texts))
+            ids, ends = memo.ids_of(distinct, numbers)
+            at = ends[bounds]
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+            assert len(memo) <= most
+
+
+def test_codes_give_back_shapes_and_ids():
+    rows = [([1, 2], [7, 8, 9]), None, ([1, 1, 2, 0], [5, 50_000, 4, 3]), ([1, 1], [65_535, 0])]
+    for more in ([], [([1, 1], [65_536, 1])], [([70_000, 1], [9] * 70_001), None]):
+        own = rows + more
+        ids, id_at, counts, groups = alignment.unpacked(pa.array([None if r is None else alignment.packed(*r) for r in own], pa.binary()))
+        for i, r in enumerate(own):
+            shape, numbers = r or ([], [])
+            assert counts[2 * groups[i] : 2 * groups[i + 1]].tolist() == shape
+            assert ids[id_at[i] : id_at[i] + len(numbers)].tolist() == numbers
+    assert [x.tolist() for x in alignment.unpacked(pa.array([], pa.binary()))] == [[], [], [], [0]]
+
+
 def brute_alignment(rows, vocabularies):
     """Whole texts by both tokenizers, byte by byte; every pair of occurrences."""
     aligner = alignment.Aligner(vocabularies)
@@ -196,16 +239,17 @@ def test_alignment_against_whole_texts(spark, both, monkeypatch):
     rows = awkward() + SPACES + [(100 + i, prose(rng, rng.randint(0, 60)) + rng.choice(["", " ", "\n", " ", " ..", "\t\t"])) for i in range(60)]
     want = Counter(brute_alignment([r[:2] for r in rows], both))
     assert Counter(map(tuple, alignment.digest(documents(spark, rows).repartition(5), both).collect())) == want
-    monkeypatch.setattr(alignment, "HOT", 1e9)  # no pair is broadcast
+    monkeypatch.setattr(alignment, "MANY", 3)  # links by distinct ids
+    monkeypatch.setattr(alignment, "PLACES", 7)
     assert Counter(map(tuple, alignment.digest(documents(spark, rows).repartition(2), both).collect())) == want
 
 
-def test_chunks_and_hot_pairs_do_not_change_an_alignment(spark, both, monkeypatch):
+def test_chunks_do_not_change_an_alignment(spark, both, monkeypatch):
     rng = random.Random(5)
     rows = [(i, prose(rng, rng.randint(0, 80))) for i in range(50)] + [(99, None)]
     docs = documents(spark, rows).coalesce(1)
     want = Counter(brute_alignment([r[:2] for r in rows], both))
     monkeypatch.setattr(alignment.chunked, "__defaults__", (500,))
-    monkeypatch.setattr(alignment, "HOT", 1)
+    monkeypatch.setattr(alignment, "SLICE", 300)
     assert Counter(map(tuple, alignment.digest(docs, both).collect())) == want
     assert alignment.digest(documents(spark, []), both).collect() == []
