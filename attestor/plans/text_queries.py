@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import text as T
 from attestor.functions.rng import keyed_int
-from attestor.operators import index, retrieval, vectors
+from attestor.operators import index, matcher, retrieval, vectors
 from attestor.plans.roles import RECORDS, records
 from attestor.session import table
 
@@ -187,3 +187,18 @@ def recommendation_clean(spark, sf_dir):
 def verifier_example(spark, sf_dir):
     ids = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a:1"), F.lit("b:2"))).otherwise(F.array().cast("array<string>"))
     return table(spark, sf_dir, "documents").select("doc_id", T.featurized(F.col("text"), ids).alias("example"), T.last_line("text").alias("last"))
+
+
+_NAMES = "(SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 5)"
+
+
+@query(f"""SELECT conv_id, turn, count(*) AS n, md5(string_agg(name, '|' ORDER BY name)) AS names FROM conversations, {_NAMES} WHERE contains(lower(text), lower(name)) GROUP BY conv_id, turn""")
+def names_in_turns(spark, sf_dir):
+    """Words of the benchmark, as a vocabulary table, in all turns of conversations."""
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    vocabulary = table(spark, sf_dir, "benchmark").select(words.alias("name")).where("length(name) >= 5").distinct()
+    turns = table(spark, sf_dir, "conversations").withColumn("at", F.concat_ws(":", "conv_id", "turn"))
+    found = matcher.names_in_texts(turns, vocabulary, "at", "text")
+    per = found.groupBy("at").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("name")), "|")).alias("names"))
+    part = F.split("at", ":")
+    return per.select(part[0].cast("bigint").alias("conv_id"), part[1].cast("bigint").alias("turn"), "n", "names")
