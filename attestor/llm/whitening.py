@@ -78,7 +78,8 @@ def covariance(fit: DataFrame, x: str, model: Whitening) -> np.ndarray:
     near = [(2 * s + n) // (2 * n) for s in model.total]
     widest = max((max(b - c, c - a) for a, b, c in zip(model.low, model.high, near, strict=True)), default=0)
     exact = widest * widest * n < LONG
-    off = [F.col(x)[i] - (F.lit(near[i]) if exact else F.lit(model.total[i] / n)) for i in range(d)]
+    # the entries of the fit list are never null; where Spark knows, it sums twice as fast
+    off = [F.coalesce(F.get(x, F.lit(i)), F.lit(0)) - (F.lit(near[i]) if exact else F.lit(model.total[i] / n)) for i in range(d)]
     centred = fit.select(*(c.alias(f"d{i}") for i, c in enumerate(off)))
     out = np.zeros((d, d))
     pairs = _triangle(d)
