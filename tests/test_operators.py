@@ -190,3 +190,12 @@ def test_verifier_learns_and_round_trips(spark, tmp_path):
     assert a == pytest.approx(b)
     with pytest.raises(ValueError):
         verifier.fit(df.where("y = 1"), "k", "t", "y")
+
+
+def test_splits_cut_at_fractions_as_written(spark):
+    from attestor.operators import profiles
+
+    cases = spark.range(90).select(F.col("id").alias("c"))
+    sizes = {r.split: r["count"] for r in profiles.split_cases(cases, "c", 17).groupBy("split").count().collect()}
+    assert sizes == {"train": 63, "val": 9, "test": 9, "generalization": 9}
+    assert profiles.split_train_test(cases.where("c < 90"), "c", 17, 0.7).where("is_test").count() == 63
