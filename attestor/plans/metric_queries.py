@@ -45,6 +45,14 @@ s AS (SELECT b, sum(w)::DOUBLE AS n, {cols} FROM d WHERE w > 0 GROUP BY b), m AS
 ci AS (SELECT round(max(m) FILTER (k = floor(0.025 * z)), 6) AS lo, round(max(m) FILTER (k = least(z - 1, floor(0.975 * z))), 6) AS hi FROM o)"""
 
 
+def _drawn(rows: str, b: int, key: str, cols: str, value: str) -> str:
+    """SQL of the keyed bootstrap: resamples of as many draws as there are rows, which are numbered, then the values at the interval's places."""
+    return f"""r AS (SELECT row_number() OVER (ORDER BY md5('0:' || CAST({key} AS VARCHAR)), {key}) - 1 AS i, count(*) OVER () AS n, * FROM {rows}),
+d AS (SELECT b, ('0x' || substr(md5('17:' || CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8))::BIGINT % n AS i FROM r, range({b}) x(b)),
+s AS (SELECT b, count(*) AS n, {cols} FROM d JOIN r USING (i) GROUP BY b), m AS (SELECT round({value}, 9) AS m FROM s), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS k FROM m WHERE m IS NOT NULL),
+ci AS (SELECT round(max(m) FILTER (k = {int(0.025 * b)}), 6) AS lo, round(max(m) FILTER (k = {min(b - 1, int(0.975 * b))}), 6) AS hi FROM o)"""
+
+
 @query("SELECT n, rate AS mean, lo, hi FROM " + _rated("(SELECT count(quality) AS n, count(*) FILTER (quality = 1) AS k FROM labels)", "n"))
 def bootstrap_rate(spark, sf_dir):
     return stats.bootstrap_flag(table(spark, sf_dir, "labels"), "quality", 2000)
@@ -55,9 +63,9 @@ def bootstrap_mean(spark, sf_dir):
     return stats.bootstrap_mean(table(spark, sf_dir, "documents"), "doc_id", "n_chars", 2000)
 
 
-@query(f"WITH {_boot('(SELECT doc_id, (quality - toxic)::DOUBLE AS v FROM labels)', 1000, 'doc_id', 'sum(w * v) AS v', 'v / n')} SELECT (SELECT count(*) FROM r) AS n, round((SELECT avg(v) FROM r), 6) AS mean, lo, hi FROM ci")
+@query(f"WITH {_drawn('(SELECT doc_id, (quality - toxic)::DOUBLE AS v FROM labels)', 1000, 'doc_id', 'sum(v) AS v', 'v / n')} SELECT (SELECT count(*) FROM r) AS n, round((SELECT avg(v) FROM r), 6) AS mean, lo, hi FROM ci")
 def bootstrap_paired(spark, sf_dir):
-    return stats.bootstrap_paired(table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic", 1000)
+    return stats.bootstrap_paired(table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic", 1000, draws=True)
 
 
 _CELLS = "(SELECT source, count(*) FILTER (t AND p)::DOUBLE AS tp, count(*) FILTER (NOT t AND p)::DOUBLE AS fp, count(*) FILTER (NOT t AND NOT p)::DOUBLE AS tn, count(*) FILTER (t AND NOT p)::DOUBLE AS fn FROM (SELECT source, quality = 1 AS t, n_chars > 1500 AS p FROM documents JOIN labels USING (doc_id)) GROUP BY source)"

@@ -90,3 +90,18 @@ def test_clusters_are_drawn_whole(spark):
 
     drawn = sorted(round(value([weight(17, c, b) for c in range(40)]), 9) for b in range(150))
     assert (got.n_clusters, got.value, got.lo, got.hi) == (40, round(value([1] * 40), 6), round(drawn[3], 6), round(drawn[146], 6))
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_paired_resamples_draw_as_many_rows_as_there_are(spark, small, monkeypatch):
+    monkeypatch.setattr(stats, "SMALL_TABLE", small)
+    rng = random.Random(6)
+    rows = [(i, rng.gauss(1, 2), rng.random()) for i in range(90)]
+    n, md5 = len(rows), lambda *k: hashlib.md5(":".join(map(str, k)).encode()).hexdigest()
+    v = [a - b for _, (_, a, b) in sorted((md5(0, r[0]), r) for r in rows)]
+    means = sorted(round(sum(v[int(md5(17, b, i)[:8], 16) % n] for i in range(n)) / n, 9) for b in range(80))
+    got = stats.bootstrap_paired(spark.createDataFrame([*rows, (999, None, 1.0)], "k int, a double, b double"), "k", "a", "b", 80, draws=True).first()
+    assert got.n == n and got["mean"] == pytest.approx(sum(v) / n, abs=1e-6)
+    assert (got.lo, got.hi) == (pytest.approx(means[2], abs=1e-6), pytest.approx(means[78], abs=1e-6))
+    sums = stats.drawn(spark.createDataFrame(rows, "k int, a double, b double"), "k", ["a"], 20).collect()
+    assert len(sums) == 21 and {r.n for r in sums} == {float(n)}
