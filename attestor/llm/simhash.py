@@ -203,7 +203,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = RADIUS,
 
 WIDE, FOUND, BOUND, SMALL = 8, 0.97, 3.5, 16
 FIELDS = [f"f{i}" for i in range(WIDE)]
-PART = 2  # 64-bit words of the fingerprint that a row of a bucket carries
+CELLS = 1 << 17  # comparisons of a large bucket that are made at a time
 
 
 def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -277,48 +277,81 @@ def most_differing(similarity: float, bits: int, deviations: float) -> int:
     return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
-def bucket_candidates(fp: np.ndarray, near: int, alike: int) -> np.ndarray:
-    """(i, j) rows of one bucket's fingerprints at most ``near`` bits apart.
+def bucket_candidates(fp: np.ndarray, near: int, sure: int) -> np.ndarray:
+    """(i, j) rows of one bucket's fingerprints: all pairs at most ``near`` bits apart, but for those of rows that sure links connect already.
 
-    Each is compared with the leaders so far and leads too unless one of them is at most ``alike`` bits away. Leaders are
-    unlike each other, so a group of copies has few of them and gives few pairs a document, not all pairs.
+    Pairs at most ``sure`` bits apart are links without a look at their sets. A row follows the first leader that is so near, and is linked with every such
+    leader; who has none leads. Rows of leaders whom no sure link connects are all compared, unless the leaders are too far apart for any of them.
     """
-    leaders, out = [0], []
-    held = fp[:1]
-    for i in range(1, len(fp)):
-        d = np.bitwise_count(held ^ fp[i]).sum(axis=1)
-        hit = np.flatnonzero(d <= near)
-        out += [(i, leaders[j]) for j in hit]
-        if len(hit) == 0 or d[hit].min() > alike:
-            leaders.append(i)
-            held = fp[leaders]
-    return np.array(out, np.int64).reshape(-1, 2)
-
-
-def _candidates(table: DataFrame, near: int, alike: int) -> DataFrame:
-    """(a, fa, b, fb): pairs of each bucket; a partition is read in order of key, so one bucket is held."""
-    words = [f"g{i}" for i in range(PART)]
+    n = len(fp)
+    leaders, held, out = np.zeros(n, np.int64), np.empty_like(fp), []
+    of, away, up, m = np.zeros(n, np.int64), np.zeros(n, np.int64), list(range(n)), 0
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i in range(n):
+        d = np.bitwise_count(held[:m] ^ fp[i]).sum(axis=1, dtype=np.int64)
+        hit = np.flatnonzero(d <= sure)
+        if len(hit):
+            of[i], away[i] = hit[0], d[hit[0]]
+            out.append(np.stack([np.full(len(hit), i), leaders[hit]], axis=1))
+            for j in hit[1:]:
+                up[root(int(j))] = root(int(hit[0]))
+        else:
+            leaders[m], held[m], of[i], m = i, fp[i], m, m + 1
+    order = np.argsort(of, kind="stable")
+    starts = np.searchsorted(of[order], np.arange(m + 1))
+    radius = np.maximum.reduceat(away[order], starts[:-1]) if m else away
+    for a in range(1, m):
+        d = np.bitwise_count(held[:a] ^ held[a]).sum(axis=1, dtype=np.int64)
+        mine = order[starts[a] : starts[a + 1]]
+        for b in np.flatnonzero(d <= near + radius[a] + radius[:a]):
+            theirs = order[starts[b] : starts[b + 1]]
+            step = max(1, CELLS // len(theirs))
+            for lo in range(0, len(mine), step):
+                if root(a) == root(int(b)):
+                    break
+                part = mine[lo : lo + step]
+                between = np.bitwise_count(fp[part, None] ^ fp[None, theirs]).sum(axis=2, dtype=np.int64)
+                i, j = np.nonzero(between <= near)
+                out.append(np.stack([part[i], theirs[j]], axis=1))
+                if len(i) and between[i, j].min() <= sure:
+                    up[root(a)] = root(int(b))
+    return np.concatenate([np.zeros((0, 2), np.int64), *out])
+
+
+def _candidates(table: DataFrame, near: int, sure: int) -> DataFrame:
+    """(a, fa, b, fb, d): pairs of each bucket and their differing bits; a partition is read in order of key, so one bucket is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
 
-        def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
+        def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             key, node, first = cols[:3]
-            fp = np.stack(cols[3:], axis=1).view(np.uint64) if len(key) else np.zeros((0, PART), np.uint64)
+            fp = np.stack(cols[2:], axis=1).view(np.uint64) if len(key) else np.zeros((0, WIDE), np.uint64)
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
             sizes = np.diff(np.r_[starts, len(key)])
-            found = [np.zeros((0, 2), np.int64)]
             of = np.repeat(sizes, sizes)
-            for k in range(1, min(SMALL, int(sizes.max(initial=0)))):  # all pairs of small buckets, each with the row k before
+
+            def batch(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+                swap = (node[i] > node[j]) | ((node[i] == node[j]) & (first[i] > first[j]))
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                d = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int32)
+                return pa.record_batch([pa.array(v) for v in (node[i], first[i], node[j], first[j], d)], names=["a", "fa", "b", "fb", "d"])
+
+            for k in range(1, min(SMALL + 1, int(sizes.max(initial=0)))):  # all pairs of small buckets, each with the row k before
                 i = np.flatnonzero((key[k:] == key[:-k]) & (of[k:] <= SMALL)) + k
                 i = i[np.bitwise_count(fp[i] ^ fp[i - k]).sum(axis=1) <= near]
-                found.append(np.stack([i, i - k], axis=1))
+                yield batch(i, i - k)
             for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-                # another order in each table, so that whom a leader stands for differs
-                order = s + np.argsort((node[s : s + n] ^ key[s]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                found.append(order[bucket_candidates(fp[order], near, alike)].reshape(-1, 2))
-            i, j = np.concatenate(found).T
-            return pa.record_batch([pa.array(v) for v in (node[i], first[i], node[j], first[j])], names=["a", "fa", "b", "fb"])
+                # one order in all tables, so that a group of copies has the same leader and links in each
+                order = s + np.lexsort((first[s : s + n], node[s : s + n]))
+                i, j = order[bucket_candidates(fp[order], near, sure)].T
+                for lo in range(0, len(i), 1 << 18):
+                    yield batch(i[lo : lo + (1 << 18)], j[lo : lo + (1 << 18)])
 
         for b in batches:
             if b.num_rows == 0:
@@ -326,12 +359,12 @@ def _candidates(table: DataFrame, near: int, alike: int) -> DataFrame:
             new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             cols = [np.concatenate(c) for c in zip(rest, new, strict=True)] if rest else new
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            yield pairs([c[:cut] for c in cols])
+            yield from pairs([c[:cut] for c in cols])
             rest = [c[cut:] for c in cols]
         if rest:
-            yield pairs(rest)
+            yield from pairs(rest)
 
-    return table.select("key", "id", "f0", *words).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, fa long, b long, fb long")
+    return table.select("key", "id", *FIELDS).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, fa long, b long, fb long, d int")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -365,8 +398,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
 
     For similarities that are far beyond two differing bits: fingerprints of 512 bits, whose share of differing bits estimates
     the angle between the shingle sets, with as many keys of a decoded segment and a few more bits as ``key_plan`` gives. In
-    each bucket the fingerprints are compared with its leaders. Pairs that might be alike by the estimate are verified by
-    their shingle sets; those far above (``BOUND`` standard deviations) are taken without. Nothing of this depends on the number
+    each bucket all fingerprints are compared, but for those that sure links connect already (see ``bucket_candidates``). Pairs that might be alike by the
+    estimate are verified by their shingle sets; those far above (``BOUND`` standard deviations) are taken without. Nothing of this depends on the number
     of documents but the keys, whose chance to find a pair does not.
 
     Input columns doc_id and text. Null, empty and blank texts have no shingles and are alike. Rows that repeat a doc_id and a
@@ -386,22 +419,17 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
             for lo in range(0, len(ids), 1000):
                 own, rows = ids[lo : lo + 1000], fp[lo : lo + 1000]
                 k = wide_keys(rows.view(np.uint64), tail, tables)
-                # the words carried differ by table, so that a pair that looks unlike in some looks alike in others
-                g = [np.stack([rows[:, (PART * t + i) % WIDE] for t in range(tables)], axis=1).ravel() for i in range(PART)]
-                yield pa.record_batch([pa.array(k.ravel()), pa.array(np.repeat(own, tables)), pa.array(np.repeat(rows[:, 0], tables)), *map(pa.array, g)], names=["key", "id", "f0", *(f"g{i}" for i in range(PART))])
+                yield pa.record_batch([pa.array(k.ravel()), pa.array(np.repeat(own, tables)), *(pa.array(np.repeat(rows[:, i], tables)) for i in range(WIDE))], names=["key", "id", *FIELDS])
 
     types = ", ".join(f"{f} long" for f in FIELDS)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     own = written(base.mapInArrow(prints, f"doc_id long, text_hash long, {types}"))
     classes = written(own.groupBy(*FIELDS).agg(F.min("doc_id").alias("id")))
     tail, tables = key_plan(classes.count(), similarity)
-    table = classes.where("id is not null").select("id", *FIELDS).mapInArrow(keys, "key long, id long, f0 long, " + ", ".join(f"g{i} long" for i in range(PART)))
-    pairs = written(_candidates(table, most_differing(similarity, 64 * PART, 2), most_differing(similarity, 64 * PART, 0)).distinct())
-    side = lambda n: classes.select(F.col("id").alias(n), F.col("f0").alias(f"f{n}"), *(F.col(f).alias(f"{n}_{f}") for f in FIELDS))
-    differing = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in FIELDS), F.lit(0))
-    near = pairs.join(side("a"), ["a", "fa"]).join(side("b"), ["b", "fb"]).select("a", "fa", "b", "fb", differing.alias("d"))
-    near = written(near.where(F.col("d") <= most_differing(similarity, 64 * WIDE, BOUND)))
-    sure = F.col("d") <= most_differing(similarity, 64 * WIDE, -BOUND)
+    table = classes.where("id is not null").select("id", *FIELDS).mapInArrow(keys, f"key long, id long, {types}")
+    least, most = (most_differing(similarity, 64 * WIDE, x) for x in (-BOUND, BOUND))
+    near = written(_candidates(table, most, least).distinct())
+    sure = F.col("d") <= least
     asked = near.where(~sure)
     # texts of the documents in unsure pairs: the row whose class has that document as its smallest
     wanted = asked.select(F.col("a").alias("id"), F.col("fa").alias("f0")).unionAll(asked.select("b", "fb")).distinct()
@@ -413,7 +441,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     verified = _jaccard(asked.join(named("a"), ["a", "fa"]).join(named("b"), ["b", "fb"]).select("a", "fa", "b", "fb", "d", "sa", "sb").drop("d"), similarity)
     node = lambda n: F.struct(F.col(n).alias("id"), F.col(f"f{n}").alias("f0"))
     links = written(near.where(sure).select("a", "fa", "b", "fb").unionAll(verified).select(node("a").alias("a"), node("b").alias("b")))
-    for df in (pairs, near, sets):
+    for df in (near, sets):
         discard(df)
     roots = written(connected_components(links))
     discard(links)

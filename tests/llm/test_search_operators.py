@@ -383,6 +383,38 @@ def test_a_bucket_of_copies_gives_few_pairs():
     assert 2999 <= len(pairs) <= 12000
 
 
+def test_a_bucket_links_followers_of_different_leaders():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, (60, 8), dtype=np.uint64)
+    base[1::2] = base[::2] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (30, 8, 9), dtype=np.uint64), axis=2)
+    fp = np.repeat(base, 12, axis=0)
+    fp = fp ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (len(fp), 8, 5), dtype=np.uint64), axis=2) * (rng.random((len(fp), 1)) < 0.7)
+    fp = fp[rng.permutation(len(fp))]
+    near, sure, n = 106, 49, len(fp)
+    d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
+    got = simhash.bucket_candidates(fp, near, sure)
+    assert (d[got[:, 0], got[:, 1]] <= near).all()
+
+    def roots(pairs):
+        up = list(range(n))
+        for i, j in pairs:
+            a, b = i, j
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            up[max(a, b)] = min(a, b)
+        for x in range(n):
+            while up[x] != up[up[x]]:
+                up[x] = up[up[x]]
+        return up
+
+    sure_of = roots([p for p in got if d[p[0], p[1]] <= sure])
+    held = {(min(p), max(p)) for p in got.tolist()}
+    left = [(i, j) for i, j in np.argwhere(np.triu(d <= near, 1)).tolist() if (i, j) not in held and sure_of[i] != sure_of[j]]
+    assert not left and len(held) < (d <= near).sum() / 2
+
+
 def test_clashing_columns_pass_through_the_stages(spark):
     names = ("_h1", "_h2", "_gone_id", "gone_id", "gone_text", "n_tokens", "_mix_w", "_mix_row", "rate", "key", "id", "f0", "batch", "holder", "text_hash")
     docs = documents(spark, [(i, "a line that is long enough to be counted, shared by all\n" + prose(random.Random(i), 30)) for i in range(8)])
