@@ -199,3 +199,38 @@ def test_splits_cut_at_fractions_as_written(spark):
     sizes = {r.split: r["count"] for r in profiles.split_cases(cases, "c", 17).groupBy("split").count().collect()}
     assert sizes == {"train": 63, "val": 9, "test": 9, "generalization": 9}
     assert profiles.split_train_test(cases.where("c < 90"), "c", 17, 0.7).where("is_test").count() == 63
+
+
+def test_terms_in_proportion_are_one_feature_and_the_model_stays_the_same(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, i % 6, " ".join([rng.choice(words) for _ in range(9)] + [f"own{i} only{i} own{i}", "always paired"] * (i % 3)), int(rng.random() < 0.5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, c long, t string, y int")
+    model = verifier.fit(df, "k", "t", "y")
+    assert model.model.numFeatures < model.size == model.terms.count() == verifier.tfidf(df, "k", "t").select("term").distinct().count()
+    plain = {r.term: i for i, r in enumerate(verifier.tfidf(df, "k", "t").select("term").distinct().collect())}
+    numbers = spark.createDataFrame(list(plain.items()), "term string, i int")
+    w = verifier.class_weights(df, "y")
+    v = verifier.vectors(verifier.tfidf(df, "k", "t").join(numbers, "term").select("key", "i", "weight"), df, "k", "y", len(plain))
+    v = v.withColumn("weight", F.when(F.col("label") == 1, w[1]).otherwise(w[0]))
+    one = LogisticRegression(maxIter=1000, regParam=1 / 40, standardization=False, weightCol="weight", tol=1e-9).fit(v)
+    from pyspark.ml.functions import vector_to_array
+
+    want = {r.key: r.z for r in one.transform(v).select("key", vector_to_array("rawPrediction")[1].alias("z")).collect()}
+    got = {r.key: r.logit for r in model.scored(df, "k", "t", "y").collect()}
+    assert all(got[k] == pytest.approx(want[k], abs=2e-2) for k in want)
+
+
+def test_frequencies_count_words_and_pairs_of_all_rows_of_a_key(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(verifier, "EXAMPLES", 2)
+    rows = [(1, "Good good words"), (1, "good"), (2, None), (3, "x"), (4, "é_1 ÉCOLE é_1 école, é_1"), (None, "no key"), (5, "")]
+    want = Counter()
+    for k, t in rows:
+        w = [x for x in (t or "").lower().replace(",", "").split() if len(x) > 1]
+        want.update([(k, x) for x in w] + [(k, f"{a} {b}") for a, b in zip(w, w[1:])])
+    got = {(r.key, r.term): r.tf for r in verifier.frequencies(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
+    assert got == dict(want)
