@@ -234,3 +234,19 @@ def test_frequencies_count_words_and_pairs_of_all_rows_of_a_key(spark, monkeypat
         want.update([(k, x) for x in w] + [(k, f"{a} {b}") for a, b in zip(w, w[1:])])
     got = {(r.key, r.term): r.tf for r in verifier.frequencies(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
     assert got == dict(want)
+
+
+def test_records_are_dealt_to_more_tasks_as_they_grow(spark, tmp_path, monkeypatch):
+    from attestor.plans import roles
+
+    spark.range(4000).selectExpr("id % 500 l_orderkey", "id % 7 l_partkey", "id % 3 l_suppkey", "int(id % 7) l_linenumber", "'A' l_returnflag", "1.0d l_quantity", "2.0d l_extendedprice").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(500).selectExpr("id o_orderkey", "id % 9 o_custkey", "'s' o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(roles, "TASK_RECORDS", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        r = roles.records(spark, str(tmp_path))
+        assert r.count() == 4000 and r.rdd.getNumPartitions() == 40
+        kept = profiles.dropped(r, ["line", "part", "supp", "price"])
+        assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
