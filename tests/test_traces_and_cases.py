@@ -184,3 +184,14 @@ def test_training_reports_calibrates_and_transfers(spark):
     assert all(0 <= x.score <= 1 for x in s)
     m = {(x.arm, x.metric): x for x in select.arm_metrics(spark.createDataFrame([("a", ["X"], ["x"], 0.8, False, True, 2, 1, 0, 0)], "arm string, recommendation array<string>, gold array<string>, confidence double, abstained boolean, actionable boolean, n_steps int, n_sound int, n_cited int, n_resolved int")).collect()}
     assert m["a", "guideline_concordance_top1"].value == 1.0 and m["a", "step_soundness"].value == 0.5 and m["a", "citation_grounding"].n == 0 and m["a", "brier"].value == pytest.approx(0.04)
+
+
+def test_pools_take_the_smallest_claim_and_lookups_name_a_record_once(spark):
+    c = spark.createDataFrame([(1, "a", "z"), (1, "a", "b"), (1, "a", None), (1, "b", None), (2, "a", "q")], "case_id long, citation_id string, claim string")
+    assert {r.case_id: r.pool for r in tools.evidence_pools(c).collect()} == {1: {"a": "b", "b": None}, 2: {"a": "q"}}
+    alts = spark.createDataFrame([(1, 1, "P", "lung"), (1, 2, "P", "lung"), (2, 1, "P", None), (3, 1, "Q", "lung")], "case_id long, alt_ord int, profile string, tumor string")
+    ev = spark.createDataFrame([("P", f"E{i}", "s", [7, 7], "lung", "A", 1, i) for i in range(7)], "profile string, citation_id string, summary string, ids array<int>, disease string, level string, rating int, ord int")
+    got = tools.variant_lookup(alts, ev, spark.createDataFrame([(7, "V7", "t")], "id int, accession string, title string"), 3)
+    assert sorted((r.case_id, r.alt_ord, r.citation_id) for r in got.collect()) == [(1, a, c) for a in (1, 2) for c in ("E0", "E1", "E2", "V7")]
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "HashAggregate" not in text
