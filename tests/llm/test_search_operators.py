@@ -83,6 +83,40 @@ def test_passages_are_found_at_their_ends_and_with_half_a_hundred_words(spark):
     assert got == {2 * i: [] for i in range(40)} | {2 * i + 1: [(i % 2 * 12, i % 2 * 12 + 50)] for i in range(40)}
 
 
+@pytest.mark.parametrize("rate", [0.15, 0.2])
+def test_worn_passages_are_found_whoever_else_holds_their_phrases(spark, rate):
+    rng = random.Random(int(rate * 100) + 100)
+    words = unrelated(rng)
+    rows = []
+    for base in range(0, 1_000_000, 100_000):  # a pair of documents, and 100 others before and 100 between that hold 12 words each of its passage
+        p = words(100)
+        worn = list(p)
+        for j in rng.sample(range(100), int(rate * 100)):
+            worn[j] = words(1)[0]
+        rows += [(base + 25_000, " ".join(words(30) + p + words(30))), (base + 90_000, " ".join(words(20) + worn + words(20)))]
+        for first in (0, 50_000):
+            for i in range(100):
+                at = rng.randrange(88)
+                rows.append((base + first + i, " ".join(words(40) + (p if i % 2 else worn)[at : at + 12] + words(40))))
+    got = {r.doc_id: r.n_removed for r in sub.substring_dedup(documents(spark, rows)).collect()}
+    assert sum(got[base + 90_000] >= 50 for base in range(0, 1_000_000, 100_000)) >= 9
+    assert not any(n for d, n in got.items() if d % 100_000 != 90_000)
+
+
+def test_all_holders_of_more_than_a_block_are_linked(spark, monkeypatch):
+    rng = random.Random(35)
+    words = unrelated(rng)
+    p = words(60)
+    docs = documents(spark, [(i, " ".join(words(3) + p + words(3))) for i in range(90)])
+    hashes = sub.written(sub.seeds(docs).where("w >= 0").groupBy("h").agg(F.countDistinct("doc_id").alias("n")))
+    whole = sub.open_seeds(docs, hashes._attestor_path).select("h", "n", "doc_id", "w", F.expr("w - c0 as lead"), F.lit(True).alias("wanted"), F.lit(0).cast("long").alias("source"), F.lit(False).alias("copy"), "around")
+    for block in (2048, 20):
+        monkeypatch.setattr(sub, "BLOCK", block)
+        got = sub.all_holders(whole, tile=16)
+        assert got.select("doc_id", "head").distinct().count() == 90 * 89 // 2
+        assert got.count() == got.distinct().count()
+
+
 @pytest.mark.parametrize("n", [80, 400])
 def test_fuzzy_passages_are_found_at_every_size_and_rate_of_edits(spark, n):
     rng = random.Random(n)
