@@ -31,6 +31,8 @@ def test_richest_sample_and_studies(spark):
     rich = profiles.richest_sample(record(spark, rows))
     assert sorted((r.study, r.patient, r.sample) for r in rich.collect()) == [("a", 2, 9), ("b", 1, 2), ("b", 2, 3)]
     assert sorted((r.study, r.patient) for r in profiles.first_study(rich, ["a", "b"]).collect()) == [("a", 2), ("b", 1)]
+    dealt = profiles.first_study(profiles.richest_sample(record(spark, rows), parts=37), ["a", "b"])  # as many tasks as asked for, also where patients meet
+    assert dealt.rdd.getNumPartitions() == 37 and sorted((r.study, r.patient) for r in dealt.collect()) == [("a", 2), ("b", 1)]
 
 
 def test_a_patient_past_the_cap_stays_free_for_the_next_study(spark):
