@@ -9,6 +9,7 @@ the control bytes in a table, a running sum, and a masked read of four bytes at
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import uuid
@@ -142,6 +143,13 @@ def _worker(tokenizer_json: str) -> tuple[list[str], Cutter, Memo]:
     return [a.content for a in t.get_added_tokens_decoder().values()], Cutter(starts), Memo(encoder(t, tokens, starts))
 
 
+def _done() -> None:
+    """Give up what a Python worker holds for encoding: Spark keeps workers for the steps that follow."""
+    _worker.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int, shard_bytes: int = SHARD) -> DataFrame:
     """(shard, pos, doc_id, ids) written in ascending doc_id order, by ranges of doc_id; equal ids in the order of their texts' hashes.
 
@@ -188,6 +196,7 @@ def frequencies(ids: DataFrame) -> DataFrame:
     """(id, n): how often each id occurs; each task counts before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _done()
         total = np.zeros(0, np.int64)
         for b in batches:
             new = np.bincount(b.column(0).flatten().to_numpy(), minlength=len(total))
@@ -217,6 +226,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0,
     shared = spark.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _done()
         file, first, expected, done = None, None, None, []
 
         def finish() -> None:
