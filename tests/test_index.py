@@ -104,3 +104,22 @@ def test_empty_corpora_and_string_ids(spark):
     docs = spark.createDataFrame([("b", "alpha"), ("a", "alpha"), ("c", "beta")], "doc_id string, text string")
     assert [(r.doc_id, r["rank"]) for r in retrieval.bm25(docs, asked).orderBy("rank").collect()] == [("a", 1), ("b", 2)]
     assert retrieval.bm25(docs, asked.limit(0)).collect() == []
+
+
+def test_a_block_gives_the_first_of_a_query_only(spark):
+    docs = [(i, "alpha beta") for i in range(300)] + [(300 + i, f"alpha x{i}") for i in range(100)]
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "alpha")], "query_id int, text string")
+    built = index.build(spark.createDataFrame(docs, "doc_id int, text string").repartition(4), block=50)
+    assert built.blocks == 8
+    assert built.candidates(built.plan(asked, 5), 5).count() <= 2 * 5 * built.blocks
+    got = built.search(asked, 5).orderBy("query_id", "rank").select("query_id", "doc_id").collect()
+    assert [tuple(r) for r in got] == [(q, i) for q, text in ((1, "alpha beta"), (2, "alpha")) for i, _ in first(docs, text, 5)]
+
+
+def test_rows_of_one_document_count_together(spark):
+    docs = [("a", "x y"), ("a", "x z"), ("a", "x"), ("b", "x y"), (None, "y")]
+    built = index.build(spark.createDataFrame(docs, "doc_id string, text string"))
+    held = {r.term: dict(zip(r.docs, r.impacts, strict=True)) for r in built.table("postings").collect()}
+    part = lambda tf, dl: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (8 / 5)))
+    assert held["x"] == pytest.approx({"a": part(2, 2) + part(1, 1), "b": part(1, 2)})
+    assert held["y"] == pytest.approx({"a": part(1, 2), "b": part(1, 2), None: part(1, 1)})
