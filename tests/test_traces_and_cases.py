@@ -195,3 +195,19 @@ def test_pools_take_the_smallest_claim_and_lookups_name_a_record_once(spark):
     assert sorted((r.case_id, r.alt_ord, r.citation_id) for r in got.collect()) == [(1, a, c) for a in (1, 2) for c in ("E0", "E1", "E2", "V7")]
     text = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text and "HashAggregate" not in text
+
+
+def test_rows_dealt_by_case_are_put_together_where_they_are(spark):
+    alts = spark.createDataFrame([(c, i, "G1", f"V{i}", "lung", "G1") for c in range(3) for i in (2, 1)], "case_id long, alt_ord int, gene string, variant string, tumor string, profile string")
+    found = fusion.answered(spark.createDataFrame([("G1", "E1", "somatic_evidence", "claim", "B"), ("G1", "V1", "germline_records", "title", None)], "profile string, citation_id string, source string, claim string, level string"), ["profile"])
+    picks = spark.createDataFrame([("G1", "C1", "drug", "I-A")], "gene string, chunk_id string, recommendation string, tier string").where("chunk_id <> ''")
+    decisions = spark.createDataFrame([(c, ["drug"], 0.9, False) for c in range(4)], "case_id long, recommendation array<string>, confidence double, abstained boolean")
+    dealt = alts.join(F.broadcast(found), "profile", "left").join(F.broadcast(picks.withColumnRenamed("recommendation", "r")), "gene", "left").withColumnRenamed("r", "recommendation")
+    got = fusion.composed(dealt.repartition(4, "case_id"), decisions.repartition(4, "case_id"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(case_id") == 2
+    one = got.where("case_id = 1").first()
+    assert [s.text.split(":")[0] for s in one.steps] == ["Plan", "Variant G1 V1", "Guideline for G1 lung", "Variant G1 V2", "Guideline for G1 lung", "Synthesis"]
+    assert [s["index"] for s in one.steps] == list(range(6)) and one.sub_questions == ["G1 V1", "G1 V2"]
+    assert [c.citation_id for c in one.steps[1].citations] == ["E1", "V1"]
+    assert got.count() == 3
