@@ -211,3 +211,23 @@ def test_rows_dealt_by_case_are_put_together_where_they_are(spark):
     assert [s["index"] for s in one.steps] == list(range(6)) and one.sub_questions == ["G1 V1", "G1 V2"]
     assert [c.citation_id for c in one.steps[1].citations] == ["E1", "V1"]
     assert got.count() == 3
+
+
+def test_profiles_are_the_same_from_the_records_of_their_samples(spark):
+    rows = [("A", p, p * 10 + s, line, f"G{line % 3}", line % 3, f"c{line % 3}", 1 if line % 5 else 0, "Missense_Mutation", "hg19") for p in range(6) for s in range(2) for line in range(2 + p)]
+    r = spark.createDataFrame(rows, "study string, patient long, sample long, line int, gene string, gene_id int, change string, alt_count long, mutation_type string, build string")
+    kept = profiles.dropped(r, ["line"]).groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("line", "gene", "change"))).alias("a"))
+    want = {x.sample: [(a.gene, a.change) for a in x.a] for x in kept.collect()}
+    got = profiles.built(r, ["A"], ["line"], {}, per_study=4, threshold=5)
+    assert got.count() == 4
+    assert all([(a.gene, a.change) for a in x.alterations] == want[x.sample] and x.n == len(x.alterations) for x in got.collect())
+
+
+def test_evidence_is_ranked_once_for_an_annotation(spark):
+    row = {"profile": "G1", "summary": "s", "status": "ACCEPTED", "disease": "lung carcinoma", "direction": "SUPPORTS", "significance": "SENSITIVITY", "evidence_type": "PREDICTIVE", "rating": 1, "level": "A"}
+    ev = spark.createDataFrame([(f"E{i}", "CA1", ["7"], i) for i in range(9)], "citation_id string, caid string, clinvar_ids array<string>, ord long").select("*", *(F.lit(v).alias(k) for k, v in row.items()))
+    alts = spark.createDataFrame([("G1", "c1", "lung")], "gene string, change string, tumor_type string")
+    got = evidence.annotation(alts, ev, spark.createDataFrame([(7, "VCV7", "title")], "id long, accession string, title string"))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    e = got.first().evidence
+    assert [c.id for c in e.civic] == [f"E{i}" for i in range(5)] and e.clinvar_ids == ["7"] and e.actionable and e.clinvar[0].id == "clinvar:VCV7"
