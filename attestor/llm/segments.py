@@ -11,7 +11,6 @@ import json
 import re
 import sys
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,9 @@ CANDIDATES = " \n\t"
 
 SPACE = "▁"
 
+#: Texts given to a tokenizer at once: what it returns takes some hundred bytes a token.
+AT_ONCE = 4
+
 
 def byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
@@ -113,39 +115,50 @@ class Cutter:
         return flat.indices.to_numpy(zero_copy_only=False), flat.dictionary, bounds
 
 
-class Memo(dict):
-    """Segments met so far, numbered, with their ids as rows of one flat array.
+class Memo:
+    """Segments met so far, as one Arrow array, with their ids as rows of one flat array.
 
-    What ``most`` segments and ``chars`` characters leave no room for is encoded once for each call and not kept; frequent segments come early, and stay.
+    What ``most`` segments and ``chars`` bytes leave no room for is encoded once for each call and not kept; frequent segments come early, and stay.
     """
 
-    def __init__(self, encode, most: int = 700_000, chars: int = 12_000_000):
+    def __init__(self, encode, most: int = 1_500_000, chars: int = 20_000_000):
         self.encode, self.most, self.chars = encode, most, chars
+        self.known = pa.array([], pa.string())
         self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(8192, np.int32)
         self.used, self.held = 0, 0
 
-    def ids_of(self, distinct: pa.Array, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the segments ``distinct[number]`` in a row, and the number of ids before each, with the total last."""
-        keys = distinct.to_pylist()
-        rows = np.fromiter(map(self.get, keys, repeat(-1)), np.int64, len(keys))
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def rows_of(self, distinct: pa.Array) -> np.ndarray:
+        """The rows of the segments ``distinct``, good until the next call."""
+        rows = pc.fill_null(pc.index_in(distinct, self.known), -1).to_numpy().astype(np.int64)
         unknown = np.flatnonzero(rows < 0)
         if len(unknown):
-            sizes, ids = self.encode(distinct.take(pa.array(unknown)))
+            new = distinct.take(pa.array(unknown))
+            sizes, ids = self.encode(new)
             lo, hi = len(self), len(self) + len(unknown)
             self.start, self.size, self.ids = (_room(a, n) for a, n in ((self.start, hi), (self.size, hi), (self.ids, self.used + len(ids))))
             self.size[lo:hi], self.start[lo:hi] = sizes, self.used + np.cumsum(sizes) - sizes
             self.ids[self.used : self.used + len(ids)] = ids
             rows[unknown] = np.arange(lo, hi)
             if lo < self.most and self.held < self.chars:
-                kept = unknown[: self.most - lo].tolist()
-                self.update((keys[i], lo + n) for n, i in enumerate(kept))
-                self.held += sum(len(keys[i]) for i in kept)
+                kept = new.slice(0, self.most - lo)
+                self.known = pa.concat_arrays([self.known, kept])
+                self.held += pc.sum(pc.binary_length(kept)).as_py()
                 self.used = int(self.start[len(self) - 1] + self.size[len(self) - 1])
-        rows = rows[numbers]
+        return rows
+
+    def taken(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the segments of ``rows`` in a row, and the number of ids before each, with the total last."""
         size = self.size[rows]
         ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         return self.ids[np.arange(ends[-1]) + np.repeat(self.start[rows] - ends[:-1], size)], ends
 
+    def ids_of(self, distinct: pa.Array, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``taken`` of the segments ``distinct[number]`` in a row."""
+        return self.taken(self.rows_of(distinct)[numbers])
+
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 3 * len(a) // 2) - len(a), a.dtype)])
@@ -172,7 +185,8 @@ def encoder(tokenizer, tokens: dict[int, bytes], starts: str, size: int = 200_00
         begin = np.append(np.flatnonzero(apart), len(segments)).astype(np.int32)
         texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin), segments), "").to_pylist()
         sizes, ids = np.zeros(len(segments), np.int64), []
-        for lo, hi, e in zip(begin, begin[1:], tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=False):
+        encoded = (e for i in range(0, len(texts), AT_ONCE) for e in tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False))
+        for lo, hi, e in zip(begin, begin[1:], encoded, strict=False):
             own = np.array(e.ids, np.int32)
             ids.append(own)
             sizes[lo:hi] = len(own) if hi == lo + 1 else np.diff(np.searchsorted(np.cumsum(length[own]), ends[lo:hi] - (ends[lo - 1] if lo else 0), side="right"), prepend=0)

@@ -34,8 +34,8 @@ MAGIC = b"RANKIDS1"
 BLOCK = 1 << 18
 #: About so many bytes of text go to one partition, and so to one file.
 SHARD = 64 << 20
-#: Bytes of text tokenised at a time.
-SLICE = 4_000_000
+#: Bytes of text cut at a time, and bytes of text whose distinct segments are looked up and encoded together.
+SLICE, GROUP = 4_000_000, 32_000_000
 
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -150,14 +150,28 @@ def _done() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def kind_of(tokenizer_json: str, end_id: int) -> str:
+    """The unsigned number, of two or four bytes, that holds every id of the vocabulary and ``end_id``."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_str(tokenizer_json).get_vocab().values(), default=0) <= 0xFFFF and end_id <= 0xFFFF else "<u4"
+
+
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(where each row's ids begin, and the end; all ids in a row) of a binary column of ids."""
+    own = column.cast(pa.large_binary())
+    at = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1] if len(own) else np.zeros(1, np.int64)
+    flat = np.frombuffer(own.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind) if at[-1] > at[0] else np.zeros(0, kind)
+    return (at - at[0]) // np.dtype(kind).itemsize, flat
+
+
 def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int, shard_bytes: int = SHARD) -> DataFrame:
     """(shard, pos, doc_id, ids) written in ascending doc_id order, by ranges of doc_id; equal ids in the order of their texts' hashes.
 
-    Texts are cut where no token can reach across, and every distinct segment that a task meets is encoded once.
+    ``ids`` are bytes, numbers as ``kind_of`` has them. Texts are cut where no token can reach across, and every distinct segment that a
+    task meets is encoded once, up to a bounded memo; segments stay in Arrow.
     """
-    from tokenizers import Tokenizer
-
-    Tokenizer.from_str(tokenizer_json)  # fails here rather than in a task
+    kind = kind_of(tokenizer_json, end_id)  # a vocabulary that can't be read fails here rather than in a task
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(tokenizer_json)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -168,38 +182,55 @@ def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int, shard_bytes: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special, cut, memo = _worker(shared.value)
-        shard, pos = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for lo, hi in slices(b.column(1), SLICE):
-                texts = b.column(1).slice(lo, hi - lo)
-                if any(pc.any(pc.match_substring(texts, s)).as_py() for s in special):
-                    at: dict[str, int] = {}
-                    parts = [[x] if any(s in x for s in special) else cut.cut(x) for x in texts.to_pylist()]  # a special token may reach across a cut
-                    numbers = np.array([at.setdefault(x, len(at)) for p in parts for x in p], np.int64)
-                    distinct, bounds = pa.array(list(at), pa.string()), np.cumsum([0, *map(len, parts)])
-                else:
-                    numbers, distinct, bounds = cut.dictionary(texts)
-                ids, ends = memo.ids_of(distinct, numbers)
-                at = ends[bounds]
-                ids = np.insert(ids, at[1:], end_id).astype(np.int32)
-                offsets = pa.array((at + np.arange(len(at))).astype(np.int32))
-                n = hi - lo
-                yield pa.record_batch([pa.array([shard] * n, pa.int32()), pa.array(np.arange(pos, pos + n)), b.column(0).slice(lo, n), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=["shard", "pos", "doc_id", "ids"])
+        shard, pos, width = TaskContext.get().partitionId(), 0, np.dtype(kind).itemsize
+
+        def numbered(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+            if not any(pc.any(pc.match_substring(texts, s)).as_py() for s in special):
+                return cut.dictionary(texts)
+            at: dict[str, int] = {}
+            parts = [[x] if any(s in x for s in special) else cut.cut(x) for x in texts.to_pylist()]  # a special token may reach across a cut
+            numbers = np.array([at.setdefault(x, len(at)) for p in parts for x in p], np.int32)
+            return numbers, pa.array(list(at), pa.string()), np.cumsum([0, *map(len, parts)])
+
+        def given(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            nonlocal pos
+            of = pa.chunked_array([pa.DictionaryArray.from_arrays(pa.array(numbers), distinct) for _, (numbers, distinct, _) in held]).unify_dictionaries()
+            rows = memo.rows_of(of.chunk(0).dictionary)
+            for (doc_ids, (_, _, bounds)), numbers in zip(held, of.chunks, strict=True):
+                ids, ends = memo.taken(rows[numbers.indices.to_numpy()])
+                at, n = ends[bounds], len(doc_ids)
+                ids = np.insert(ids.astype(kind), at[1:], end_id)
+                offsets = ((at + np.arange(len(at))) * width).astype(np.int32)
+                lists = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.record_batch([pa.array([shard] * n, pa.int32()), pa.array(np.arange(pos, pos + n)), doc_ids, lists], names=["shard", "pos", "doc_id", "ids"])
                 pos += n
-                del ids, ends, numbers, distinct
-            pa.default_memory_pool().release_unused()
 
-    return written(ranged.mapInArrow(run, "shard int, pos long, doc_id long, ids array<int>"), compression="zstd")
+        held, size = [], 0
+        for b in batches:
+            texts = b.column(1).cast(pa.string())
+            for lo, hi in slices(texts, SLICE):
+                own = texts.slice(lo, hi - lo)
+                held.append((b.column(0).slice(lo, hi - lo), numbered(own)))
+                size += pc.sum(pc.binary_length(own)).as_py()
+                if size >= GROUP:
+                    yield from given(held)
+                    held, size = [], 0
+                    pa.default_memory_pool().release_unused()
+        if held:
+            yield from given(held)
+        pa.default_memory_pool().release_unused()
+
+    return written(ranged.mapInArrow(run, "shard int, pos long, doc_id long, ids binary"), compression="zstd")
 
 
-def frequencies(ids: DataFrame) -> DataFrame:
-    """(id, n): how often each id occurs; each task counts before anything is shuffled."""
+def frequencies(ids: DataFrame, kind: str) -> DataFrame:
+    """(id, n): how often each id occurs; each task counts before anything is shuffled. ``ids`` are as from ``tokenised``, of ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _done()
         total = np.zeros(0, np.int64)
         for b in batches:
-            new = np.bincount(b.column(0).flatten().to_numpy(), minlength=len(total))
+            new = np.bincount(_flat(b.column(0), kind)[1], minlength=len(total))
             new[: len(total)] += total
             total = new
         at = np.flatnonzero(total)
@@ -218,7 +249,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0,
     spark = docs.sparkSession
     ids = tokenised(docs, tokenizer_json, end_id, shard_bytes)
     release(spark)
-    counts = frequencies(ids).orderBy(F.col("n").desc(), "id").collect()  # as many rows as the vocabulary has at most
+    kind = kind_of(tokenizer_json, end_id)
+    counts = frequencies(ids, kind).orderBy(F.col("n").desc(), "id").collect()  # as many rows as the vocabulary has at most
     id_at = np.array([r.id for r in counts], np.int64)
     rank = np.zeros(int(id_at.max()) + 1 if len(id_at) else 0, np.uint32)
     rank[id_at] = np.arange(len(id_at))
@@ -233,7 +265,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0,
             done.append((*first, f"ids-{first[0]:06d}-{first[1]:012d}", *file.close()))
 
         for b in batches:
-            offsets, flat = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy()
+            offsets, flat = _flat(b.column(3), kind)
             for i, (shard, pos, doc_id) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 if (shard, pos) != expected:
                     if file:

@@ -189,6 +189,30 @@ def test_a_memo_without_room_gives_the_same_ids(byte_level):
             assert len(memo) <= most
 
 
+def test_a_tokenizer_is_given_few_texts_at_once_and_ids_are_two_bytes(spark, byte_level, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, tokens = Tokenizer.from_str(byte_level), segments.byte_tokens(byte_level)
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.append(len(texts))
+            return t.encode_batch_fast(texts, **options)
+
+    words = pa.array([" w%d" % i for i in range(500)])
+    sizes, ids = segments.encoder(Counted(), tokens, segments.byte_starts(tokens.values()), 50)(words)
+    want = [t.encode(w, add_special_tokens=False).ids for w in words.to_pylist()]
+    assert max(given) <= 4 < len(given)
+    assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    monkeypatch.setattr(token_files, "GROUP", 40)  # several groups in a task
+    rng = random.Random(3)
+    rows = [(i, prose(rng, i % 30) if i else None) for i in range(60)]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in token_files.tokenised(documents(spark, rows), byte_level, 0).collect()}
+    assert got == {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in rows}
+    assert (token_files.kind_of(byte_level, 0), token_files.kind_of(byte_level, 1 << 16)) == ("<u2", "<u4")
+
+
 def test_codes_give_back_shapes_and_ids():
     rows = [([1, 2], [7, 8, 9]), None, ([1, 1, 2, 0], [5, 50_000, 4, 3]), ([1, 1], [65_535, 0])]
     for more in ([], [([1, 1], [65_536, 1])], [([70_000, 1], [9] * 70_001), None]):
