@@ -117,6 +117,21 @@ def test_all_holders_of_more_than_a_block_are_linked(spark, monkeypatch):
         assert got.count() == got.distinct().count()
 
 
+def test_rows_that_nothing_can_be_linked_to_are_left_out_and_copies_take_what_their_first_has(spark, monkeypatch):
+    words = unrelated(random.Random(36))
+    p = words(60)
+    worn = [w if i % 9 else "x" + w for i, w in enumerate(p)]
+    texts = [words(20) + p + words(20), words(20) + worn + words(20)]
+    rows = [(10, texts[0]), (20, texts[1])] + [(d, texts[1]) for d in range(30, 60)]
+    seen = []
+    compare = sub.all_holders
+    monkeypatch.setattr(sub, "all_holders", lambda r, **options: (seen.append(r.select("doc_id").distinct().count()), compare(r, **options))[1])
+    got = {r.doc_id: (r.n_removed, r.source_id) for r in sub.substring_dedup(documents(spark, [(d, " ".join(t)) for d, t in rows])).collect()}
+    assert got[10] == (0, None) and got[20][1] == 10 and got[20][0] >= 50
+    assert all(got[d] == (100, 10) for d in range(30, 60))
+    assert all(n <= 2 for n in seen)
+
+
 @pytest.mark.parametrize("n", [80, 400])
 def test_fuzzy_passages_are_found_at_every_size_and_rate_of_edits(spark, n):
     rng = random.Random(n)
