@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -252,3 +253,28 @@ def test_records_are_dealt_to_more_tasks_as_they_grow(spark, tmp_path, monkeypat
         assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_model_is_the_best_one_and_no_coefficient_of_a_term_is_on_the_driver(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randrange(12))), int(rng.random() < 0.3)) for i in range(60)]
+    rows += [(100 + i, t.upper(), y) for i, t, y in rows[:20]] + [(i + 200, t, 1 - y) for i, t, y in rows[:5]]
+    df = spark.createDataFrame(rows, "k long, t string, y int")
+    monkeypatch.setattr(verifier, "BLOCK", 50)
+    monkeypatch.setattr(verifier, "SUMS", 0)
+    model = verifier.fit(df, "k", "t", "y")
+    assert model.model.numFeatures == len({t.lower() for _, t, _ in rows}) < len(rows) and not hasattr(model.model, "coefficients")
+    w = {r.term: (r.idf, r.coefficient) for r in model.terms.collect()}
+    weight, total, square = verifier.class_weights(df, "y"), {}, sum(c * c for _, c in w.values())
+    x = {}
+    for r in verifier.tfidf(df, "k", "t").collect():
+        x.setdefault(r.key, {})[r.term] = r.weight
+    z = {r.key: r.logit for r in model.scored(df, "k", "t", "y").collect()}
+    off = 0.0
+    for k, _, y in rows:
+        assert z[k] == pytest.approx(model.model.intercept + sum(v * w[t][1] for t, v in x.get(k, {}).items()))
+        g = weight[y] * (1 / (1 + math.exp(-z[k])) - y)
+        off += g
+        for t, v in x.get(k, {}).items():
+            total[t] = total.get(t, 0.0) + g * v
+    assert square > 0.1 and abs(off) < 1e-3 and all(abs(total[t] + w[t][1]) < 1e-3 for t in w)
