@@ -278,3 +278,18 @@ def test_the_model_is_the_best_one_and_no_coefficient_of_a_term_is_on_the_driver
         for t, v in x.get(k, {}).items():
             total[t] = total.get(t, 0.0) + g * v
     assert square > 0.1 and abs(off) < 1e-3 and all(abs(total[t] + w[t][1]) < 1e-3 for t in w)
+
+
+def test_weights_by_chunks_are_those_of_a_fitted_table_and_each_term_is_shuffled_once_for_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(verifier, "EXAMPLES", 4)
+    monkeypatch.setattr(verifier, "CHUNK", 40)
+    monkeypatch.setattr(verifier, "TASK_TERMS", 7)
+    rows = [(i % 70, " ".join(f"w{(i * j) % 13} é{j % 3}" for j in range(i % 9))) for i in range(90)] + [(900, None), (901, "x"), (None, "no key"), (902, "")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    of = lambda w: {(r.key, r.term): r.weight for r in w.collect()}
+    got, want = of(verifier.tfidf(df, "k", "t")), of(verifier.tfidf(df, "k", "t", vocabulary=verifier.idf_table(df, "k", "t")))
+    assert got == pytest.approx(want) and len(got) > 500
+    own = verifier.chunks(df, "k", "t")
+    assert own.count() > 4 and own.selectExpr("sum(size(terms))").first()[0] < len(got) == own.selectExpr("sum(size(tf))").first()[0]
+    assert verifier.tfidf(df.where("t is null"), "k", "t").count() == 0
+    assert sorted(r.weight for r in verifier.tfidf(df, "k", "t", named=False).collect()) == pytest.approx(sorted(want.values()))
