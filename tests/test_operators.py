@@ -293,3 +293,14 @@ def test_weights_by_chunks_are_those_of_a_fitted_table_and_each_term_is_shuffled
     assert own.count() > 4 and own.selectExpr("sum(size(terms))").first()[0] < len(got) == own.selectExpr("sum(size(tf))").first()[0]
     assert verifier.tfidf(df.where("t is null"), "k", "t").count() == 0
     assert sorted(r.weight for r in verifier.tfidf(df, "k", "t", named=False).collect()) == pytest.approx(sorted(want.values()))
+
+
+def test_a_round_of_the_solver_is_one_pass_over_the_different_texts(spark, monkeypatch):
+    rows = [(i, f"plan n{i % 4} of n{i % 7} in n{i % 5}", int(i % 7 < 3) ^ int(i % 11 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, t string, y int")
+    passes, times = [], verifier.Gram.times
+    monkeypatch.setattr(verifier.Gram, "times", lambda self, v: passes.append(len(v)) or times(self, v))
+    model = verifier.fit(df, "k", "t", "y", max_rounds=3)
+    assert passes == [140] * 3 and model.model.numFeatures == 140
+    loss = lambda m: m.scored(df, "k", "t", "y").select(F.avg(F.log(1 + F.exp(F.when(F.col("label") == 1, -F.col("logit")).otherwise(F.col("logit")))))).first()[0]
+    assert loss(verifier.fit(df, "k", "t", "y")) <= loss(model) + 1e-2 and loss(model) < 0.75
